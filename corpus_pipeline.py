@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import language_id, quality_rules
+from tidewatch.llm import common, language_id, near_dups, packing, quality_rules, substring_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Posterior below which a document counts as being in no learned language.
 LEAST_SCORE = 0.5
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id, null included, is among ids."""
+    ids = ids.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the quality rules keep."""
-    kept = quality_rules.judge(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    return _only(docs, quality_rules.judge(docs).filter("kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +30,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality), ("language_id", language)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group, and one row of each id. Rows without an id are in no group and stay."""
+    kept = _only(docs, near_dups.resolve(docs).filter("kept and doc_id is not null"))
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take repeated passages out of the texts; a text that has none stays as it is."""
+    cut = substring_dedup.remove_repeats(docs, with_text=True).filter("n_removed > 0").select("doc_id", "kept")
+    text = F.coalesce("kept", "text")
+    return docs.join(cut, "doc_id", "left").withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))).withColumn("text", text).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality), ("language_id", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", pack)]
+#: Classifier, estimates and packing aren't SQL; the stages' operators are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewatch.llm import common
-
+    """All stages over documents, each written as Parquet and read again."""
     docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.staging(spark)
     for name, stage in STAGES:
         docs = common.saved(stage(spark, docs, sf_dir), f"{path}/{name}")
+        common.release(spark)
     return docs
