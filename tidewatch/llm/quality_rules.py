@@ -31,6 +31,8 @@ MIN_ROWS = 40
 STEPS = 6
 #: Chance that a clean document, if its vector were Gaussian, is rejected.
 REJECT = 1e-6
+#: Groups up to which their estimates (300 bytes each) are broadcast; beyond, rows and estimates meet by group and salt.
+FEW_GROUPS, SALTS = 10_000, 32
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -180,7 +182,14 @@ def _sums(rows: DataFrame, names=VECTOR) -> DataFrame:
     return rows.groupBy("grp", "start").agg(*cols)
 
 
-def mcd(vectors: DataFrame, path: str, steps: int = STEPS, floors=FLOORS) -> DataFrame:
+def _attach(rows: DataFrame, groups: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """Join rows, which have a salt column, with one row a group; a group of any size is spread over tasks."""
+    if few:
+        return rows.join(F.broadcast(groups), on, how)
+    return rows.join(groups.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), [*on, "salt"], how)
+
+
+def mcd(vectors: DataFrame, path: str, few: bool, steps: int = STEPS, floors=FLOORS) -> DataFrame:
     """(grp, mu, prec, scale) for each group of vectors (grp, *VECTOR): the covariance determinant is the smallest found.
 
     h is half of the group's rows (ties at the h-th distance all count); scale makes the median distance that of a
@@ -190,7 +199,7 @@ def mcd(vectors: DataFrame, path: str, steps: int = STEPS, floors=FLOORS) -> Dat
     estimate = _estimates(VECTOR, floors)
     half = vectors.groupBy("grp").agg(*[F.percentile_approx(n, 0.5, 10000).alias(f"m_{i}") for i, n in enumerate(VECTOR)])
     half = common.saved(half, f"{path}/median")
-    centred = vectors.join(half, "grp")
+    centred = _attach(vectors, half, ["grp"], few)
     spread = centred.groupBy("grp").agg(
         *[F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{i}")), 0.5, 10000).alias(f"d_{i}") for i, n in enumerate(VECTOR)]
     )
@@ -210,12 +219,12 @@ def mcd(vectors: DataFrame, path: str, steps: int = STEPS, floors=FLOORS) -> Dat
     one = _sums(signs).mapInPandas(estimate, _PARAMS)
     params = common.saved(zero.unionByName(one), f"{path}/step0")
     for k in range(1, steps + 1):
-        near = vectors.join(params, "grp").withColumn("dist", _distance())
+        near = _attach(vectors, params, ["grp"], few).withColumn("dist", _distance())
         edge = near.groupBy("grp", "start").agg(F.percentile_approx("dist", 0.5, 10000).alias("edge"))
-        subset = near.join(edge, ["grp", "start"]).filter(F.col("dist") <= F.col("edge"))
+        subset = _attach(near, edge, ["grp", "start"], few).filter(F.col("dist") <= F.col("edge"))
         params = common.saved(_sums(subset).mapInPandas(estimate, _PARAMS), f"{path}/step{k}")
     best = params.groupBy("grp").agg(F.min_by(F.struct("mu", "prec"), F.struct("logdet", "start")).alias("b")).select("grp", "b.mu", "b.prec")
-    middle = vectors.join(best, "grp").withColumn("dist", _distance()).groupBy("grp").agg(F.percentile_approx("dist", 0.5, 10000).alias("middle"))
+    middle = _attach(vectors, best, ["grp"], few).withColumn("dist", _distance()).groupBy("grp").agg(F.percentile_approx("dist", 0.5, 10000).alias("middle"))
     scale = F.greatest(F.lit(1.0), F.col("middle") / F.lit(chi2_quantile(0.5, d)))
     return common.saved(best.join(middle, "grp").select("grp", "mu", "prec", scale.alias("scale")), f"{path}/best")
 
@@ -245,13 +254,15 @@ def judge(
     stats = common.saved(with_vector(base_stats(named)), f"{path}/stats")
     key = F.concat_ws("\x01", F.lit("g"), F.coalesce(F.col("lang"), F.lit("\x02")), F.coalesce(F.col("source"), F.lit("\x02")))
     pool = F.concat_ws("\x01", F.lit("p"), F.coalesce(F.col("lang"), F.lit("\x02")))
-    stats = stats.withColumns({"own": key, "pool": pool})
+    stats = stats.withColumns({"own": key, "pool": pool, "salt": F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int")})
     sizes = stats.groupBy("own", "pool").count().withColumn("grp", F.when(F.col("count") >= min_rows, F.col("own")).otherwise(F.col("pool")))
-    stats = stats.join(sizes.select("own", "grp"), "own")
-    best = mcd(stats.select("grp", *VECTOR), path, steps)
+    sizes = common.saved(sizes, f"{path}/sizes")
+    few = sizes.count() <= FEW_GROUPS
+    stats = _attach(stats, sizes.select("own", "grp"), ["own"], few)
+    best = mcd(stats.select("grp", "salt", *VECTOR), path, few, steps)
     large = sizes.groupBy("grp").agg(F.sum("count").alias("rows")).filter(F.col("rows") >= min_rows).select("grp")
     limit = chi2_quantile(1 - reject, len(VECTOR))
-    judged = stats.join(best.join(large, "grp", "left_semi"), "grp", "left").withColumn("distance", _distance() / F.col("scale"))
+    judged = _attach(stats, best.join(large, "grp", "left_semi"), ["grp"], few, "left").withColumn("distance", _distance() / F.col("scale"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select(
         "doc_id",
