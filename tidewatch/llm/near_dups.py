@@ -2,8 +2,8 @@
 
 Two permutations serve all coordinates of a signature: the first (sigma) scatters shingles over a circle of places, the
 second (pi) gives each place a rank, and coordinate k reads pi shifted by k. Texts with the same words are one class. Bands
-of coordinates make buckets of classes; within a bucket no pairs are listed: members are verified against one centre after
-another until each has been joined with a component or every pair that could still be a link has been verified.
+of coordinates make buckets of classes. Within a bucket no pairs are listed: members are verified against a centre, and then
+only pairs between components that exact bounds with respect to the centre leave open.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from tidewatch.llm import text as T
 WORDS, SIMILAR = 5, 75
 #: Places on the circle, bands, coordinates in a band. At a similarity of 0.75 a pair shares no band with a chance of 5e-6.
 PLACES, BANDS, ROWS = 1 << 21, 32, 4
-#: Members up to which all of a bucket's open pairs are verified at once, and the centres tried before in larger buckets.
-SMALL, CENTRES = 16, 6
+#: Members up to which all of a bucket's open pairs are verified at once.
+SMALL = 16
 _CHUNK = 1 << 20
 
 
@@ -105,13 +105,13 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, distance, link) of distinct pairs a < b, by the exact sizes of intersection and union."""
+    """(a, b, both, link) of distinct pairs a < b, by the exact sizes of intersection and union."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     met = pairs.join(two, "b").join(one, "a").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("sum"))
     union = F.col("sum") - F.col("both")
-    return met.select("a", "b", (F.lit(1.0) - F.col("both") / union).alias("distance"), (100 * F.col("both") >= SIMILAR * union).alias("link"))
+    return met.select("a", "b", "both", (100 * F.col("both") >= SIMILAR * union).alias("link"))
 
 
 def components(nodes: DataFrame, links: DataFrame, path: str) -> DataFrame:
@@ -150,63 +150,66 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _apart(members: DataFrame, used: DataFrame, met: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members in different components that could be links: their sizes allow it, and so do their
-    distances to each centre (the Jaccard distance is a metric: those of a link differ by at most 0.25)."""
-    seen = members.join(used, "key").select("key", "node", "centre", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    seen = seen.join(met.select("a", "b", "distance"), ["a", "b"], "left")
-    away = F.when(F.col("node") == F.col("centre"), F.lit(0.0)).otherwise(F.col("distance"))
-    seen = seen.groupBy("key", "node").agg(F.sort_array(F.collect_list(F.struct("centre", away.alias("d")))).alias("away"))  # one for each turn
-    one = members.select("key", "node", "n", "comp").join(seen, ["key", "node"])
-    two = one.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("away").alias("away2"))
-    near = F.forall(F.zip_with("away", "away2", lambda x, y: F.coalesce(F.abs(x["d"] - y["d"]) <= 1 - SIMILAR / 100 + 1e-9, F.lit(True))), lambda ok: ok)
-    rows = one.join(two, "key").filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _alike("n", "n2") & near)
-    return _ordered(rows.select(F.col("node").alias("x"), F.col("node2").alias("y")))
+def _apart(members: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a large bucket's members in different components that could be links.
+
+    With respect to the bucket's centre c, two sets have in common at most the smaller of their intersections with c, and
+    what both have outside c. So a link either shares a shingle outside c, or the smaller intersection is large enough
+    alone. The first are met by that shingle; the second need a member small enough for some member of another component
+    than c's, and in a group of copies with changes of their own there is none.
+    """
+    pair = [F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")]
+    with_c = members.filter("node != centre").select("key", "node", "n", "comp", "centre", *pair).join(met.select("a", "b", "both"), ["a", "b"])
+    with_c = with_c.select("key", "node", "n", "comp", "centre", "both")
+    of_c = members.filter("node = centre").select("key", F.col("comp").alias("comp_c"))
+    with_c = with_c.join(of_c, "key")
+    out = (100 + SIMILAR) / SIMILAR
+    reach = F.col("both") * out - F.col("n")  # the largest set that could be linked through c alone
+    strangers = with_c.filter("comp != comp_c").withColumn("reach", reach)
+    limit = strangers.groupBy("key").agg(F.max("reach").alias("limit"))
+    small = with_c.join(limit, "key").filter(F.col("n") <= F.col("limit") + 1e-6)
+    small = small.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("both").alias("both2"))
+    least = F.least("both", "both2")
+    through = strangers.join(small, "key").filter((F.col("comp") != F.col("comp2")) & (100 * least >= SIMILAR * (F.col("n") + F.col("n2") - least)))
+    # shingles outside the centre, once for each centre
+    each = with_c.select("centre", "node", "n", "comp").distinct()
+    own = each.join(sets.select("node", "shingles"), "node").join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("core")), "centre")
+    own = own.select("centre", "node", "n", "comp", F.explode(F.array_except("shingles", "core")).alias("shingle"))
+    mixed = own.groupBy("centre", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("centre", "shingle")
+    own = own.join(mixed, ["centre", "shingle"])
+    other = own.select("centre", "shingle", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    beside = own.join(other, ["centre", "shingle"]).filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _alike("n", "n2"))
+    both = through.select("node", "node2").unionByName(beside.select("node", "node2"))
+    return _ordered(both.select(F.col("node").alias("x"), F.col("node2").alias("y")))
 
 
 def _link(classes: DataFrame, sets_for, path: str) -> DataFrame:
     """(node, comp) for the classes that share a bucket with another; classes: (node, n, keys).
 
-    Every pair of a bucket ends in one component, or verified, or excluded by sizes or distances: small buckets verify all
-    their open pairs; larger ones verify all members against a centre of one component after another, and at last the open
-    pairs that the distances to the centres leave.
+    Every pair of a bucket ends in one component, or verified, or excluded by sizes or bounds: first all members are
+    verified against the bucket's centre, its smallest node; then small buckets verify all open pairs between components,
+    larger ones those that the bounds of _apart leave.
     """
     banded = classes.select("node", "n", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1")
-    members = common.saved(banded.join(shared, "key"), f"{path}/members")
+    members = common.saved(banded.join(shared, "key").withColumn("large", F.col("size") > SMALL), f"{path}/members")
     nodes = common.saved(members.select("node").distinct(), f"{path}/nodes")
     sets = sets_for(nodes)
-    used = members.filter(F.col("size") > SMALL).select("key", "centre").distinct()
-    members = members.withColumn("large", F.col("size") > SMALL)
-    # turn 0: the smallest node of each bucket against all; pairs of small buckets whose sizes differ too much can't link
     sized = members.join(members.filter(F.col("node") == F.col("centre")).select("key", F.col("n").alias("n0")), "key")
     pairs = _ordered(sized.filter(F.col("large") | _alike("n", "n0")).select(F.col("node").alias("x"), F.col("centre").alias("y")))
     met = common.saved(_verify(pairs, sets), f"{path}/met0")
     labels = components(nodes, met.filter("link"), f"{path}/turn0")
-    members = members.drop("centre")
-    for turn in range(1, CENTRES + 2):
-        active = _active(members, labels, f"{path}/active{turn}")
-        large = active.filter("large")
-        pairs = None
-        if turn == 1:
-            one = active.filter(~F.col("large")).select("key", "node", "n", "comp")
-            two = one.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            rows = one.join(two, "key").filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _alike("n", "n2"))
-            pairs = _ordered(rows.select(F.col("node").alias("x"), F.col("node2").alias("y")))
-        elif not large.limit(1).count():
-            break
-        if turn <= CENTRES:
-            had = used.join(labels.withColumnRenamed("node", "centre"), "centre").select("key", "comp").distinct()
-            fresh = common.saved(large.join(had, ["key", "comp"], "left_anti").groupBy("key").agg(F.min("node").alias("centre")), f"{path}/centres{turn}")
-            star = _ordered(large.join(fresh, "key").select(F.col("node").alias("x"), F.col("centre").alias("y")))
-            used = used.unionByName(fresh)
-        else:
-            star = _apart(large, used, met)
-        pairs = star if pairs is None else pairs.unionByName(star).distinct()
-        new = common.saved(_verify(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti"), sets), f"{path}/met{turn}")
-        met = met.unionByName(new)
-        if new.filter("link").limit(1).count():
-            labels = components(nodes, met.filter("link"), f"{path}/turn{turn}")
+    active = _active(members, labels, f"{path}/active")
+    one = active.filter(~F.col("large")).select("key", "node", "n", "comp")
+    two = one.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    rows = one.join(two, "key").filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _alike("n", "n2"))
+    pairs = _ordered(rows.select(F.col("node").alias("x"), F.col("node2").alias("y")))
+    large = active.filter("large")
+    if large.limit(1).count():
+        pairs = pairs.unionByName(_apart(large, met, sets)).distinct()
+    more = common.saved(_verify(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti"), sets), f"{path}/met1")
+    if more.filter("link").limit(1).count():
+        labels = components(nodes, met.unionByName(more).filter("link"), f"{path}/turn1")
     return labels
 
 
