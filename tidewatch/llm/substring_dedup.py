@@ -219,8 +219,8 @@ def _marks(places: DataFrame, path: str, refine: int) -> DataFrame:
     sizes = distinct.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("around")).alias("bytes")).filter("n > 1")
     sizes = common.saved(sizes, f"{path}/sizes")
     total = sizes.filter(F.col("n") <= refine).agg(F.sum("bytes")).first()[0] or 0
-    groups = max(4, -(-total // GROUP))
-    several = distinct.join(sizes.select("prefix", "n"), "prefix")
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP))
+    several = distinct.join(sizes.select("prefix", "n").hint("merge"), "prefix")
 
     def tree(key, f):
         return pd.DataFrame({"same": f["same"], "prefix": f["prefix"], "hit": repeats(f)})
@@ -243,7 +243,7 @@ def _marks(places: DataFrame, path: str, refine: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["same", "prefix", "hit"])
 
         hits = hits.unionByName(large.select("same", "prefix").join(bits, "same", "left").mapInArrow(as_bits, "same binary, prefix long, hit binary"))
-    marks = distinct.select("same", "prefix", "low").join(hits, ["same", "prefix"], "left")
+    marks = distinct.select("same", "prefix", "low").join(hits.hint("merge"), ["same", "prefix"], "left")
     out = common.saved(marks, f"{path}/marks")
     common.release(spark)
     return out
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     common.release(spark)
     marks = _marks(places, path, refine)
     # all windows of a copy beyond the smallest document; of that one, those that a smaller document has elsewhere
-    found = places.select("prefix", "same", "doc_id", "block", "doc", "lo", "windows").join(marks, ["prefix", "same"])
+    found = places.select("prefix", "same", "doc_id", "block", "doc", "lo", "windows").join(marks.hint("merge"), ["prefix", "same"])
     found = found.filter((F.col("doc_id") > F.col("low")) | F.col("hit").isNotNull())
     flagged = common.saved(found.select("block", "doc", "lo", "windows", F.when(F.col("doc_id") > F.col("low"), F.lit(None)).otherwise(F.col("hit")).alias("hit")), f"{path}/flagged")
     common.release(spark)
