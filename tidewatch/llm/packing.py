@@ -41,7 +41,7 @@ def pieces_of(docs: DataFrame, *, vocabulary: str | None = None, length: int = L
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
-        encode = bpe.Encoder(where)
+        encode = bpe.encoder(where)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             row, made = [], []

@@ -42,7 +42,7 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id:
     dealt = named.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches):
-        encode, row = bpe.Encoder(where), 0
+        encode, row = bpe.encoder(where), 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids, texts = b.column(0), T.texts_of(b)
