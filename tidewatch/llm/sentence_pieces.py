@@ -22,8 +22,8 @@ from tidewatch.llm import text as T
 SPACE = "▁"
 #: Below the lowest piece's score by this much is a character without a piece.
 UNKNOWN_PENALTY = 10.0
-#: Cached segments; at this many the cache starts anew. About 80 MB a worker.
-CACHE = 200_000
+#: Cached segments; at this many the cache starts anew. About 200 MB a worker.
+CACHE = 500_000
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
@@ -127,6 +127,15 @@ class Pieces:
         found = [self._segment(x) for x in segments]
         return np.frombuffer(b"".join([f[0] for f in found]), "<u4"), sum([f[1] for f in found])
 
+    def decoded(self) -> list[bytes]:
+        """The bytes that each id stands for, space marks as blanks."""
+        out = ["�".encode()] * (max([self.unknown, *self.text, *self.bytes_of]) + 1)
+        for i, p in self.text.items():
+            out[i] = p.encode("utf-8", "surrogatepass").replace(SPACE.encode(), b" ")
+        for i, b in self.bytes_of.items():
+            out[i] = bytes([b])
+        return out
+
     def decode(self, ids) -> str:
         """The text of ids: byte pieces joined as UTF-8, space marks as blanks, the one in front gone."""
         out = bytearray()
@@ -154,13 +163,7 @@ def encode(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc
 
     def run(batches):
         pieces = Pieces.load(vocabulary)
-        known: dict[bytes, bytes] = {}  # decoded bytes of ids, a piece at a time
-
-        def piece(i: int) -> bytes:
-            if i not in known:
-                known[i] = bytes([pieces.bytes_of[i]]) if i in pieces.bytes_of else pieces.text.get(i, "�").encode("utf-8", "surrogatepass").replace(SPACE.encode(), b" ")
-            return known[i]
-
+        table = pieces.decoded()
         for b in batches:
             texts = T.texts_of(b)
             for lo, hi in T.chunks(texts, 1 << 20):
@@ -168,7 +171,7 @@ def encode(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc
                 for t in texts[lo:hi]:
                     raw = t or b""
                     ids, score = pieces.encode(raw.decode("utf-8", "replace"))
-                    back = b"".join([piece(i) for i in ids.tolist()])[1:]
+                    back = b"".join(map(table.__getitem__, ids.tolist()))[1:]
                     rows.append((ids, len(ids), score, zlib.crc32(ids.tobytes()), hashlib.sha256(back).hexdigest(), back == raw))
                 ids, n, score, crc, sha, same = zip(*rows, strict=True)
                 out = [b.column(0).slice(lo, hi - lo)]
