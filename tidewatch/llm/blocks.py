@@ -23,8 +23,8 @@ BLOCK = 6 << 20
 PART = 16 << 20
 
 
-def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", flag: F.Column | None = None) -> DataFrame:
-    """The blocks table. flag: a boolean column to carry, false for null."""
+def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", flag: F.Column | None = None, limit: int = BLOCK) -> DataFrame:
+    """The blocks table. flag: a boolean column to carry, false for null; limit: bytes of text in a block."""
     common.ship(docs.sparkSession)
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).alias("flag"), F.col(f"`{text_col}`").alias("text"))
 
@@ -56,7 +56,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
                 flags.append(f)
                 rows.append(t or b"")
                 size += len(rows[-1])
-                if size >= BLOCK:
+                if size >= limit:
                     yield made()
                     number += 1
                     ids, flags, rows, size = [], [], [], 0

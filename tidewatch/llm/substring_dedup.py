@@ -26,6 +26,8 @@ from tidewatch.llm import text as T
 
 #: Words of a window, and of the prefix that suffixes are first grouped by.
 WINDOW, PREFIX = 50, 8
+#: Bytes of text in a block; its prefixes rarely repeat within it, so a small one costs no more keys.
+BLOCK = 3 << 20
 #: Distinct surroundings of one prefix beyond which it is refined.
 REFINE = 4000
 #: Bytes of surroundings in a memory-sized group.
@@ -269,7 +271,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     path = common.staging(spark)
-    blocks = B.write(docs, f"{path}/blocks", id_col=id_col, text_col=text_col)
+    blocks = B.write(docs, f"{path}/blocks", id_col=id_col, text_col=text_col, limit=BLOCK)
     repeated = common.saved(_repeated(_prefixes(blocks, B.parts_of(blocks))), f"{path}/repeated")
     places = common.saved(_places(blocks, repeated), f"{path}/places")
     common.release(spark)
