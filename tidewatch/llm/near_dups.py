@@ -2,8 +2,8 @@
 
 Two permutations serve all coordinates of a signature: the first (sigma) scatters shingles over a circle of places, the
 second (pi) gives each place a rank, and coordinate k reads pi shifted by k. Texts with the same words are one class. Bands
-of coordinates make buckets of classes. Within a bucket no pairs are listed: members are verified against a centre, and then
-only pairs between components that exact bounds with respect to the centre leave open.
+of coordinates make buckets of classes. Within a bucket no pairs are listed: members are verified against centres, and then
+only pairs between components that exact bounds on the rarest shingles leave open.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ WORDS, SIMILAR = 5, 75
 PLACES, BANDS, ROWS = 1 << 21, 32, 4
 #: Members up to which all of a bucket's open pairs are verified at once.
 SMALL = 16
+#: Further centres that a large bucket's members are verified against before its open pairs are looked for.
+TURNS = 3
 _CHUNK = 1 << 20
 
 
@@ -150,45 +152,57 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _apart(members: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a large bucket's members in different components that could be links.
+def _merged(labels: DataFrame, links: DataFrame, path: str) -> DataFrame:
+    """Labels after more links: only the components that those touch are walked."""
+    of = [labels.select(F.col("node").alias(x), F.col("comp").alias(f"of_{x}")) for x in "ab"]
+    over = links.join(of[0], "a").join(of[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a != b").distinct()
+    over = common.saved(over, f"{path}/over")
+    nodes = over.select(F.col("a").alias("node")).unionByName(over.select(F.col("b").alias("node"))).distinct()
+    moved = components(nodes, over, path).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return common.saved(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), f"{path}/labels")
+
+
+def _gathered(members: DataFrame, labels: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """Labels after some turns in which each large bucket's members outside its centre's component are verified against the
+    centre, another in each turn and bucket. It is work in proportion to the members; what it leaves is _apart's."""
+    for turn in range(TURNS):
+        active = _active(members, labels, f"{path}/active{turn}")
+        centre = active.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("key", "node", F.lit(turn))).alias("c"))
+        rows = active.join(centre, "key").filter((F.col("comp") != F.col("c.comp")) & _alike("n", "c.n"))
+        pairs = _ordered(rows.select(F.col("node").alias("x"), F.col("c.node").alias("y")))
+        links = common.saved(_verify(pairs, sets).filter("link").select("a", "b"), f"{path}/links{turn}")
+        if not links.limit(1).count():
+            break
+        labels = _merged(labels, links, f"{path}/merged{turn}")
+    return labels
+
+
+def _apart(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of members of large buckets in different components that could be links.
 
-    With respect to the bucket's centre c, two sets have in common at most the smaller of their intersections with c, and
-    what both have outside c. So a link either shares a shingle outside c, or the smaller intersection is large enough
-    alone. The first are met by that shingle; the second need a member small enough for some member of another component
-    than c's, and in a group of copies with changes of their own there is none.
+    With all shingles in one order, rarest among these members first, a link's first common shingle stands among the first
+    quarter of both sets, and from it on both sets are at least as long as the intersection must be. Copies with changes of
+    their own begin with those, so that texts too different for a link meet too late.
     """
-    pair = [F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")]
-    with_c = members.filter("node != centre").select("key", "node", "n", "comp", "centre", *pair).join(met.select("a", "b", "both"), ["a", "b"])
-    with_c = with_c.select("key", "node", "n", "comp", "centre", "both")
-    of_c = members.filter("node = centre").select("key", F.col("comp").alias("comp_c"))
-    with_c = with_c.join(of_c, "key")
-    out = (100 + SIMILAR) / SIMILAR
-    reach = F.col("both") * out - F.col("n")  # the largest set that could be linked through c alone
-    strangers = with_c.filter("comp != comp_c").withColumn("reach", reach)
-    limit = strangers.groupBy("key").agg(F.max("reach").alias("limit"))
-    small = with_c.join(limit, "key").filter(F.col("n") <= F.col("limit") + 1e-6)
-    small = small.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("both").alias("both2"))
-    least = F.least("both", "both2")
-    through = strangers.join(small, "key").filter((F.col("comp") != F.col("comp2")) & (100 * least >= SIMILAR * (F.col("n") + F.col("n2") - least)))
-    # shingles outside the centre, once for each centre
-    each = with_c.select("centre", "node", "n", "comp").distinct()
-    own = each.join(sets.select("node", "shingles"), "node").join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("core")), "centre")
-    own = own.select("centre", "node", "n", "comp", F.explode(F.array_except("shingles", "core")).alias("shingle"))
-    mixed = own.groupBy("centre", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("centre", "shingle")
-    own = own.join(mixed, ["centre", "shingle"])
-    other = own.select("centre", "shingle", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    beside = own.join(other, ["centre", "shingle"]).filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _alike("n", "n2"))
-    both = through.select("node", "node2").unionByName(beside.select("node", "node2"))
-    return _ordered(both.select(F.col("node").alias("x"), F.col("node2").alias("y")))
+    each = members.select("node", "n", "comp").distinct()
+    own = sets.join(each.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    seen = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen"))
+    order = own.join(seen, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("order"))
+    quarter = F.slice("order", F.lit(1), (F.floor(F.col("n") / 4) + 1).cast("int"))
+    first = order.join(each, "node").select("node", "n", "comp", F.posexplode(quarter).alias("at", "x"))
+    first = first.filter("x.seen > 1").select("node", "n", "comp", (F.col("n") - F.col("at")).alias("rest"), F.col("x.shingle").alias("shingle"))
+    other = first.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "rest")])
+    late = (100 + SIMILAR) * F.least("rest", "rest2") < SIMILAR * (F.col("n") + F.col("n2"))
+    met = first.join(other, "shingle").filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _alike("n", "n2") & ~late)
+    return _ordered(met.select(F.col("node").alias("x"), F.col("node2").alias("y")))
 
 
 def _link(classes: DataFrame, sets_for, path: str) -> DataFrame:
     """(node, comp) for the classes that share a bucket with another; classes: (node, n, keys).
 
     Every pair of a bucket ends in one component, or verified, or excluded by sizes or bounds: first all members are
-    verified against the bucket's centre, its smallest node; then small buckets verify all open pairs between components,
-    larger ones those that the bounds of _apart leave.
+    verified against the bucket's centre, its smallest node, in large buckets then against further centres; then small
+    buckets verify all open pairs between components, larger ones those that the bounds of _apart leave.
     """
     banded = classes.select("node", "n", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1")
@@ -196,9 +210,10 @@ def _link(classes: DataFrame, sets_for, path: str) -> DataFrame:
     nodes = common.saved(members.select("node").distinct(), f"{path}/nodes")
     sets = sets_for(nodes)
     sized = members.join(members.filter(F.col("node") == F.col("centre")).select("key", F.col("n").alias("n0")), "key")
-    pairs = _ordered(sized.filter(F.col("large") | _alike("n", "n0")).select(F.col("node").alias("x"), F.col("centre").alias("y")))
+    pairs = _ordered(sized.filter(_alike("n", "n0")).select(F.col("node").alias("x"), F.col("centre").alias("y")))
     met = common.saved(_verify(pairs, sets), f"{path}/met0")
     labels = components(nodes, met.filter("link"), f"{path}/turn0")
+    labels = _gathered(members.filter("large").select("key", "node", "n"), labels, sets, path)
     active = _active(members, labels, f"{path}/active")
     one = active.filter(~F.col("large")).select("key", "node", "n", "comp")
     two = one.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
@@ -206,10 +221,10 @@ def _link(classes: DataFrame, sets_for, path: str) -> DataFrame:
     pairs = _ordered(rows.select(F.col("node").alias("x"), F.col("node2").alias("y")))
     large = active.filter("large")
     if large.limit(1).count():
-        pairs = pairs.unionByName(_apart(large, met, sets)).distinct()
+        pairs = pairs.unionByName(_apart(large, sets)).distinct()
     more = common.saved(_verify(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti"), sets), f"{path}/met1")
     if more.filter("link").limit(1).count():
-        labels = components(nodes, met.unionByName(more).filter("link"), f"{path}/turn1")
+        labels = _merged(labels, more.filter("link"), f"{path}/turn1")
     return labels
 
 
