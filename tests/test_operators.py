@@ -13,6 +13,7 @@ from tidewatch.operators import diagnostics as D
 from tidewatch.operators import events as E
 from tidewatch.operators import metrics as M
 from tidewatch.operators import rolling as R
+from tidewatch.plans import pipelines
 from tidewatch.sources import results
 from tidewatch.sources import series as S
 
@@ -85,6 +86,15 @@ def test_best_threshold_rules(spark):
     assert best == {"a": (2.0, 0.0), "b": (3.0, None), "c": (2.5, 0.2)}
 
 
+def test_report_may_bridge_less_than_the_sweep(spark):
+    values = np.where(np.arange(200) % 2, 1.0, -1.0)
+    values[[100, 101, 104, 105]] = 1e3
+    rows = line(spark, values).withColumn("is_anomaly", F.col("idx").isin(100, 101).cast("int")).withColumn("resid", F.col("value"))
+    bridged, apart = pipelines.by_rolling_scale(rows).first(), pipelines.by_rolling_scale(rows, final_gap=0).first()
+    assert (bridged.best_k, bridged.n_pred_events, bridged.fp) == (3.0, 1, 0)
+    assert (apart.best_k, apart.n_pred_events, apart.fp) == (3.0, 2, 1)
+
+
 def test_pr_auc(spark):
     rows = [("a", 0.1, 0), ("a", 0.4, 0), ("a", 0.35, 1), ("a", 0.8, 1)]
     curve = D.pr_curve(spark.createDataFrame(rows, "series_id string, score double, is_anomaly int"))

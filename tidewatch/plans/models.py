@@ -53,8 +53,8 @@ def local_level_forecast(series: DataFrame, train: float = 0.7) -> DataFrame:
     return structural_forecast(series, train, state_space.Structural(slope=False))
 
 
-def bsts_forecast(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48,), harmonics: int = 10) -> DataFrame:
-    return structural_forecast(series, train, state_space.Structural(periods=periods, harmonics=harmonics))
+def bsts_forecast(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48,), harmonics: int = 10, fit_rows: int | None = 480) -> DataFrame:
+    return structural_forecast(series, train, state_space.Structural(periods=periods, harmonics=harmonics), fit_rows)
 
 
 def gp_forecast(series: DataFrame, train: float = 0.5, rows: int = 1000, periods=((48.0, 47.5, 48.5), (336.0, 335.0, 337.0)), restarts: int = 1) -> DataFrame:

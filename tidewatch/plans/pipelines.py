@@ -8,11 +8,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions import state_space
 from tidewatch.operators import events as E
 from tidewatch.operators import metrics as M
 from tidewatch.operators import points as P
 from tidewatch.operators import rolling as R
 from tidewatch.plans import models
+from tidewatch.sources import results
 
 PERSIST, GAP = 2, 3
 
@@ -39,13 +41,23 @@ def report(test: DataFrame, flagged: DataFrame, chosen: DataFrame, gap: int = GA
     return chosen.join(m, "series_id").join(b, "series_id")
 
 
-def tuned(test: DataFrame, flagged: DataFrame, ks: list[float], most: float | None = 0.10, gap: int = GAP) -> DataFrame:
-    """Choose each series' threshold on the rows it is judged on, and report. flagged: (series_id, k, idx)."""
+def tuned(test: DataFrame, flagged: DataFrame, ks: list[float], most: float | None = 0.10, gap: int = GAP, final_gap: int | None = None) -> DataFrame:
+    """Choose each series' threshold on the rows it is judged on, and report. flagged: (series_id, k, idx). final_gap: the
+    zeros bridged in the report, where it differs from the sweep's gap."""
     test, flagged = once(test), once(flagged)
     swept = M.sweep(test, flagged, _true(test), ks, gap)
     chosen = once(M.best(swept, most))
     final = flagged.join(chosen.select("series_id", F.col("best_k").alias("k")), ["series_id", "k"]).select("series_id", "idx")
-    return report(test, final, chosen, gap)
+    return report(test, final, chosen, gap if final_gap is None else final_gap)
+
+
+def by_rolling_scale(test: DataFrame, final_gap: int | None = None) -> DataFrame:
+    """Residuals over their deviation in the last 48 rows (where that is 0, over that of all of them), thresholds 3 to 12,
+    no bound on the anomaly rate. NaN residuals are missing."""
+    known = test.withColumn("resid", F.nanvl("resid", F.lit(None).cast("double")))
+    z = F.when(F.col("scale") > 0, F.abs("resid") / F.col("scale"))
+    s = once(R.residual_z(known, "resid", "rolling", window=48, train=F.lit(True)).withColumn("z", z))
+    return tuned(s, M.above_by_k(s, "z", M.WIDE_GRID, PERSIST), M.WIDE_GRID, None, final_gap=final_gap)
 
 
 def kalman(series: DataFrame, train: float = 0.7) -> DataFrame:
@@ -100,11 +112,42 @@ def hybrid_scores(series: DataFrame, train: float = 0.5, epochs: int = 10) -> Da
     return s.withColumn("combined_score", P.ensemble({"score_stl": 1.0, "score_gp": 1.0, "score_lstm": 1.0}))
 
 
-def hybrid(series: DataFrame, train: float = 0.5) -> DataFrame:
-    test = once(_part(hybrid_scores(series, train), train))
+def hybrid(series: DataFrame, train: float = 0.5, epochs: int = 10) -> DataFrame:
+    test = once(_part(hybrid_scores(series, train, epochs), train))
     return tuned(test, M.above_by_k(test, "combined_score", M.K_GRID, PERSIST), M.K_GRID)
 
 
+def bsts_dummy(series: DataFrame, train: float = 0.5, season: int = 48, fit_rows: int | None = 480) -> DataFrame:
+    """Trend and a dummy season; thresholds are compared on bridged events, the report's events aren't bridged."""
+    f = models.structural_forecast(series, train, state_space.Structural(dummy=season), fit_rows)
+    return by_rolling_scale(_part(f.withColumn("resid", F.col("value") - F.col("pred_mean")), train), final_gap=0)
+
+
+def bsts_enhanced(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10, fit_rows: int | None = 480) -> DataFrame:
+    """Trend and harmonics of a day and a week, without a validation part."""
+    f = models.bsts_forecast(series, train, periods, harmonics, fit_rows)
+    return by_rolling_scale(_part(f.withColumn("resid", F.col("value") - F.col("pred_mean")), train))
+
+
+def lstm_raw(series: DataFrame, train: float = 0.5, epochs: int = 20) -> DataFrame:
+    """One layer on the values themselves, scaled by the training part."""
+    f = models.lstm_forecast(series, train, layers=1, epochs=epochs, scale="train")
+    return by_rolling_scale(_part(f.withColumn("resid", F.col("target") - F.col("pred")), train))
+
+
+def gaussian_process_simple(series: DataFrame, train: float = 0.5) -> DataFrame:
+    """One season; residuals over the predicted deviation of their own row, events bridged over one row, no bound on the
+    anomaly rate."""
+    f = models.gp_forecast(series, train, periods=((48.0, 47.0, 49.0),), restarts=3)
+    test = once(_part(f.withColumn("z", F.abs(F.col("value") - F.col("pred_mean")) / F.col("pred_std")), train))
+    return tuned(test, M.above_by_k(test, "z", M.K_GRID, PERSIST), M.K_GRID, None, gap=1)
+
+
+def changepoints(series: DataFrame, hazard: float = 0.01, over: float = 0.5) -> DataFrame:
+    """Each row's chance of a changepoint, the likeliest run length, and whether the chance is over a bound."""
+    return models.run_lengths(series, hazard).withColumn("highlight", (F.col("cp_prob") > over).cast("int"))
+
+
 def stl_baseline(series: DataFrame) -> DataFrame:
     """Residuals of the decomposition over their rolling deviation, thresholds 3 to 12, no bound on the anomaly rate."""
     d = models.decompose(series)
@@ -120,3 +163,10 @@ def benchmark(series: DataFrame, detectors: dict[str, Callable[[DataFrame], Data
         rows = run(series).withColumn("Model", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def ranked(reports: DataFrame) -> DataFrame:
+    """The leaderboard of benchmark()'s rows."""
+    level = F.struct("precision", "recall", "f1", "tp", "fp", "fn", "n_true_events", "n_pred_events")
+    business = F.struct("fp_per_day", "median_latency_minutes", "duration_days")
+    return results.leaderboard(reports.select("Model", F.col("series_id").alias("Dataset"), level.alias("event_level"), business.alias("business"), "fp_per_day", "median_latency_minutes"))

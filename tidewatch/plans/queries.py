@@ -315,6 +315,34 @@ def pipeline_stl_baseline(spark, sf):
     return pipelines.stl_baseline(_marked(spark, sf))
 
 
+def pipeline_lstm(spark, sf):
+    return pipelines.lstm(_marked(spark, sf), epochs=2)
+
+
+def pipeline_bsts_dummy(spark, sf):
+    return pipelines.bsts_dummy(_marked(spark, sf), season=12, fit_rows=240)
+
+
+def pipeline_bsts_enhanced(spark, sf):
+    return pipelines.bsts_enhanced(_marked(spark, sf), harmonics=1, fit_rows=240)
+
+
+def pipeline_lstm_raw(spark, sf):
+    return pipelines.lstm_raw(_marked(spark, sf), epochs=2)
+
+
+def pipeline_gp_simple(spark, sf):
+    return pipelines.gaussian_process_simple(_marked(spark, sf))
+
+
+def pipeline_changepoints(spark, sf):
+    return pipelines.changepoints(_marked(spark, sf)).select("series_id", "idx", "cp_prob", "map_run_length", "highlight")
+
+
+def benchmark_leaderboard(spark, sf):
+    return pipelines.ranked(pipelines.benchmark(_marked(spark, sf), {"KALMAN": pipelines.kalman, "STL": pipelines.stl_baseline}))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         series_grid, series_index, split_three_way, tail_subsample, label_lookup_fallback, label_asof, label_windows, label_counts, normalize_zscore, mad_sigma,
@@ -323,7 +351,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         lstm_score_rolling, rolling_volatility, ensemble_mean, pr_curve, pr_auc, residual_kurtosis, residual_histogram, acf, pacf, qq_points, leaderboard,
         cv_summary, bocpd_cp_prob, bocpd_map_run_length, local_level_filter, stl_additive, stl_decompose, local_level_forecast, local_trend_forecast,
         bsts_forecast, bsts_dummy_forecast, gp_forecast, gp_simple_forecast, lstm_forecast, hybrid_scores, pipeline_kalman, pipeline_bsts, pipeline_gp,
-        pipeline_stl_baseline,
+        pipeline_stl_baseline, pipeline_lstm, pipeline_bsts_dummy, pipeline_bsts_enhanced, pipeline_lstm_raw, pipeline_gp_simple,
+        pipeline_changepoints, benchmark_leaderboard,
     )
     found = {f.__name__: f for f in plain}
     found |= {f"residual_z_flags_{m}": partial(residual_z_flags, m) for m in ("std", "mad", "rolling")}
