@@ -13,7 +13,8 @@ from tidewatch.operators import diagnostics as D
 from tidewatch.operators import events as E
 from tidewatch.operators import metrics as M
 from tidewatch.operators import rolling as R
-from tidewatch.plans import pipelines
+from tidewatch.plans import models, pipelines
+from tidewatch.plans import queries as plans
 from tidewatch.sources import results
 from tidewatch.sources import series as S
 
@@ -157,3 +158,16 @@ def test_stream_equals_batch(spark, tmp_path):
     got = online.run_available(online.stream_grid(online.events_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "c"))
     batch = S.grid(events).filter("value != 0").select("series_id", "ts", "value")
     assert got.exceptAll(batch).count() == 0 and got.count() > 0.9 * batch.count()
+
+
+def test_queries_run_the_detectors_own_defaults(monkeypatch):
+    monkeypatch.setattr(plans, "_marked", lambda spark, sf: "rows")
+    monkeypatch.setattr(pipelines, "ranked", lambda reports: reports)
+    for query, detector in {"hybrid_scores": "hybrid_scores", "pipeline_bsts": "bsts", "pipeline_lstm": "lstm", "pipeline_hybrid": "hybrid", "pipeline_bsts_dummy": "bsts_dummy", "pipeline_bsts_enhanced": "bsts_enhanced", "pipeline_lstm_raw": "lstm_raw", "benchmark_leaderboard": "benchmark"}.items():
+        monkeypatch.setattr(pipelines, detector, lambda *args, **more: (args, more))
+        assert plans.queries()[query](None, "") == (("rows",), {}), query
+    monkeypatch.setattr(models, "structural_forecast", lambda series, train, model, fit_rows=None: model.size)
+    assert plans.bsts_forecast(None, "") == 2 + 2 * 10 + 2 * 10
+    assert plans.bsts_dummy_forecast(None, "") == 2 + 47
+    monkeypatch.setattr(models, "lstm_forecast", lambda *args, **more: more["epochs"])
+    assert plans.lstm_forecast(None, "") == 20

@@ -53,7 +53,7 @@ def local_level_forecast(series: DataFrame, train: float = 0.7) -> DataFrame:
     return structural_forecast(series, train, state_space.Structural(slope=False))
 
 
-def bsts_forecast(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48,), harmonics: int = 10, fit_rows: int | None = 480) -> DataFrame:
+def bsts_forecast(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10, fit_rows: int | None = 480) -> DataFrame:
     return structural_forecast(series, train, state_space.Structural(periods=periods, harmonics=harmonics), fit_rows)
 
 

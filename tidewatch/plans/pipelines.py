@@ -68,7 +68,7 @@ def kalman(series: DataFrame, train: float = 0.7) -> DataFrame:
     return report(test, E.persistent(flags, PERSIST), chosen, 0)
 
 
-def bsts(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48,), harmonics: int = 10) -> DataFrame:
+def bsts(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10) -> DataFrame:
     """Trend and harmonics; residuals less their median; the threshold is chosen on the validation part alone."""
     f = models.bsts_forecast(series, train, periods, harmonics).withColumn("r", F.col("value") - F.col("pred_mean"))
     later = P.split(f, train).filter("split != 'Train'")

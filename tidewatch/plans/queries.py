@@ -276,11 +276,11 @@ def local_trend_forecast(spark, sf):
 
 
 def bsts_forecast(spark, sf):
-    return models.bsts_forecast(_marked(spark, sf), harmonics=4)
+    return models.bsts_forecast(_marked(spark, sf))
 
 
 def bsts_dummy_forecast(spark, sf):
-    return models.structural_forecast(_marked(spark, sf), 0.5, state_space.Structural(dummy=12), 240)
+    return models.structural_forecast(_marked(spark, sf), 0.5, state_space.Structural(dummy=48))
 
 
 def gp_forecast(spark, sf):
@@ -292,11 +292,11 @@ def gp_simple_forecast(spark, sf):
 
 
 def lstm_forecast(spark, sf):
-    return models.lstm_forecast(_marked(spark, sf), layers=1, epochs=2, scale="train")
+    return models.lstm_forecast(_marked(spark, sf), layers=1, epochs=20, scale="train")
 
 
 def hybrid_scores(spark, sf):
-    return pipelines.hybrid_scores(_marked(spark, sf), epochs=2)
+    return pipelines.hybrid_scores(_marked(spark, sf))
 
 
 def pipeline_kalman(spark, sf):
@@ -304,7 +304,7 @@ def pipeline_kalman(spark, sf):
 
 
 def pipeline_bsts(spark, sf):
-    return pipelines.bsts(_marked(spark, sf), harmonics=4)
+    return pipelines.bsts(_marked(spark, sf))
 
 
 def pipeline_gp(spark, sf):
@@ -316,19 +316,23 @@ def pipeline_stl_baseline(spark, sf):
 
 
 def pipeline_lstm(spark, sf):
-    return pipelines.lstm(_marked(spark, sf), epochs=2)
+    return pipelines.lstm(_marked(spark, sf))
+
+
+def pipeline_hybrid(spark, sf):
+    return pipelines.hybrid(_marked(spark, sf))
 
 
 def pipeline_bsts_dummy(spark, sf):
-    return pipelines.bsts_dummy(_marked(spark, sf), season=12, fit_rows=240)
+    return pipelines.bsts_dummy(_marked(spark, sf))
 
 
 def pipeline_bsts_enhanced(spark, sf):
-    return pipelines.bsts_enhanced(_marked(spark, sf), harmonics=1, fit_rows=240)
+    return pipelines.bsts_enhanced(_marked(spark, sf))
 
 
 def pipeline_lstm_raw(spark, sf):
-    return pipelines.lstm_raw(_marked(spark, sf), epochs=2)
+    return pipelines.lstm_raw(_marked(spark, sf))
 
 
 def pipeline_gp_simple(spark, sf):
@@ -340,7 +344,7 @@ def pipeline_changepoints(spark, sf):
 
 
 def benchmark_leaderboard(spark, sf):
-    return pipelines.ranked(pipelines.benchmark(_marked(spark, sf), {"KALMAN": pipelines.kalman, "STL": pipelines.stl_baseline}))
+    return pipelines.ranked(pipelines.benchmark(_marked(spark, sf)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -351,7 +355,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         lstm_score_rolling, rolling_volatility, ensemble_mean, pr_curve, pr_auc, residual_kurtosis, residual_histogram, acf, pacf, qq_points, leaderboard,
         cv_summary, bocpd_cp_prob, bocpd_map_run_length, local_level_filter, stl_additive, stl_decompose, local_level_forecast, local_trend_forecast,
         bsts_forecast, bsts_dummy_forecast, gp_forecast, gp_simple_forecast, lstm_forecast, hybrid_scores, pipeline_kalman, pipeline_bsts, pipeline_gp,
-        pipeline_stl_baseline, pipeline_lstm, pipeline_bsts_dummy, pipeline_bsts_enhanced, pipeline_lstm_raw, pipeline_gp_simple,
+        pipeline_stl_baseline, pipeline_lstm, pipeline_hybrid, pipeline_bsts_dummy, pipeline_bsts_enhanced, pipeline_lstm_raw, pipeline_gp_simple,
         pipeline_changepoints, benchmark_leaderboard,
     )
     found = {f.__name__: f for f in plain}
