@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions import gaussian_process, state_space
 from tidewatch.functions.changepoints import RunLengths
 from tidewatch.functions.stl import stl
 from tidewatch.operators import diagnostics as D
@@ -171,3 +172,18 @@ def test_queries_run_the_detectors_own_defaults(monkeypatch):
     assert plans.bsts_dummy_forecast(None, "") == 2 + 47
     monkeypatch.setattr(models, "lstm_forecast", lambda *args, **more: more["epochs"])
     assert plans.lstm_forecast(None, "") == 20
+
+
+def test_fits_take_the_whole_training_part(monkeypatch):
+    y, seen = np.sin(np.arange(1440) / 7.0), []
+    monkeypatch.setattr(models, "_each", lambda series, columns, work: work(y))
+    likelihood = state_space.Structural.filter
+    monkeypatch.setattr(state_space.Structural, "filter", lambda self, part, v: seen.append(len(part)) or likelihood(self, part[-50:], v))
+    models.local_level_forecast(None)
+    models.structural_forecast(None, 0.5, state_space.Structural())
+    models.bsts_forecast(None, periods=(48,), harmonics=1)
+    assert set(seen) == {int(1440 * 0.7), 720}
+    seen.clear()
+    monkeypatch.setattr(gaussian_process, "evidence", lambda p, x, y: seen.append(len(x)) or 0.0)
+    models.gp_forecast(None)
+    assert set(seen) == {720}

@@ -37,11 +37,12 @@ def evidence(p, x, y) -> float:
     return -0.5 * z @ z - np.log(np.diag(L)).sum() - 0.5 * len(x) * np.log(2 * np.pi)
 
 
-def fit(kernel: Kernel, x: np.ndarray, y: np.ndarray, restarts: int = 1, rounds: int = 2, sample: int = 250, seed: int = 0) -> np.ndarray:
-    """Parameters within bounds by coordinate search on logarithms, on the last sample rows; the best of all starts."""
+def fit(kernel: Kernel, x: np.ndarray, y: np.ndarray, restarts: int = 1, rounds: int = 2, sample: int | None = None, seed: int = 0) -> np.ndarray:
+    """Parameters within bounds by coordinate search on logarithms, on all rows or the last sample ones; the best of all starts."""
     rng = np.random.default_rng(seed)
     low, high = np.log(kernel.low), np.log(kernel.high)
-    x, y = x[-sample:], (y[-sample:] - y.mean()) / (y.std() or 1.0)
+    last = slice(None) if sample is None else slice(-sample, None)
+    x, y = x[last], (y[last] - y.mean()) / (y.std() or 1.0)
     best, found = -np.inf, np.log(kernel.start)
     for r in range(restarts + 1):
         p = np.log(kernel.start) if r == 0 else rng.uniform(low, high)

@@ -38,8 +38,9 @@ def _padded(n: int, *parts: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate([np.full(n - len(p), np.nan), p]) for p in parts]
 
 
-def structural_forecast(series: DataFrame, train: float, model: state_space.Structural, fit_rows: int | None = 480) -> DataFrame:
-    """pred_mean, pred_std, pred_lower, pred_upper from the end of the training part on, without updates."""
+def structural_forecast(series: DataFrame, train: float, model: state_space.Structural, fit_rows: int | None = None) -> DataFrame:
+    """pred_mean, pred_std, pred_lower, pred_upper from the end of the training part on, without updates. fit_rows: the last
+    rows of the training part that give the variances, all of them where it is None."""
 
     def work(y):
         end = int(len(y) * train)
@@ -49,11 +50,11 @@ def structural_forecast(series: DataFrame, train: float, model: state_space.Stru
     return _each(series, "pred_mean double, pred_std double, pred_lower double, pred_upper double", work)
 
 
-def local_level_forecast(series: DataFrame, train: float = 0.7) -> DataFrame:
-    return structural_forecast(series, train, state_space.Structural(slope=False))
+def local_level_forecast(series: DataFrame, train: float = 0.7, fit_rows: int | None = None) -> DataFrame:
+    return structural_forecast(series, train, state_space.Structural(slope=False), fit_rows)
 
 
-def bsts_forecast(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10, fit_rows: int | None = 480) -> DataFrame:
+def bsts_forecast(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10, fit_rows: int | None = None) -> DataFrame:
     return structural_forecast(series, train, state_space.Structural(periods=periods, harmonics=harmonics), fit_rows)
 
 

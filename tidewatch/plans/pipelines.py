@@ -60,17 +60,17 @@ def by_rolling_scale(test: DataFrame, final_gap: int | None = None) -> DataFrame
     return tuned(s, M.above_by_k(s, "z", M.WIDE_GRID, PERSIST), M.WIDE_GRID, None, final_gap=final_gap)
 
 
-def kalman(series: DataFrame, train: float = 0.7) -> DataFrame:
+def kalman(series: DataFrame, train: float = 0.7, fit_rows: int | None = None) -> DataFrame:
     """Local level; residuals over their MAD scale, k = 3, persistence 2, events without bridging."""
-    test = once(_part(models.local_level_forecast(series, train).withColumn("resid", F.col("value") - F.col("pred_mean")), train))
+    test = once(_part(models.local_level_forecast(series, train, fit_rows).withColumn("resid", F.col("value") - F.col("pred_mean")), train))
     flags = R.residual_z(test, "resid", "mad", 3.0).filter("flag = 1").select("series_id", "idx")
     chosen = test.select("series_id").distinct().withColumns({"best_k": F.lit(3.0), "best_f1": F.lit(None).cast("double")})
     return report(test, E.persistent(flags, PERSIST), chosen, 0)
 
 
-def bsts(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10) -> DataFrame:
+def bsts(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10, fit_rows: int | None = None) -> DataFrame:
     """Trend and harmonics; residuals less their median; the threshold is chosen on the validation part alone."""
-    f = models.bsts_forecast(series, train, periods, harmonics).withColumn("r", F.col("value") - F.col("pred_mean"))
+    f = models.bsts_forecast(series, train, periods, harmonics, fit_rows).withColumn("r", F.col("value") - F.col("pred_mean"))
     later = P.split(f, train).filter("split != 'Train'")
     return validated(P.centred(later, "r").withColumn("resid", F.col("centred")))
 
@@ -117,13 +117,13 @@ def hybrid(series: DataFrame, train: float = 0.5, epochs: int = 10) -> DataFrame
     return tuned(test, M.above_by_k(test, "combined_score", M.K_GRID, PERSIST), M.K_GRID)
 
 
-def bsts_dummy(series: DataFrame, train: float = 0.5, season: int = 48, fit_rows: int | None = 480) -> DataFrame:
+def bsts_dummy(series: DataFrame, train: float = 0.5, season: int = 48, fit_rows: int | None = None) -> DataFrame:
     """Trend and a dummy season; thresholds are compared on bridged events, the report's events aren't bridged."""
     f = models.structural_forecast(series, train, state_space.Structural(dummy=season), fit_rows)
     return by_rolling_scale(_part(f.withColumn("resid", F.col("value") - F.col("pred_mean")), train), final_gap=0)
 
 
-def bsts_enhanced(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10, fit_rows: int | None = 480) -> DataFrame:
+def bsts_enhanced(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10, fit_rows: int | None = None) -> DataFrame:
     """Trend and harmonics of a day and a week, without a validation part."""
     f = models.bsts_forecast(series, train, periods, harmonics, fit_rows)
     return by_rolling_scale(_part(f.withColumn("resid", F.col("value") - F.col("pred_mean")), train))
