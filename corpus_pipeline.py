@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tidewatch.llm import common, language_id, near_dups, packing, quality_rules, substring_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Posterior below which a document counts as being in no learned language.
-LEAST_SCORE = 0.5
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -24,10 +22,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter or without a language that fits."""
-    model = language_id.train(docs.filter(~language_id.held_out()))
-    found = language_id.predict(docs.withColumn("__doc_text", F.col("text")), model, keep=COLUMNS, text_col="__doc_text")
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    """Drop documents without a letter, and those whose n-grams are far less likely than those of the training documents of
+    the language found (the posterior is near 1 for any long text)."""
+    known = docs.filter(~language_id.held_out() & F.col("lang").isNotNull())
+    model = language_id.train(known)
+    found = language_id.predict(docs.withColumn("__doc_text", F.col("text")), model, keep=COLUMNS, text_col="__doc_text", with_fit=True)
+    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("fit") >= language_id.least_fit(known, model))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

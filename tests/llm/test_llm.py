@@ -270,3 +270,19 @@ def test_encoder_equals_the_library():
     texts = [r[1] or "" for r in rows()] + ["a \x1cb", " x", "x ", "it's  we'll\n\n don't", "<|endoftext|> a", "日本 語 1a ²"]
     e = bpe.Encoder(bpe.vocabulary(), cache=50)
     assert [e(t) for t in texts] == [np.array(x[:-1], "<u4").tobytes() for x in direct(texts)]
+
+
+def test_pipeline_drops_texts_in_no_learned_language(spark):
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    odd = {
+        -1: "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto " * 5,
+        -2: "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью " * 5,
+        -3: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80)),
+        -4: " ".join(f"{rng.getrandbits(32):08x}" for _ in range(80)),
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS).filter("size(split(text, ' ')) >= 50")
+    more = spark.createDataFrame([(i, t, None, "web", len(t)) for i, t in odd.items()], docs.schema)
+    got = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    assert got == {r.doc_id for r in docs.select("doc_id").collect()}

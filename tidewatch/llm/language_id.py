@@ -20,6 +20,9 @@ BUCKETS = 1 << BITS
 MAX_LANGS = 256
 ORDERS = (2, 3)
 UNKNOWN = "und"
+#: How far below its language's mean a text's mean log-probability may lie. By Chebyshev's inequality fewer than 1 in 36 of the
+#: texts that give the mean lie 6 deviations off, whatever their distribution.
+DEVIATIONS, MARGIN = 6.0, 1.0
 _CHUNK = 1 << 20
 
 
@@ -67,6 +70,15 @@ def log_likelihoods(texts: list[bytes | None], logp: np.ndarray) -> np.ndarray:
     return out
 
 
+def n_grams(texts: list[bytes | None]) -> np.ndarray:
+    """Each text's number of n-grams of all orders."""
+    out = np.zeros(len(texts), np.int64)
+    for lo, hi in T.chunks(texts, _CHUNK):
+        size = np.diff(_codes(texts[lo:hi])[1])
+        out[lo:hi] = sum(np.maximum(size - order + 1, 0) for order in ORDERS)
+    return out
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages in order, log-probabilities (languages x BUCKETS), log-priors; from all rows with a text and a language."""
     common.ship(labelled.sparkSession)
@@ -102,8 +114,9 @@ def _has_letter(t: bytes | None) -> bool:
     return t is not None and any(c.isalpha() for c in t.decode("utf-8", "replace"))
 
 
-def predict(docs: DataFrame, model: tuple, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """keep, then lang_pred and score, the posterior probability of lang_pred; ties go to the first language by name.
+def predict(docs: DataFrame, model: tuple, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_fit: bool = False) -> DataFrame:
+    """keep, then lang_pred and score, the posterior probability of lang_pred; ties go to the first language by name. with_fit
+    adds fit, the mean log-probability of the text's n-grams in lang_pred, null where that is ``und``.
 
     Null text, or a text without letters: ``und`` with score 0. Without any learned language every text is ``und``.
     """
@@ -112,7 +125,7 @@ def predict(docs: DataFrame, model: tuple, *, keep: tuple[str, ...] = ("doc_id",
     langs, logp, prior = model
     shared = spark.sparkContext.broadcast((langs, logp, prior))
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"] + ["fit double"] * with_fit)
 
     def run(batches):
         langs, logp, prior = shared.value
@@ -120,16 +133,35 @@ def predict(docs: DataFrame, model: tuple, *, keep: tuple[str, ...] = ("doc_id",
             texts = T.texts_of(b, "__text")
             ok = np.array([_has_letter(t) for t in texts], bool) if langs else np.zeros(len(texts), bool)
             names, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            fit = np.zeros(len(texts))
             if ok.any():
-                ll = log_likelihoods([texts[i] for i in np.flatnonzero(ok)], logp) + prior
+                mine = [texts[i] for i in np.flatnonzero(ok)]
+                ll = log_likelihoods(mine, logp) + prior
                 top = ll.argmax(1)
                 names[ok] = np.array(langs, object)[top]
                 score[ok] = 1.0 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                if with_fit:
+                    fit[ok] = (ll.max(1) - prior[top]) / n_grams(mine)
+            more = [pa.array(fit, mask=~ok)] * with_fit
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(names, pa.string()), pa.array(score), *more], names=[*keep, "lang_pred", "score", *["fit"] * with_fit])
 
     return picked.mapInArrow(run, schema)
 
 
+def least_fit(labelled: DataFrame, model: tuple, text_col: str = "text") -> F.Column:
+    """The least fit of a text in its lang_pred: DEVIATIONS standard deviations, MARGIN at least, below the mean of labelled's
+    texts that are found in that language; of all of them, if none is."""
+    found = predict(labelled, model, keep=(), text_col=text_col, with_fit=True).filter("fit is not null")
+    rows = found.groupBy("lang_pred").agg(F.count("fit").alias("n"), F.avg("fit").alias("m"), F.var_pop("fit").alias("v")).collect()
+    if not rows:
+        return F.lit(float("-inf"))
+    n, m, v = (np.array([r[c] for r in rows], float) for c in ("n", "m", "v"))
+    mean = n @ m / n.sum()
+    bound = lambda m, v: float(m - max(DEVIATIONS * v**0.5, MARGIN))
+    out = F.lit(bound(mean, n @ (v + (m - mean) ** 2) / n.sum()))
+    return F.coalesce(F.create_map(*[F.lit(x) for r in rows for x in (r.lang_pred, bound(r.m, r.v))])[F.col("lang_pred")], out)
+
+
 def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0) -> F.Column:
     """Whether crc32 of the id as text falls in the part that training leaves out; a null id never does."""
     return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
