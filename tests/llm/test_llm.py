@@ -286,3 +286,21 @@ def test_pipeline_drops_texts_in_no_learned_language(spark):
     more = spark.createDataFrame([(i, t, None, "web", len(t)) for i, t in odd.items()], docs.schema)
     got = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), "").select("doc_id").collect()}
     assert got == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_language_id_scores_any_number_of_languages_in_blocks(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
+    whole = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    langs, blocks, prior = language_id.train(docs)
+    texts = [r.text.encode() for r in docs.filter("text is not null").limit(40).collect()]
+    alone = language_id.best_of(texts, map(language_id.matrix, blocks), prior)
+    monkeypatch.setattr(language_id, "MAX_LANGS", 2)
+    blocks = language_id.train(docs)[1]
+    assert len(langs) == 4 and [len(b[0]) for b in blocks] == [2, 2]
+    for a, b in zip(alone, language_id.best_of(texts, map(language_id.matrix, blocks), prior), strict=True):
+        assert a == pytest.approx(b)
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    assert {i: r.lang_pred for i, r in got.items()} == {i: r.lang_pred for i, r in whole.items()}
+    monkeypatch.undo()
+    dirty = docs.withColumn("lang", F.concat("lang", F.pmod(F.col("doc_id"), F.lit(75)).cast("string")))
+    assert len(language_id.train(dirty)[0]) > language_id.MAX_LANGS or dirty.select("lang").distinct().count() <= language_id.MAX_LANGS

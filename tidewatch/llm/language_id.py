@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of all training texts into (language, bucket) sums; the smoothed log-probability matrix, at most
-``MAX_LANGS`` x ``BUCKETS`` doubles, is broadcast and texts are scored in numpy batches.
+Training counts n-grams of all training texts into (language, bucket) sums; the smoothed log-probabilities of the buckets
+that occur are broadcast. Texts are scored in numpy batches, against a matrix of at most ``MAX_LANGS`` x ``BUCKETS`` doubles
+at a time; more languages are scored block by block.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from tidewatch.llm import common
 from tidewatch.llm import text as T
 
 BITS = 15
-#: Buckets of hashed n-grams. With MAX_LANGS this bounds what is collected and broadcast (64 MB).
+#: Buckets of hashed n-grams. With MAX_LANGS, the languages of a block, this bounds the matrix of a block (64 MB).
 BUCKETS = 1 << BITS
 MAX_LANGS = 256
 ORDERS = (2, 3)
@@ -79,8 +80,8 @@ def n_grams(texts: list[bytes | None]) -> np.ndarray:
     return out
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages in order, log-probabilities (languages x BUCKETS), log-priors; from all rows with a text and a language."""
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[tuple], np.ndarray]:
+    """Languages in order, their blocks' log-probabilities (see matrix), log-priors; from all rows with a text and a language."""
     common.ship(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
@@ -100,14 +101,40 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     found = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the broadcast matrix is bounded at {MAX_LANGS}")
-    counts, docs = np.full((len(langs), BUCKETS), 0.5), np.zeros(len(langs))
+    docs = np.zeros(len(langs))
     row = np.searchsorted(np.array(langs, object), np.array(found["lang"].to_pylist(), object)) if langs else np.zeros(0, int)
     bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
-    np.add.at(counts, (row[bucket >= 0], bucket[bucket >= 0]), n[bucket >= 0])
     docs[row[bucket < 0]] = n[bucket < 0]
-    return langs, np.log(counts / counts.sum(1, keepdims=True)), np.log(docs / max(docs.sum(), 1.0)) if langs else docs
+    row, bucket, n = row[bucket >= 0], bucket[bucket >= 0], n[bucket >= 0]
+    total = np.bincount(row, n, len(langs)) + 0.5 * BUCKETS
+    value, rest = np.log((n + 0.5) / total[row]), np.log(0.5 / total)
+    blocks = []
+    for lo in range(0, len(langs), MAX_LANGS):
+        mine = (row >= lo) & (row < lo + MAX_LANGS)
+        blocks.append((rest[lo : lo + MAX_LANGS], (row[mine] - lo).astype(np.int16), bucket[mine], value[mine]))
+    return langs, blocks, np.log(docs / max(docs.sum(), 1.0)) if langs else docs
+
+
+def matrix(block: tuple) -> np.ndarray:
+    """(languages x BUCKETS) of a block: the log-probabilities of buckets that don't occur, and row, bucket, value of the others."""
+    rest, row, bucket, value = block
+    out = np.repeat(rest[:, None], BUCKETS, 1)
+    out[row, bucket] = value
+    return out
+
+
+def best_of(texts: list[bytes | None], blocks, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The likeliest language's place of each text, its log-likelihood with the prior, and the logarithm of the sum over all."""
+    top, best, total = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf), np.full(len(texts), -np.inf)
+    lo = 0
+    for logp in blocks:
+        ll = log_likelihoods(texts, logp) + prior[lo : lo + len(logp)]
+        most = ll.max(1)
+        top = np.where(most > best, ll.argmax(1) + lo, top)
+        best = np.maximum(best, most)
+        total = np.logaddexp(total, most + np.log(np.exp(ll - most[:, None]).sum(1)))
+        lo += len(logp)
+    return top, best, total
 
 
 def _has_letter(t: bytes | None) -> bool:
@@ -122,13 +149,13 @@ def predict(docs: DataFrame, model: tuple, *, keep: tuple[str, ...] = ("doc_id",
     """
     spark = docs.sparkSession
     common.ship(spark)
-    langs, logp, prior = model
-    shared = spark.sparkContext.broadcast((langs, logp, prior))
+    shared = spark.sparkContext.broadcast(model)
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"] + ["fit double"] * with_fit)
 
     def run(batches):
-        langs, logp, prior = shared.value
+        langs, blocks, prior = shared.value
+        only = [matrix(b) for b in blocks] if len(blocks) == 1 else None
         for b in batches:
             texts = T.texts_of(b, "__text")
             ok = np.array([_has_letter(t) for t in texts], bool) if langs else np.zeros(len(texts), bool)
@@ -136,12 +163,11 @@ def predict(docs: DataFrame, model: tuple, *, keep: tuple[str, ...] = ("doc_id",
             fit = np.zeros(len(texts))
             if ok.any():
                 mine = [texts[i] for i in np.flatnonzero(ok)]
-                ll = log_likelihoods(mine, logp) + prior
-                top = ll.argmax(1)
+                top, best, total = best_of(mine, only or map(matrix, blocks), prior)
                 names[ok] = np.array(langs, object)[top]
-                score[ok] = 1.0 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
+                score[ok] = np.exp(best - total)
                 if with_fit:
-                    fit[ok] = (ll.max(1) - prior[top]) / n_grams(mine)
+                    fit[ok] = (best - prior[top]) / n_grams(mine)
             more = [pa.array(fit, mask=~ok)] * with_fit
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(names, pa.string()), pa.array(score), *more], names=[*keep, "lang_pred", "score", *["fit"] * with_fit])
 
