@@ -41,17 +41,19 @@ def pieces_of(docs: DataFrame, *, vocabulary: str | None = None, length: int = L
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
-        encode = bpe.encoder(where)
+        encoder = bpe.encoder(where)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            row, made = [], []
-            for i, t in enumerate(T.texts_of(b)):
-                ids = (encode(t.decode("utf-8", "replace")) if t else b"") + end
-                for k, (s, n) in enumerate(cut(len(ids) // 4, length)):
-                    row.append(i)
-                    made.append((k, s, n, zlib.crc32(memoryview(ids)[4 * s : 4 * (s + n)])))
-            k, s, n, crc = zip(*made, strict=True) if made else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts = T.texts_of(b)
+            for lo, hi in T.chunks(texts):
+                ids, bound = encoder.many(texts[lo:hi], end)
+                row, made = [], []
+                for i, (a, z) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)):
+                    for k, (s, n) in enumerate(cut(z - a, length)):
+                        row.append(lo + i)
+                        made.append((k, s, n, zlib.crc32(ids[a + s : a + s + n])))
+                k, s, n, crc = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return named.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -11,7 +11,7 @@ import numpy as np
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
+MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
 CHUNK = 4 << 20
@@ -31,7 +31,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     h = mix((ends - starts).astype(np.uint64))
     live, pos, left = None, starts, ends - starts
     while len(pos):
-        x = rows[pos].view("<u8").ravel() & _MASK[np.minimum(left, 8)]
+        x = rows[pos].view("<u8").ravel() & MASK[np.minimum(left, 8)]
         if live is None:
             h = mix(h ^ x)
             live = np.flatnonzero(left > 8)

@@ -25,12 +25,12 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(16 << 20),
     "orc.create.index": "true",
 }
-#: Tokens in one Arrow batch from a worker.
-_BATCH = 1 << 20
+#: Bytes of text whose ids go into one Arrow batch from a worker, and bytes of text in a file, on average at most.
+_BATCH, FILE = 4 << 20, 256 << 20
 
 
 def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode whole texts, append end_id, and write ORC files whose names and rows ascend by id.
+    """Encode whole texts, append end_id, and write ORC files whose split numbers and rows ascend by id.
 
     Null text: only end_id. Null ids come first. Repeated ids are ordered by text. An empty table writes no rows.
     """
@@ -38,26 +38,20 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id:
     common.ship(spark)
     where = vocabulary or bpe.vocabulary()
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE))
     dealt = named.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches):
-        encode, row = bpe.encoder(where), 0
+        encoder, row = bpe.encoder(where), 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids, texts = b.column(0), T.texts_of(b)
-            lo = held = 0
-            out: list[bytes] = []
-            for i, t in enumerate(texts):
-                out.append((encode(t.decode("utf-8", "replace")) if t else b"") + end)
-                held += len(out[-1]) // 4
-                if held >= _BATCH or i + 1 == len(texts):
-                    size = np.fromiter((len(x) // 4 for x in out), np.int64, len(out))
-                    flat = np.frombuffer(b"".join(out), "<i4")
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
-                    rows = pa.array(np.arange(row, row + len(out)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, len(out)), rows, lists], names=["doc_id", "row", "ids"])
-                    lo, row, held, out = i + 1, row + len(out), 0, []
+            for lo, hi in T.chunks(texts, _BATCH):
+                flat, bound = encoder.many(texts[lo:hi], end)
+                lists = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(flat.view("<i4"), pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(np.arange(row, row + hi - lo)), lists], names=["doc_id", "row", "ids"])
+                row += hi - lo
 
     dealt.mapInArrow(run, SCHEMA).write.mode("overwrite").options(**ORC_OPTIONS).orc(path)
 
@@ -70,7 +64,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def digests(spark: SparkSession, path: str, work: str) -> DataFrame:
     """From files of write(): doc_id, start, n_tokens and ids_crc32 of each document, in one parallel read of the stripes."""
     common.ship(spark)
-    rows = read(spark, path).select("doc_id", "row", "ids", F.col("_metadata.file_name").alias("file"))
+    rows = read(spark, path).select("doc_id", "row", "ids", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("file"))
 
     def run(batches):
         for b in batches:
@@ -80,8 +74,8 @@ def digests(spark: SparkSession, path: str, work: str) -> DataFrame:
             crc = [zlib.crc32(flat[a:z]) for a, z in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(np.diff(off)), pa.array(crc, pa.int64())], names=["doc_id", "row", "file", "n_tokens", "ids_crc32"])
 
-    slim = common.saved(rows.mapInArrow(run, "doc_id long, row long, file string, n_tokens long, ids_crc32 long"), f"{work}/digests")
-    # one row a file; names ascend as ids do
+    slim = common.saved(rows.mapInArrow(run, "doc_id long, row long, file long, n_tokens long, ids_crc32 long"), f"{work}/digests")
+    # one row a file; file is its split number, which ascends as ids do
     files = slim.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     files = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
