@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+from math import lgamma
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import gaussian_process, state_space
-from tidewatch.functions.changepoints import RunLengths
+from tidewatch.functions.changepoints import RunLengths, _log_ratio
 from tidewatch.functions.stl import stl
 from tidewatch.operators import diagnostics as D
 from tidewatch.operators import events as E
@@ -107,9 +108,16 @@ def test_csv_labels_and_metrics_files(spark, tmp_path):
     (tmp_path / "one.csv").write_text("when,count\n2024-01-01 00:30:00,2\n2024-01-01 00:00:00,1\n")
     got = S.read_csv(spark, str(tmp_path / "one.csv")).orderBy("idx").collect()
     assert [(r.series_id, r.idx, r.value) for r in got] == [("one.csv", 0, 1.0), ("one.csv", 1, 2.0)]
+    (tmp_path / "two.csv").write_text("value,note,timestamp\n3,x,2024-01-01 01:00:00\n")
+    (tmp_path / "three.csv").write_text("a,b\n2024-01-01 02:00:00,4\n")
+    got = S.read_csv(spark, f"{tmp_path}/*.csv").filter("idx = 0").collect()
+    assert sorted((r.series_id, r.ts.hour, r.value) for r in got) == [("one.csv", 0, 1.0), ("three.csv", 2, 4.0), ("two.csv", 1, 3.0)]
     (tmp_path / "bad.csv").write_text("x\n1\n")
-    with pytest.raises(ValueError):
-        S.read_csv(spark, str(tmp_path / "bad.csv"))
+    with pytest.raises(ValueError, match="bad.csv"):
+        S.read_csv(spark, f"{tmp_path}/*.csv")
+    (tmp_path / "e" / "bsts").mkdir(parents=True)
+    (tmp_path / "e" / "bsts" / "cv_results.json").write_text('[{"f1": 0.5, "fp_per_day": 1, "latency": null}, {"f1": 0.7, "fp_per_day": 3, "latency": 4}]')
+    assert [tuple(r) for r in results.cv_summary(results.scan_folds(spark, str(tmp_path / "e"))).collect()] == [("bsts", pytest.approx(0.6), 2.0, 4.0)]
     (tmp_path / "l.json").write_text(json.dumps({"data/a": ["2024-01-01 00:00:00"], "b": [], "data/b": ["2024-01-01 00:00:00"]}))
     ids = spark.createDataFrame([("a",), ("b",)], "series_id string")
     assert [r.series_id for r in S.labels_for(ids, S.read_labels(spark, str(tmp_path / "l.json"))).collect()] == ["a"]
@@ -117,6 +125,10 @@ def test_csv_labels_and_metrics_files(spark, tmp_path):
         d = tmp_path / "m" / name
         d.mkdir(parents=True)
         (d / "metrics.json").write_text(text)
+    assert [r.Dataset for r in results.first_runs(results.scan_metrics(spark, str(tmp_path / "m"))).orderBy("Model").collect()] == ["x", "x"]
+    scores = spark.createDataFrame([("gp", "a/b", 1, 0.5)], "model string, series_id string, idx long, score double")
+    results.write_scores(scores, str(tmp_path / "scores"))
+    assert [(r.model, r.series_id, r.idx, r.score) for r in results.read_scores(spark, str(tmp_path / "scores")).collect()] == [("gp", "a__b", 1, 0.5)]
     board = results.leaderboard(results.scan_metrics(spark, str(tmp_path / "m"))).collect()
     assert [(r.Model, r.Dataset, r.Event_F1) for r in board] == [("GP", "x", 0.5), ("LSTM", "x", None)]
 
@@ -128,6 +140,7 @@ def test_models():
     assert np.allclose(trend + season + rest, y + np.where(t == 200, 20.0, 0.0)) and abs(rest).argmax() == 200
     runs = RunLengths(0.01)
     x = np.concatenate([np.random.default_rng(0).normal(0, 1, 100), np.random.default_rng(1).normal(8, 1, 20)])
+    assert np.allclose(_log_ratio(3), [lgamma((v + 1) / 2) - lgamma(v / 2) for v in (2, 3, 4)])
     r = [runs.update(v) for v in x]
     assert np.allclose([p[0] for p in r], 0.01) and r[99].argmax() > 90 and r[110].argmax() < 15
     state = RunLengths.restored(runs.state(), hazard=0.01)
@@ -151,6 +164,91 @@ def test_lstm_gradients():
         p[at] += 1e-5
 
 
+def plain_loess(x, y, w, q, at, degree):
+    """Local regression at one point, by plain sums."""
+    d = np.abs(x - at)
+    far = np.sort(d)[min(q, len(x)) - 1]
+    h = far if q <= len(x) else far * q / len(x)
+    k = np.where(d <= 0.001 * h, 1.0, np.where(d >= 0.999 * h, 0.0, (1 - (d / h) ** 3) ** 3)) * w
+    if k.sum() <= 0:
+        return None
+    k = k / k.sum()
+    mean = k @ x
+    if degree and np.sqrt(k @ (x - mean) ** 2) > 0.001 * (x.max() - x.min()):
+        return float((k * (1 + (at - mean) * (x - mean) / (k @ (x - mean) ** 2))) @ y)
+    return float(k @ y)
+
+
+def test_decomposition_has_no_season_left():
+    rng, t = np.random.default_rng(3), np.arange(12 * 30)
+    y = 5 + 0.02 * t + np.tile(rng.normal(size=12), 30) * 3 + rng.normal(size=len(t)) * 0.1
+    trend, season, rest = stl(y, 12)
+    assert np.allclose(trend + season + rest, y)
+    # smooth, centred and periodic parts: what another pass over the parts finds is small against what it found before
+    assert abs(np.diff(trend, 2)).max() < 0.02 and abs(trend[40:-40] - (5 + 0.02 * t[40:-40])).max() < 1.5
+    again = stl(trend + season, 12)
+    assert np.abs(again[2]).max() < 0.15 and np.abs(again[1] - season).max() < 0.2
+    left = plain_loess(t.astype(float), rest, np.ones(len(t)), 61, 180.0, 1)
+    assert abs(left) < 0.05
+    by_phase = [rest[p::12].mean() for p in range(12)]
+    assert np.abs(by_phase).max() < 0.05
+
+
+def test_label_anchors_of_many_labels(spark):
+    rng = np.random.default_rng(5)
+    at = sorted(rng.integers(0, 300, 60).tolist())
+    rows = spark.createDataFrame([("a", i, START + dt.timedelta(minutes=m), 0.0) for i, m in enumerate(at)], "series_id string, idx long, ts timestamp_ntz, value double")
+    asked = rng.integers(-20, 330, 40).tolist()
+    labels = spark.createDataFrame([(s, START + dt.timedelta(minutes=m)) for m in asked for s in ("a", "none")], "series_id string, label_ts timestamp_ntz")
+    got = {r.label_ts: r.anchor for r in E.label_anchors(rows, labels).collect()}
+    assert got == {START + dt.timedelta(minutes=m): next((i for i, x in enumerate(at) if x >= m), 60) for m in asked}
+
+
+def test_one_pass_sweep_equals_joins(spark):
+    rng = np.random.default_rng(7)
+    rows = [(s, i, float(rng.normal() + 9 * (rng.random() < 0.05)), int(rng.random() < 0.06 and s != "c")) for s in "abc" for i in range(250)]
+    scored = R.rolling_sigma(spark.createDataFrame(rows, "series_id string, idx long, value double, is_anomaly int")).cache()
+    ks = [0.5, 1.0, 2.0, 6.5]
+    for least, gap in ((1, 0), (2, 3)):
+        joined = M.sweep(scored, M.flagged_by_k(scored, "value", ks, least), scored.filter("is_anomaly = 1").select("series_id", "idx"), ks, gap)
+        one = M.sweep_series(scored, "value", ks, least, gap).select(*joined.columns)
+        assert one.count() == 12 and one.exceptAll(joined).count() == joined.exceptAll(one).count() == 0
+        assert one.agg(F.sum("tp")).first()[0] > 0
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    p = [1e-300, 1e-20, 1e-5, 0.01, 0.075, 0.3, 0.5, 0.7, 0.9251, 0.999, 1 - 1e-12]
+    got = spark.createDataFrame([(x,) for x in p], "p double").select("p", F.expr(D.normal_quantile("p")).alias("z")).collect()
+    for r in got:
+        assert r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-12, abs=1e-15)
+
+
+def test_a_failing_detector_leaves_the_others(spark):
+    def broken(series):
+        def fail(f):
+            raise RuntimeError("no model")
+
+        return series.groupBy("series_id").applyInPandas(fail, "series_id string, f1 double")
+
+    rows = line(spark, np.sin(np.arange(200))).withColumn("is_anomaly", (F.col("idx") % 50 == 0).cast("int"))
+    good = lambda s: pipelines.kalman(s)
+    board = {r.Model: r for r in pipelines.ranked(pipelines.benchmark(rows, {"BAD": broken, "KALMAN": good})).collect()}
+    assert board["BAD"].Event_F1 is None and board["BAD"].FP_per_Day is None and board["KALMAN"].FP_per_Day is not None
+    pipelines.release()
+    assert not pipelines._KEPT
+
+
+def test_prediction_rows(spark):
+    values = np.concatenate([np.zeros(150), [0, 0, 50, 50, 0, 0], np.zeros(44)]) + np.sin(np.arange(200)) / 10
+    rows = line(spark, values).withColumn("is_anomaly", F.lit(0))
+    out = pipelines.kalman(rows, rows=True).orderBy("idx").collect()
+    assert [r.idx for r in out] == list(range(140, 200)) and [r.idx for r in out if r.detected] == [152, 153]
+    left = [r.upper - r.pred_mean for r in out]
+    assert min(left) == pytest.approx(max(left)) and left[0] > 0 and all(r.pred_mean - r.lower == pytest.approx(left[0]) for r in out)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from tidewatch.streaming import online
 
@@ -178,7 +276,7 @@ def test_fits_take_the_whole_training_part(monkeypatch):
     y, seen = np.sin(np.arange(1440) / 7.0), []
     monkeypatch.setattr(models, "_each", lambda series, columns, work: work(y))
     likelihood = state_space.Structural.filter
-    monkeypatch.setattr(state_space.Structural, "filter", lambda self, part, v: seen.append(len(part)) or likelihood(self, part[-50:], v))
+    monkeypatch.setattr(state_space.Structural, "filter", lambda self, part, v, left=None: seen.append(len(part)) or likelihood(self, part[-50:], v, left))
     models.local_level_forecast(None)
     models.structural_forecast(None, 0.5, state_space.Structural())
     models.bsts_forecast(None, periods=(48,), harmonics=1)

@@ -6,6 +6,16 @@ from math import lgamma, pi
 
 import numpy as np
 
+_RATIO = np.zeros(0)
+
+
+def _log_ratio(n: int) -> np.ndarray:
+    """log of Gamma((v + 1) / 2) / Gamma(v / 2) for v = 2, 3, ..., n of them: alpha is 1 + j / 2 for run length j."""
+    global _RATIO
+    if len(_RATIO) < n:
+        _RATIO = np.array([lgamma((v + 1) / 2) - lgamma(v / 2) for v in range(2, 2 * n + 2)])
+    return _RATIO[:n]
+
 
 class RunLengths:
     """The posterior over run lengths and their sufficient statistics; update() takes one value.
@@ -21,7 +31,7 @@ class RunLengths:
     def update(self, x: float) -> np.ndarray:
         v = 2 * self.alpha
         scale = self.beta * (self.kappa + 1) / (self.alpha * self.kappa)
-        log_c = np.array([lgamma((d + 1) / 2) - lgamma(d / 2) for d in v]) - 0.5 * np.log(v * pi * scale)
+        log_c = _log_ratio(len(v)) - 0.5 * np.log(v * pi * scale)
         like = np.exp(log_c - (v + 1) / 2 * np.log1p((x - self.mu) ** 2 / (v * scale)))
         mass = self.r * like
         r = np.concatenate([[self.hazard * mass.sum()], (1 - self.hazard) * mass])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 DIFFUSE = 1e6
+#: Relative change of the covariance below which it counts as constant.
+STEADY = 1e-10
 
 
 class Structural:
@@ -48,19 +50,25 @@ class Structural:
         """Diagonal of the states' noise; variances[0] is the observations', kind i has variances[i]."""
         return np.where(self.noise > 0, np.append(variances, 0.0)[self.noise], 0.0)
 
-    def filter(self, y: np.ndarray, variances: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log-likelihood without the first size innovations, and the state after the last value, predicted one ahead."""
+    def filter(self, y: np.ndarray, variances: np.ndarray, innovations: list | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood without the first size innovations, and the state after the last value, predicted one ahead. Once
+        the covariance stands still, so do the gains. innovations gets each value's one-step residual."""
         a, P, Q = np.zeros(self.size), np.eye(self.size) * DIFFUSE, np.diag(self.q(variances))
-        total = 0.0
+        total, steady = 0.0, False
         for i, v in enumerate(y):
-            m = P @ self.Z
-            f = self.Z @ m + variances[0]
+            if not steady:
+                m = P @ self.Z
+                f = self.Z @ m + variances[0]
+                k = m / f
+                after = self.T @ (P - np.outer(k, m)) @ self.T.T + Q
+                steady = i >= self.size and bool(np.abs(after - P).max() <= STEADY * np.abs(P).max())
+                P = after
             e = v - self.Z @ a
+            if innovations is not None:
+                innovations.append(e)
             if i >= self.size:
                 total -= 0.5 * (np.log(2 * np.pi * f) + e * e / f)
-            k = m / f
             a = self.T @ (a + k * e)
-            P = self.T @ (P - np.outer(k, m)) @ self.T.T + Q
         return total, a, P
 
     def fit(self, y: np.ndarray, rounds: int = 2, window: int | None = None) -> np.ndarray:

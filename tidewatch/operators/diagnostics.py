@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -69,16 +69,35 @@ def pacf(correlations: DataFrame) -> DataFrame:
     return correlations.groupBy("series_id").applyInPandas(run, "series_id string, lag int, pacf double")
 
 
-def qq(series: DataFrame, col: str = "value") -> DataFrame:
-    """(series_id, nth, theoretical, ordered): values in order against normal quantiles at Filliben's positions."""
+#: Wichura's rational approximations of the normal quantile (algorithm AS 241, PPND16), numerators and
+#: denominators for the middle, the near tail and the far tail, constant terms first.
+QUANTILE = (
+    ((3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+     (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3)),
+    ((1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+     (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9)),
+    ((6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+     (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15)),
+)
+
+
+def normal_quantile(p: str) -> str:
+    """SQL (Spark's and others') of the standard normal quantile of an expression between 0 and 1."""
 
-    @F.pandas_udf("double")
-    def quantile(p: pd.Series) -> pd.Series:
-        normal = NormalDist()
-        return p.map(normal.inv_cdf)
+    def over(x: str, which: int) -> str:
+        poly = [reduce(lambda acc, c: f"({acc}) * ({x}) + {c:.20e}", reversed(cs[:-1]), f"{cs[-1]:.20e}") for cs in QUANTILE[which]]
+        return f"(({poly[0]}) / ({poly[1]}))"
 
+    q = f"(({p}) - CAST(0.5 AS DOUBLE))"
+    r = f"sqrt(-ln(least({p}, CAST(1 AS DOUBLE) - ({p}))))"
+    tail = f"CASE WHEN {r} <= 5 THEN {over(f'{r} - 1.6e0', 1)} ELSE {over(f'{r} - 5e0', 2)} END"
+    return f"CASE WHEN abs{q} <= 0.425e0 THEN {q} * {over(f'0.180625e0 - {q} * {q}', 0)} ELSE sign{q} * ({tail}) END"
+
+
+def qq(series: DataFrame, col: str = "value") -> DataFrame:
+    """(series_id, nth, theoretical, ordered): values in order against normal quantiles at Filliben's positions."""
     order = Window.partitionBy("series_id").orderBy(col, "idx")
     s = series.withColumns({"nth": F.row_number().over(order), "n": F.count(F.lit(1)).over(by_series())})
     end = F.pow(F.lit(0.5), 1 / F.col("n"))
     p = F.when(F.col("nth") == F.col("n"), end).when(F.col("nth") == 1, 1 - end).otherwise((F.col("nth") - 0.3175) / (F.col("n") + 0.365))
-    return s.select("series_id", "nth", quantile(p).alias("theoretical"), F.col(col).alias("ordered"))
+    return s.withColumn("p", p).select("series_id", "nth", F.expr(normal_quantile("p")).alias("theoretical"), F.col(col).alias("ordered"))

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 
 def label_anchors(series: DataFrame, labels: DataFrame) -> DataFrame:
-    """(series_id, label_ts, anchor, n): the first row at or after each label, n (the length) if there is none."""
-    sizes = series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    at = labels.join(series.select("series_id", "idx", "ts"), "series_id").filter(F.col("ts") >= F.col("label_ts"))
-    first = at.groupBy("series_id", "label_ts").agg(F.min("idx").alias("at"))
-    return labels.distinct().join(sizes, "series_id").join(first, ["series_id", "label_ts"], "left").select("series_id", "label_ts", F.coalesce("at", "n").alias("anchor"), "n")
+    """(series_id, label_ts, anchor, n): the first row at or after each label, n (the length) if there is none.
+
+    Rows and labels go through one window together, latest first, so that the work doesn't depend on how many labels a
+    series has. Labels of a series without rows are dropped.
+    """
+    none = F.lit(None)
+    rows = series.select("series_id", F.col("ts").alias("at"), "idx", none.cast("timestamp_ntz").alias("label_ts"))
+    both = rows.unionByName(labels.select("series_id", "label_ts").distinct().select("series_id", F.col("label_ts").alias("at"), none.cast("long").alias("idx"), "label_ts"))
+    down = Window.partitionBy("series_id").orderBy(F.desc("at"), F.desc_nulls_last("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({"next": F.min("idx").over(down), "n": F.count("idx").over(Window.partitionBy("series_id"))})
+    return seen.filter(F.col("label_ts").isNotNull() & (F.col("n") > 0)).select("series_id", "label_ts", F.coalesce("next", "n").alias("anchor"), "n")
 
 
 def label_rows(series: DataFrame, labels: DataFrame, width: int) -> DataFrame:
@@ -67,6 +73,23 @@ def meetings(pred: DataFrame, true: DataFrame) -> DataFrame:
     return pred.join(t, meets(pred, t)).drop("t_id")
 
 
+def at_times(series: DataFrame, times: DataFrame) -> DataFrame:
+    """The rows of series at one of times (series_id, ts); of several rows at one time, all."""
+    return series.join(times.select("series_id", "ts"), ["series_id", "ts"], "left_semi")
+
+
+def matched(pred: DataFrame, true: DataFrame, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """(*by, t_start, tp, fp, p_start) from one overlap join: for each true event that is met, the predicted events of which
+    it is the first, and the first one that meets it; with a null t_start, the predicted events that meet none. True events
+    of a series don't overlap."""
+    before = F.lag("end_idx").over(Window.partitionBy("series_id").orderBy("start_idx"))
+    t = true.select(F.col("series_id").alias("t_id"), F.col("start_idx").alias("t_start"), F.col("end_idx").alias("t_end"), F.coalesce(before, F.lit(-1)).alias("t_before"))
+    met = pred.join(t, meets(pred, t), "left")
+    first = F.coalesce(F.col("t_before") < F.col("start_idx"), F.lit(False))
+    alone = F.col("t_start").isNull().cast("long")
+    return met.groupBy(*by, "t_start").agg(F.sum(first.cast("long")).alias("tp"), F.sum(alone).alias("fp"), F.min("start_idx").alias("p_start"))
+
+
 def missed(pred: DataFrame, true: DataFrame) -> DataFrame:
     """True events that no predicted one meets."""
     p = pred.select(F.col("series_id").alias("p_id"), F.col("start_idx").alias("p_start"), F.col("end_idx").alias("p_end"))

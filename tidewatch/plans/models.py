@@ -39,15 +39,18 @@ def _padded(n: int, *parts: np.ndarray) -> list[np.ndarray]:
 
 
 def structural_forecast(series: DataFrame, train: float, model: state_space.Structural, fit_rows: int | None = None) -> DataFrame:
-    """pred_mean, pred_std, pred_lower, pred_upper from the end of the training part on, without updates. fit_rows: the last
-    rows of the training part that give the variances, all of them where it is None."""
+    """pred_mean, pred_std, pred_lower, pred_upper from the end of the training part on, without updates, and train_resid,
+    the training part's one-step residuals. fit_rows: the last rows of the training part that give the variances, all of
+    them where it is None."""
 
     def work(y):
         end = int(len(y) * train)
-        mean, sd = model.forecast(y[:end], model.fit(y[:end], window=fit_rows), len(y) - end)
-        return _padded(len(y), mean, sd, mean - 1.959963984540054 * sd, mean + 1.959963984540054 * sd)
+        variances, left = model.fit(y[:end], window=fit_rows), []
+        model.filter(y[:end], variances, left)
+        mean, sd = model.forecast(y[:end], variances, len(y) - end)
+        return [*_padded(len(y), mean, sd, mean - 1.959963984540054 * sd, mean + 1.959963984540054 * sd), np.append(left, np.full(len(y) - end, np.nan))]
 
-    return _each(series, "pred_mean double, pred_std double, pred_lower double, pred_upper double", work)
+    return _each(series, "pred_mean double, pred_std double, pred_lower double, pred_upper double, train_resid double", work)
 
 
 def local_level_forecast(series: DataFrame, train: float = 0.7, fit_rows: int | None = None) -> DataFrame:
@@ -89,13 +92,35 @@ def lstm_forecast(series: DataFrame, train: float = 0.5, length: int = 48, hidde
     return _each(series, "target double, pred double", work)
 
 
-def run_lengths(series: DataFrame, hazard: float = 0.01, eps: float = 0.0) -> DataFrame:
+#: Mass of the longest run lengths that posteriors leave out: what bounds their length, and with it a series' work.
+TAIL = 1e-12
+
+
+def _standard(y: np.ndarray, eps: float) -> np.ndarray:
+    return (y - y.mean()) / (y.std() + (1e-9 if eps else 0.0) or 1.0)
+
+
+def run_length_matrix(series: DataFrame, hazard: float = 0.01, eps: float = 1e-9, least: float = 1e-3, tail: float = TAIL) -> DataFrame:
+    """(series_id, idx, run_length, prob): the posterior over run lengths after each value, where it is at least least."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("idx")
+        runs, parts = changepoints.RunLengths(hazard, eps, tail), []
+        for i, v in zip(f["idx"], _standard(f["value"].to_numpy(float), eps), strict=True):
+            r = runs.update(v)
+            at = np.flatnonzero(r >= least)
+            parts.append(pd.DataFrame({"idx": i, "run_length": at, "prob": r[at]}))
+        return pd.concat(parts).assign(series_id=f["series_id"].iloc[0])[["series_id", "idx", "run_length", "prob"]]
+
+    return series.select("series_id", "idx", "value").groupBy("series_id").applyInPandas(run, "series_id string, idx long, run_length long, prob double")
+
+
+def run_lengths(series: DataFrame, hazard: float = 0.01, eps: float = 0.0, tail: float = TAIL) -> DataFrame:
     """cp_prob (the hazard itself, when eps is 0) and map_run_length of the standardised series."""
 
     def work(y):
-        z = (y - y.mean()) / (y.std() + (1e-9 if eps else 0.0) or 1.0)
-        runs = changepoints.RunLengths(hazard, eps)
-        out = [(r[0], int(r.argmax())) for r in map(runs.update, z)]
+        runs = changepoints.RunLengths(hazard, eps, tail)
+        out = [(r[0], int(r.argmax())) for r in map(runs.update, _standard(y, eps))]
         return [np.array([a for a, _ in out]), np.array([b for _, b in out], float)]
 
     return _each(series, "cp_prob double, map_run_length double", work)

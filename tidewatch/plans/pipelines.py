@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -19,9 +21,19 @@ from tidewatch.sources import results
 PERSIST, GAP = 2, 3
 
 
+_KEPT: list[DataFrame] = []
+
+
 def once(rows: DataFrame) -> DataFrame:
-    """Keep what several branches of a plan read; a lost part is computed again."""
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+    """Keep what several branches of a plan read, until release(); a lost part is computed again."""
+    _KEPT.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+    return _KEPT[-1]
+
+
+def release() -> None:
+    """Let go of all that once() keeps, after the results made from it are written."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
 
 
 def _part(series: DataFrame, train: float) -> DataFrame:
@@ -33,49 +45,63 @@ def _true(test: DataFrame) -> DataFrame:
     return test.filter("is_anomaly = 1").select("series_id", "idx")
 
 
-def report(test: DataFrame, flagged: DataFrame, chosen: DataFrame, gap: int = GAP) -> DataFrame:
-    """One row a series: the chosen threshold, event metrics and business metrics. flagged: (series_id, idx)."""
+def detections(test: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The judged rows with detected, 0 or 1."""
+    hit = flagged.select("series_id", "idx", F.lit(1).alias("detected")).distinct()
+    return test.join(hit, ["series_id", "idx"], "left").fillna(0, ["detected"])
+
+
+def report(test: DataFrame, flagged: DataFrame, chosen: DataFrame, gap: int = GAP, rows: bool = False) -> DataFrame:
+    """One row a series: the chosen threshold, event metrics and business metrics; with rows, detections() instead.
+    flagged: (series_id, idx)."""
+    if rows:
+        return detections(test, flagged)
     pred, true = E.to_events(flagged, gap), E.to_events(_true(test), gap)
-    m = M.event_level(test.select("series_id").distinct(), pred, true)
-    b = M.business(test, pred, true).select("series_id", "fp_per_day", "median_latency_minutes", "duration_days")
+    matched = E.matched(pred, true)
+    m = M.event_counts(test.select("series_id").distinct(), matched, true)
+    b = M.business_of(test, matched).select("series_id", "fp_per_day", "median_latency_minutes", "duration_days")
     return chosen.join(m, "series_id").join(b, "series_id")
 
 
-def tuned(test: DataFrame, flagged: DataFrame, ks: list[float], most: float | None = 0.10, gap: int = GAP, final_gap: int | None = None) -> DataFrame:
+def tuned(test: DataFrame, flagged: DataFrame, ks: list[float], most: float | None = 0.10, gap: int = GAP, final_gap: int | None = None, rows: bool = False) -> DataFrame:
     """Choose each series' threshold on the rows it is judged on, and report. flagged: (series_id, k, idx). final_gap: the
     zeros bridged in the report, where it differs from the sweep's gap."""
     test, flagged = once(test), once(flagged)
     swept = M.sweep(test, flagged, _true(test), ks, gap)
     chosen = once(M.best(swept, most))
     final = flagged.join(chosen.select("series_id", F.col("best_k").alias("k")), ["series_id", "k"]).select("series_id", "idx")
-    return report(test, final, chosen, gap if final_gap is None else final_gap)
+    return report(test, final, chosen, gap if final_gap is None else final_gap, rows)
 
 
-def by_rolling_scale(test: DataFrame, final_gap: int | None = None) -> DataFrame:
+def by_rolling_scale(test: DataFrame, final_gap: int | None = None, rows: bool = False) -> DataFrame:
     """Residuals over their deviation in the last 48 rows (where that is 0, over that of all of them), thresholds 3 to 12,
     no bound on the anomaly rate. NaN residuals are missing."""
     known = test.withColumn("resid", F.nanvl("resid", F.lit(None).cast("double")))
     z = F.when(F.col("scale") > 0, F.abs("resid") / F.col("scale"))
     s = once(R.residual_z(known, "resid", "rolling", window=48, train=F.lit(True)).withColumn("z", z))
-    return tuned(s, M.above_by_k(s, "z", M.WIDE_GRID, PERSIST), M.WIDE_GRID, None, final_gap=final_gap)
+    return tuned(s, M.above_by_k(s, "z", M.WIDE_GRID, PERSIST), M.WIDE_GRID, None, final_gap=final_gap, rows=rows)
 
 
-def kalman(series: DataFrame, train: float = 0.7, fit_rows: int | None = None) -> DataFrame:
-    """Local level; residuals over their MAD scale, k = 3, persistence 2, events without bridging."""
-    test = once(_part(models.local_level_forecast(series, train, fit_rows).withColumn("resid", F.col("value") - F.col("pred_mean")), train))
+def kalman(series: DataFrame, train: float = 0.7, fit_rows: int | None = None, rows: bool = False) -> DataFrame:
+    """Local level; residuals over their MAD scale, k = 3, persistence 2, events without bridging. The rows have the band of
+    3 sample deviations of the training residuals, lower and upper, beside the model's own."""
+    left = F.nanvl("train_resid", F.lit(None).cast("double"))
+    f = models.local_level_forecast(series, train, fit_rows).withColumn("sigma", F.stddev_samp(left).over(P.by_series()))
+    f = f.withColumns({"resid": F.col("value") - F.col("pred_mean"), **P.band(F.col("pred_mean"), F.col("sigma"), 3.0)})
+    test = once(_part(f, train))
     flags = R.residual_z(test, "resid", "mad", 3.0).filter("flag = 1").select("series_id", "idx")
     chosen = test.select("series_id").distinct().withColumns({"best_k": F.lit(3.0), "best_f1": F.lit(None).cast("double")})
-    return report(test, E.persistent(flags, PERSIST), chosen, 0)
+    return report(test, E.persistent(flags, PERSIST), chosen, 0, rows)
 
 
-def bsts(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10, fit_rows: int | None = None) -> DataFrame:
+def bsts(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10, fit_rows: int | None = None, rows: bool = False) -> DataFrame:
     """Trend and harmonics; residuals less their median; the threshold is chosen on the validation part alone."""
     f = models.bsts_forecast(series, train, periods, harmonics, fit_rows).withColumn("r", F.col("value") - F.col("pred_mean"))
     later = P.split(f, train).filter("split != 'Train'")
-    return validated(P.centred(later, "r").withColumn("resid", F.col("centred")))
+    return validated(P.centred(later, "r").withColumn("resid", F.col("centred")), rows=rows)
 
 
-def validated(parts: DataFrame, col: str = "resid") -> DataFrame:
+def validated(parts: DataFrame, col: str = "resid", rows: bool = False) -> DataFrame:
     """parts: rows with a split column; rolling state starts anew at the split."""
     parts = once(parts)
     scored = R.rolling_sigma(parts, col, by=("series_id", "split"))
@@ -84,19 +110,19 @@ def validated(parts: DataFrame, col: str = "resid") -> DataFrame:
     flags = both.filter("split = 'Validation'").drop("split")
     chosen = once(M.best(M.sweep(val, flags, _true(val), M.K_GRID, GAP)))
     final = both.filter("split = 'Test'").join(chosen.select("series_id", F.col("best_k").alias("k")), ["series_id", "k"]).select("series_id", "idx")
-    return report(test, final, chosen)
+    return report(test, final, chosen, rows=rows)
 
 
-def gaussian_process(series: DataFrame, train: float = 0.5) -> DataFrame:
+def gaussian_process(series: DataFrame, train: float = 0.5, rows: bool = False) -> DataFrame:
     test = once(_part(models.gp_forecast(series, train).withColumn("resid", F.col("value") - F.col("pred_mean")), train))
-    return tuned(test, M.flagged_by_k(R.rolling_sigma(test, "resid"), "resid", M.K_GRID, PERSIST), M.K_GRID)
+    return tuned(test, M.flagged_by_k(R.rolling_sigma(test, "resid"), "resid", M.K_GRID, PERSIST), M.K_GRID, rows=rows)
 
 
-def lstm(series: DataFrame, train: float = 0.5, epochs: int = 15) -> DataFrame:
+def lstm(series: DataFrame, train: float = 0.5, epochs: int = 15, rows: bool = False) -> DataFrame:
     """On residuals of the decomposition of the whole series."""
     f = models.lstm_forecast(series, train, epochs=epochs, of="resid").withColumn("resid", F.col("target") - F.col("pred"))
     test = once(_part(f, train))
-    return tuned(test, M.flagged_by_k(R.rolling_sigma(test, "resid"), "resid", M.K_GRID, PERSIST), M.K_GRID)
+    return tuned(test, M.flagged_by_k(R.rolling_sigma(test, "resid"), "resid", M.K_GRID, PERSIST), M.K_GRID, rows=rows)
 
 
 def hybrid_scores(series: DataFrame, train: float = 0.5, epochs: int = 10) -> DataFrame:
@@ -112,9 +138,9 @@ def hybrid_scores(series: DataFrame, train: float = 0.5, epochs: int = 10) -> Da
     return s.withColumn("combined_score", P.ensemble({"score_stl": 1.0, "score_gp": 1.0, "score_lstm": 1.0}))
 
 
-def hybrid(series: DataFrame, train: float = 0.5, epochs: int = 10) -> DataFrame:
+def hybrid(series: DataFrame, train: float = 0.5, epochs: int = 10, rows: bool = False) -> DataFrame:
     test = once(_part(hybrid_scores(series, train, epochs), train))
-    return tuned(test, M.above_by_k(test, "combined_score", M.K_GRID, PERSIST), M.K_GRID)
+    return tuned(test, M.above_by_k(test, "combined_score", M.K_GRID, PERSIST), M.K_GRID, rows=rows)
 
 
 def bsts_dummy(series: DataFrame, train: float = 0.5, season: int = 48, fit_rows: int | None = None) -> DataFrame:
@@ -155,18 +181,29 @@ def stl_baseline(series: DataFrame) -> DataFrame:
     return tuned(s, M.above_by_k(s, "z", M.WIDE_GRID, PERSIST), M.WIDE_GRID, None)
 
 
+COUNTS = ("tp", "fp", "fn", "n_true_events", "n_pred_events")
+REPORT = ("best_k", "best_f1", *COUNTS, "precision", "recall", "f1", "fp_per_day", "median_latency_minutes", "duration_days")
+
+
 def benchmark(series: DataFrame, detectors: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """All detectors on all series, in one frame with a Model column."""
+    """All detectors on all series, in one frame with a Model column. Each runs on its own: one that fails gives a row of
+    nulls for each series, and the others go on."""
     detectors = detectors or {"BSTS": bsts, "GP": gaussian_process, "LSTM": lstm, "HYBRID": hybrid}
-    out = None
+    typed = [F.col(c).cast("long" if c in COUNTS else "double").alias(c) for c in REPORT]
+    parts = []
     for name, run in detectors.items():
-        rows = run(series).withColumn("Model", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        try:
+            rows = once(run(series).select("series_id", *typed))
+            rows.count()
+        except Exception as error:  # whatever a model raises
+            logging.getLogger(__name__).warning("%s failed: %s", name, error)
+            rows = series.select("series_id").distinct().select("series_id", *[F.lit(None).cast("long" if c in COUNTS else "double").alias(c) for c in REPORT])
+        parts.append(rows.withColumn("Model", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ranked(reports: DataFrame) -> DataFrame:
-    """The leaderboard of benchmark()'s rows."""
-    level = F.struct("precision", "recall", "f1", "tp", "fp", "fn", "n_true_events", "n_pred_events")
-    business = F.struct("fp_per_day", "median_latency_minutes", "duration_days")
+    """The leaderboard of benchmark()'s rows; a failed detector's have nulls."""
+    level = F.when(F.col("f1").isNotNull(), F.struct("precision", "recall", "f1", *COUNTS))
+    business = F.when(F.col("duration_days").isNotNull(), F.struct("fp_per_day", "median_latency_minutes", "duration_days"))
     return results.leaderboard(reports.select("Model", F.col("series_id").alias("Dataset"), level.alias("event_level"), business.alias("business"), "fp_per_day", "median_latency_minutes"))

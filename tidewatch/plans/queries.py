@@ -15,8 +15,10 @@ from tidewatch.operators import metrics as M
 from tidewatch.operators import points as P
 from tidewatch.operators import rolling as R
 from tidewatch.plans import models, pipelines
+from tidewatch.session import scratch
 from tidewatch.sources import results
 from tidewatch.sources import series as S
+from tidewatch.streaming import online
 
 WIDTH = 3
 
@@ -54,8 +56,7 @@ def _flags(spark, sf, k: float, least: int = 2) -> DataFrame:
 
 
 def _sweep(spark, sf) -> DataFrame:
-    scored = _scored(spark, sf)
-    return M.sweep(scored, M.flagged_by_k(scored, "value", M.K_GRID, 2), _true_rows(spark, sf), M.K_GRID)
+    return M.sweep_series(_scored(spark, sf), "value", M.K_GRID, 2)
 
 
 _RATES = ("precision", "recall", "f1")
@@ -155,8 +156,7 @@ def pointwise_metrics(spark, sf):
 
 
 def event_metrics(spark, sf):
-    g = _grid(spark, sf).select("series_id").distinct()
-    return _r(M.event_level(g, E.to_events(_flags(spark, sf, 2.0), 3), E.to_events(_true_rows(spark, sf), 3)), *_RATES)
+    return _r(M.sweep_series(_scored(spark, sf), "value", [2.0], 2).drop("k", "anomaly_rate"), *_RATES)
 
 
 def business_metrics(spark, sf):
@@ -225,11 +225,11 @@ def acf(spark, sf):
 
 
 def pacf(spark, sf):
-    return D.pacf(D.acf(_grid(spark, sf)))
+    return _r(D.pacf(D.acf(_grid(spark, sf))), "pacf")
 
 
 def qq_points(spark, sf):
-    return D.qq(_grid(spark, sf))
+    return _r(D.qq(_grid(spark, sf)), "theoretical")
 
 
 def leaderboard(spark, sf):
@@ -251,16 +251,67 @@ def bocpd_cp_prob(spark, sf):
 
 
 def bocpd_map_run_length(spark, sf):
-    return models.run_lengths(_marked(spark, sf), eps=1e-9).select("series_id", "idx", "cp_prob", "map_run_length")
+    return _r(models.run_lengths(_marked(spark, sf), eps=1e-9).select("series_id", "idx", "cp_prob", "map_run_length"), "cp_prob")
 
 
-def local_level_filter(spark, sf):
-    return _r(models.level_filter(_marked(spark, sf)).select("series_id", "idx", "level", "level_var"), "level", "level_var")
+def bocpd_run_length_matrix(spark, sf):
+    return _r(models.run_length_matrix(_grid(spark, sf)), "prob")
+
+
+def first_runs(spark, sf):
+    m = _sweep(spark, sf).filter("k in (2.0, 3.0)")
+    return _r(results.first_runs(m.select(F.concat(F.lit("ROLLING_"), F.col("k").cast("int").cast("string")).alias("Model"), F.col("series_id").alias("Dataset"), "f1")), "f1")
+
+
+def rows_at_flagged_times(spark, sf):
+    g = _grid(spark, sf)
+    return E.at_times(g, g.join(_flags(spark, sf, 2.0), ["series_id", "idx"])).select("series_id", "idx", "value")
+
+
+def csv_series(spark, sf):
+    """The grid, written as a CSV file for each series, half of them with other headers, and read back."""
+    path, g = scratch(spark), _grid(spark, sf).withColumn("series", F.col("series_id"))
+    own = g.filter("series_id < 'l'").select("series", "ts", "value").withColumnsRenamed({"ts": "timestamp"})
+    odd = g.filter("series_id >= 'l'").select("series", F.col("ts").alias("when"), F.col("value").alias("count"), F.lit("x").alias("note"))
+    for name, rows in (("own", own), ("odd", odd)):
+        rows.repartition("series").write.partitionBy("series").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{path}/{name}")
+    read = S.read_csv(spark, f"{path}/*/*/*.csv", path)
+    return read.select(F.regexp_extract("series_id", "series=([^/]*)/", 1).alias("series_id"), "idx", "ts", "value")
+
+
+def stream_windows(spark, sf):
+    """The grid's cells as a stream gives them out, up to the watermark."""
+    path = scratch(spark)
+    return online.run_available(online.stream_grid(online.events_stream(spark, f"{sf}/event[s].parquet")), f"{path}/out", f"{path}/state")
+
+
+def online_run_lengths(spark, sf):
+    """Likeliest run lengths of the grid's values, standardised, as a stream of them goes through the state."""
+    path = scratch(spark)
+    z = P.zscore(_grid(spark, sf)).select("series_id", "ts", F.col("z").alias("value"))
+    z.coalesce(1).sortWithinPartitions("series_id", "ts").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(z.schema).parquet(f"{path}/in")
+    return online.run_available(online.online_changepoints(stream), f"{path}/out", f"{path}/state").select("series_id", "ts", "map_run_length")
 
 
-def stl_additive(spark, sf):
-    d = models.decompose(_marked(spark, sf))
-    return d.select("series_id", "idx", F.round(F.col("trend") + F.col("seasonal") + F.col("resid"), 6).alias("total"))
+def _predictions(frame: DataFrame, *cols: str) -> DataFrame:
+    return frame.select("series_id", "idx", "ts", "value", "pred_mean", *cols, "detected")
+
+
+def predictions_kalman(spark, sf):
+    return _predictions(pipelines.kalman(_marked(spark, sf), rows=True), "pred_lower", "pred_upper", "lower", "upper")
+
+
+def predictions_bsts(spark, sf):
+    return _predictions(pipelines.bsts(_marked(spark, sf), rows=True), "pred_lower", "pred_upper", "resid")
+
+
+def predictions_gp(spark, sf):
+    return _predictions(pipelines.gaussian_process(_marked(spark, sf), rows=True), "pred_std", "resid")
+
+
+def local_level_filter(spark, sf):
+    return _r(models.level_filter(_marked(spark, sf)).select("series_id", "idx", "level", "level_var"), "level", "level_var")
 
 
 def stl_decompose(spark, sf):
@@ -340,7 +391,7 @@ def pipeline_gp_simple(spark, sf):
 
 
 def pipeline_changepoints(spark, sf):
-    return pipelines.changepoints(_marked(spark, sf)).select("series_id", "idx", "cp_prob", "map_run_length", "highlight")
+    return _r(pipelines.changepoints(_marked(spark, sf)).select("series_id", "idx", "cp_prob", "map_run_length", "highlight"), "cp_prob")
 
 
 def benchmark_leaderboard(spark, sf):
@@ -353,10 +404,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         residual_median_centered, rolling_stats, rolling_backfill, rolling_sigma_flags, interval_flags, persistence_filter, event_overlap_tp, event_overlap_fn,
         pointwise_metrics, event_metrics, business_metrics, anomaly_rate, threshold_sweep, threshold_best, threshold_best_validated, sliding_sequences,
         lstm_score_rolling, rolling_volatility, ensemble_mean, pr_curve, pr_auc, residual_kurtosis, residual_histogram, acf, pacf, qq_points, leaderboard,
-        cv_summary, bocpd_cp_prob, bocpd_map_run_length, local_level_filter, stl_additive, stl_decompose, local_level_forecast, local_trend_forecast,
+        cv_summary, bocpd_cp_prob, bocpd_map_run_length, bocpd_run_length_matrix, local_level_filter, stl_decompose, local_level_forecast, local_trend_forecast,
         bsts_forecast, bsts_dummy_forecast, gp_forecast, gp_simple_forecast, lstm_forecast, hybrid_scores, pipeline_kalman, pipeline_bsts, pipeline_gp,
         pipeline_stl_baseline, pipeline_lstm, pipeline_hybrid, pipeline_bsts_dummy, pipeline_bsts_enhanced, pipeline_lstm_raw, pipeline_gp_simple,
-        pipeline_changepoints, benchmark_leaderboard,
+        pipeline_changepoints, benchmark_leaderboard, first_runs, rows_at_flagged_times, csv_series, stream_windows, online_run_lengths,
+        predictions_kalman, predictions_bsts, predictions_gp,
     )
     found = {f.__name__: f for f in plain}
     found |= {f"residual_z_flags_{m}": partial(residual_z_flags, m) for m in ("std", "mad", "rolling")}
@@ -427,11 +479,33 @@ _TAILS = {
     "acf": "SELECT a.series_id, CAST(h AS INTEGER) AS lag, round(sum(a.d * b.d) / max(v), 8) AS acf FROM (SELECT s.series_id, idx, value - mu_all AS d FROM s JOIN med ON med.series_id = s.series_id) a CROSS JOIN (SELECT unnest(range(51)) AS h) JOIN (SELECT s.series_id, idx, value - mu_all AS d FROM s JOIN med ON med.series_id = s.series_id) b ON b.series_id = a.series_id AND b.idx = a.idx - h JOIN (SELECT series_id, sum(d * d) AS v FROM (SELECT s.series_id, value - mu_all AS d FROM s JOIN med ON med.series_id = s.series_id) GROUP BY 1) z ON z.series_id = a.series_id GROUP BY 1, 2",
     "leaderboard": "SELECT 'ROLLING_' || CAST(CAST(k AS INTEGER) AS VARCHAR) AS \"Model\", series_id AS \"Dataset\", CASE WHEN n_pred_events > 0 THEN round(f1, 8) END AS \"Event_F1\", CASE WHEN n_pred_events > 0 THEN round(precision, 8) END AS \"Precision\", CASE WHEN n_pred_events > 0 THEN round(recall, 8) END AS \"Recall\", CASE WHEN k = 2 THEN round(anomaly_rate, 8) ELSE 1.5 END AS \"FP_per_Day\", CASE WHEN k = 2 THEN 0.0 END AS \"Latency_Min\" FROM sw WHERE k IN (2, 3)",
     "cv_summary": "SELECT series_id AS \"Model\", round(avg(f1), 8) AS f1, round(avg(anomaly_rate), 8) AS fp_per_day, round(avg(CASE WHEN n_pred_events > 0 THEN k END), 8) AS latency FROM sw GROUP BY 1",
-    "bocpd_cp_prob": "SELECT series_id, idx, CAST(0.01 AS DOUBLE) AS cp_prob FROM s",
-    "stl_additive": "SELECT series_id, idx, round(value, 6) AS total FROM s",
+    "csv_series": "SELECT series_id, CAST(idx AS BIGINT) AS idx, ts, value FROM s",
+    "first_runs": "SELECT 'ROLLING_' || CAST(CAST(k AS INTEGER) AS VARCHAR) AS \"Model\", series_id AS \"Dataset\", round(f1, 8) AS f1 FROM sw WHERE k IN (2, 3) QUALIFY row_number() OVER (PARTITION BY k ORDER BY series_id) = 1",
+    "rows_at_flagged_times": "SELECT series_id, idx, value FROM s WHERE EXISTS (SELECT 1 FROM per p JOIN s t ON t.series_id = p.series_id AND t.idx = p.idx WHERE p.k = 2 AND p.series_id = s.series_id AND t.ts = s.ts)",
+    "stream_windows": "SELECT series_id, ts, v AS value FROM cells WHERE ts + INTERVAL 90 MINUTES <= (SELECT max(ts) FROM events)",
+    "qq_points": f"SELECT series_id, nth, round({D.normal_quantile('p')}, 8) AS theoretical, ordered FROM (SELECT *, CASE WHEN nth = n THEN pow(0.5, 1 / n) WHEN nth = 1 THEN 1 - pow(0.5, 1 / n) ELSE (nth - 0.3175) / (n + 0.365) END AS p FROM (SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY value, idx) AS INTEGER) AS nth, n, value AS ordered FROM s))",
 }
 
 
+#: Levinson and Durbin's recursion over the list of autocorrelations; r[k + 1] is that of lag k.
+_PACF = """rr AS (SELECT series_id, list(acf ORDER BY lag) AS r FROM ({acf}) GROUP BY series_id),
+f AS (SELECT series_id, 1 AS lag, [r[2]] AS phi, r[2] AS a FROM rr UNION ALL
+SELECT series_id, lag + 1, list_concat(list_transform(range(1, lag + 1), lambda j: phi[j] - a * phi[lag + 1 - j]), [a]), a FROM (
+SELECT f.series_id, f.lag, f.phi, (rr.r[f.lag + 2] - list_sum(list_transform(range(1, f.lag + 1), lambda j: f.phi[j] * rr.r[f.lag + 2 - j]))) / (1 - list_sum(list_transform(range(1, f.lag + 1), lambda j: f.phi[j] * rr.r[j + 1]))) AS a
+FROM f JOIN rr ON rr.series_id = f.series_id WHERE f.lag < 50))
+SELECT series_id, CAST(0 AS INTEGER) AS lag, CAST(1 AS DOUBLE) AS pacf FROM rr UNION ALL SELECT series_id, CAST(lag AS INTEGER), round(a, 8) FROM f"""
+#: The posterior over run lengths, longest last, with its means and scales; j - 1 is the run length.
+_RUNS = """z AS (SELECT series_id, idx, ts, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + {sd}) AS x FROM s WINDOW w AS (PARTITION BY series_id)),
+g AS (SELECT series_id, CAST(-1 AS BIGINT) AS idx, CAST(NULL AS TIMESTAMP) AS ts, [CAST(1 AS DOUBLE)] AS r, [CAST(0 AS DOUBLE)] AS mu, [CAST(1 AS DOUBLE)] AS beta FROM (SELECT DISTINCT series_id FROM s) UNION ALL
+SELECT series_id, idx, ts, list_transform(list_concat([0.01 * t], list_transform(m, lambda v: 0.99 * v)), lambda v: v / (t + {eps})),
+list_concat([CAST(0 AS DOUBLE)], list_transform(range(1, len(mu) + 1), lambda j: (j * mu[j] + x) / (j + 1))),
+list_concat([CAST(1 AS DOUBLE)], list_transform(range(1, len(mu) + 1), lambda j: beta[j] + j * (x - mu[j]) * (x - mu[j]) / (2 * (j + 1))))
+FROM (SELECT *, list_sum(m) AS t FROM (SELECT g.series_id, z.idx, z.ts, z.x, g.mu, g.beta, list_transform(range(1, len(g.r) + 1), lambda j: g.r[j] * exp(lgamma((j + 2) / 2) - lgamma((j + 1) / 2) - 0.5 * ln((j + 1) * pi() * 2 * g.beta[j] / j) - (j + 2) / 2 * ln(1 + (z.x - g.mu[j]) * (z.x - g.mu[j]) / ((j + 1) * 2 * g.beta[j] / j)))) AS m
+FROM g JOIN z ON z.series_id = g.series_id AND z.idx = g.idx + 1)))
+{tail}"""
+_MAP = "CAST(list_position(r, list_max(r)) - 1 AS {}) AS map_run_length"
+
+
 def oracle_sql() -> dict[str, str]:
     base = "WITH " + ", ".join(f"{k} AS MATERIALIZED ({v})" if k in ("s", "fill", "per", "pe", "te", "counts") else f"{k} AS ({v})" for k, v in _BASE.items())
     found = {k: f"{base} {v}" for k, v in _TAILS.items()}
@@ -452,5 +526,12 @@ def oracle_sql() -> dict[str, str]:
     found["threshold_best_validated"] = f"{base2}, b AS (SELECT z.series_id, coalesce(x.k, 3.0) AS best_k, x.f1 AS best_f1 FROM (SELECT DISTINCT series_id FROM m) z LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY f1 DESC, k) AS r FROM sw WHERE split = 'Validation' AND anomaly_rate <= 0.1) x ON x.series_id = z.series_id AND r = 1) SELECT b.series_id, b.best_k, round(b.best_f1, 8) AS best_f1, sw.tp, sw.fp, sw.fn FROM b JOIN sw ON sw.series_id = b.series_id AND sw.split = 'Test' AND sw.k = b.best_k"
     found["series_index"] = "SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY ts, value) - 1 AS idx, ts, value FROM (SELECT o_orderstatus AS series_id, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS ts, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders GROUP BY 1, 2)"
     rec = base.replace("WITH ", "WITH RECURSIVE ", 1)
+    found["pacf"] = f"{rec}, " + _PACF.format(acf=_TAILS["acf"].replace("round(sum(a.d * b.d) / max(v), 8)", "sum(a.d * b.d) / max(v)"))
+    runs = lambda tail, eps="1e-9", sd="1e-9": f"{rec}, " + _RUNS.format(tail=f"SELECT {tail} FROM g WHERE idx >= 0", eps=eps, sd=sd)
+    found["bocpd_cp_prob"] = runs("series_id, idx, round(r[1], 8) AS cp_prob", "0", "0")
+    found["bocpd_map_run_length"] = runs(f"series_id, idx, round(r[1], 8) AS cp_prob, {_MAP.format('DOUBLE')}")
+    found["pipeline_changepoints"] = runs(f"series_id, idx, round(r[1], 8) AS cp_prob, {_MAP.format('DOUBLE')}, CAST(r[1] > 0.5 AS INTEGER) AS highlight", "0", "0")
+    found["online_run_lengths"] = runs(f"series_id, ts, {_MAP.format('BIGINT')}", "0", "0")
+    found["bocpd_run_length_matrix"] = runs("series_id, idx, run_length, round(prob, 8) AS prob FROM (SELECT series_id, idx, unnest(range(len(r))) AS run_length, unnest(r) AS prob").replace(" FROM g WHERE idx >= 0", " FROM g WHERE idx >= 0) WHERE prob >= 1e-3")
     found["local_level_filter"] = f"{rec}, f AS (SELECT series_id, idx, value AS level, CAST(1.0 AS DOUBLE) AS p FROM s WHERE idx = 0 UNION ALL SELECT s.series_id, s.idx, f.level + (f.p + 0.1) / (f.p + 1.1) * (s.value - f.level), (1 - (f.p + 0.1) / (f.p + 1.1)) * (f.p + 0.1) FROM f JOIN s ON s.series_id = f.series_id AND s.idx = f.idx + 1) SELECT series_id, idx, round(level, 8) AS level, round(p, 8) AS level_var FROM f"
     return found

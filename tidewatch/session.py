@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,14 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name below spark.checkpoint.dir, which driver and executors share; on a local master, where that is
+    unset, below a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
+    return f"{base}/tidewatch-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 METRICS = """
@@ -22,6 +22,11 @@ def write_scores(scores: DataFrame, path: str, form: str = "parquet") -> None:
     scores.withColumn("series_id", path_key("series_id")).write.mode("overwrite").partitionBy("model", "series_id").option("header", True).format(form).save(path)
 
 
+def read_scores(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """What write_scores wrote: scores, predictions or decompositions, with their model and series_id."""
+    return spark.read.option("header", True).option("inferSchema", form == "csv").format(form).load(path)
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """One JSON object a run, in model=/series= folders; null parts stay out."""
     metrics.withColumn("series_id", path_key("series_id")).write.mode("overwrite").partitionBy("model", "series_id").json(path)
@@ -37,6 +42,19 @@ def scan_metrics(spark: SparkSession, path: str) -> DataFrame:
     return read.filter(~null_events).select("Model", "Dataset", "m.*")
 
 
+def scan_folds(spark: SparkSession, path: str) -> DataFrame:
+    """Every cv_results.json below path, an array of folds: Model from the folder, then f1, fp_per_day, latency of each fold."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "cv_results.json").text(path, wholetext=True)
+    folds = F.from_json("value", "array<struct<f1:double, fp_per_day:double, latency:double>>")
+    return raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("Model"), F.posexplode(folds).alias("fold", "x")).select("Model", "fold", "x.*")
+
+
+def first_runs(metrics: DataFrame) -> DataFrame:
+    """One run of each model: the first by its data set's name."""
+    order = F.row_number().over(Window.partitionBy("Model").orderBy("Dataset"))
+    return metrics.withColumn("nth", order).filter("nth = 1").drop("nth")
+
+
 def leaderboard(metrics: DataFrame) -> DataFrame:
     """Flat rows, best event F1 first. Without business metrics the flat fields count; missing counts are 0."""
     has = F.col("business").isNotNull()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,19 +19,30 @@ def indexed(rows: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     """Series files, one series each, named by their path below root (or by file name).
 
-    A file whose header lacks 'timestamp' or 'value' has its first two columns taken for them; fewer than two columns are
-    an error. Times must parse.
+    Each file's own header counts: files whose header lacks 'timestamp' or 'value' have their first two columns taken for
+    them; fewer than two columns are an error. Files are read together by kind of header. Times must parse.
     """
-    names = [c.strip() for c in spark.read.option("header", False).csv(path).first() or []]
-    if len(names) < 2:
-        raise ValueError("a series needs a time and a value column")
-    wanted = ("timestamp", "value") if {"timestamp", "value"} <= set(names) else (names[0], names[1])
-    schema = ", ".join(f"`{c or f'c{i}'}` string" for i, c in enumerate(names))
-    raw = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # the first line of a file's first block; a block is read by one task, in order
+    heads = lines.filter("block = 0").groupBy("file").agg(F.first("value").alias("head")).collect()  # one row a file
+    kinds: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(heads):
+        names = tuple(c.strip() for c in next(csv.reader([r["head"].lstrip("\ufeff")]), []))
+        if len(names) < 2:
+            raise ValueError(f"{r['file']}: a series needs a time and a value column")
+        kinds.setdefault(names, []).append(unquote(r["file"]))
+    if not kinds:
+        raise ValueError(f"{path}: no series file")
+    return indexed(reduce(DataFrame.unionByName, [_csv_files(spark, names, files, root) for names, files in kinds.items()]))
+
+
+def _csv_files(spark: SparkSession, names: tuple[str, ...], files: list[str], root: str | None) -> DataFrame:
+    """(series_id, ts, value) of files that all have the header names."""
+    time, value = (names.index("timestamp"), names.index("value")) if {"timestamp", "value"} <= set(names) else (0, 1)
+    raw = spark.read.option("header", True).option("enforceSchema", True).schema(", ".join(f"c{i} string" for i in range(len(names)))).csv(files)
     file = F.col("_metadata.file_path")
     name = F.substring_index(file, root.rstrip("/") + "/", -1) if root else F.element_at(F.split(file, "/"), -1)
-    rows = raw.select(name.alias("series_id"), F.to_timestamp_ntz(F.col(f"`{wanted[0]}`")).alias("ts"), F.col(f"`{wanted[1]}`").cast("double").alias("value"))
-    return indexed(rows)
+    return raw.select(name.alias("series_id"), F.to_timestamp_ntz(F.col(f"c{time}")).alias("ts"), F.col(f"c{value}").cast("double").alias("value"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
