@@ -3,7 +3,7 @@
 Two permutations serve all coordinates of a signature: the first (sigma) scatters shingles over a circle of places, the
 second (pi) gives each place a rank, and coordinate k reads pi shifted by k. Texts with the same words are one class. Bands
 of coordinates make buckets of classes. Within a bucket no pairs are listed: members are verified against centres, and then
-only pairs between components that exact bounds on the rarest shingles leave open.
+only pairs between components that exact bounds on the first shingles of an order leave open.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ WORDS, SIMILAR = 5, 75
 PLACES, BANDS, ROWS = 1 << 21, 32, 4
 #: Members up to which all of a bucket's open pairs are verified at once.
 SMALL = 16
-#: Further centres that a large bucket's members are verified against before its open pairs are looked for.
-TURNS = 3
+#: Counters of how often shingles occur among the members of large buckets: 8 MB that are broadcast.
+SLOTS = 1 << 21
 _CHUNK = 1 << 20
 
 
@@ -117,20 +118,20 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame, path: str) -> DataFrame:
-    """(node, comp): comp is the smallest node reachable over links (a, b). Labels move along links and are then
-    shortened; a node's neighbours are only ever aggregated, never gathered."""
-    both = common.saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{path}/links")
-    labels = nodes.select("node", F.col("node").alias("comp"))
-    step = 0
+    """(node, comp): comp is the smallest node reachable over links (a, b). In each round every node goes to its smallest
+    neighbour and on to that one's, and links are carried along; those within a component are gone, so that stars are one
+    round. A node's neighbours are only ever aggregated, never gathered."""
+    labels, links, step = nodes.select("node", F.col("node").alias("comp")), links.select("a", "b"), 0
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("heard"))
-        moved = labels.join(heard.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("heard", "comp")).alias("comp"))
-        moved = common.saved(moved, f"{path}/moved{step}")
-        # a label's own label is smaller still
-        up = moved.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        short = common.saved(moved.join(up, "comp").select("node", "was", F.col("up").alias("comp")), f"{path}/labels{step}")
-        labels = short.select("node", "comp")
-        if not short.filter("comp < was").limit(1).count():
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = common.saved(both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")), f"{path}/near{step}")
+        on = near.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        up = common.saved(near.join(on, "to").select("a", F.col("next").alias("to")), f"{path}/up{step}")
+        labels = common.saved(labels.join(up.withColumnRenamed("a", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), f"{path}/labels{step}")
+        left, right = up.select("a", F.col("to").alias("to_a")), up.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
+        moved = links.join(left, "a").join(right, "b").filter("to_a != to_b")
+        links = common.saved(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), f"{path}/links{step}")
+        if not links.limit(1).count():
             return labels
         step += 1
 
@@ -162,35 +163,54 @@ def _merged(labels: DataFrame, links: DataFrame, path: str) -> DataFrame:
     return common.saved(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), f"{path}/labels")
 
 
-def _gathered(members: DataFrame, labels: DataFrame, sets: DataFrame, path: str) -> DataFrame:
-    """Labels after some turns in which each large bucket's members outside its centre's component are verified against the
-    centre, another in each turn and bucket. It is work in proportion to the members; what it leaves is _apart's."""
-    for turn in range(TURNS):
-        active = _active(members, labels, f"{path}/active{turn}")
-        centre = active.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("key", "node", F.lit(turn))).alias("c"))
-        rows = active.join(centre, "key").filter((F.col("comp") != F.col("c.comp")) & _alike("n", "c.n"))
-        pairs = _ordered(rows.select(F.col("node").alias("x"), F.col("c.node").alias("y")))
-        links = common.saved(_verify(pairs, sets).filter("link").select("a", "b"), f"{path}/links{turn}")
-        if not links.limit(1).count():
-            break
-        labels = _merged(labels, links, f"{path}/merged{turn}")
-    return labels
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many of the sets hold a shingle of each slot (its lowest bits): SLOTS numbers, whatever the input."""
+    size = SLOTS // 128
+
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
+        some = np.flatnonzero(total.reshape(-1, size).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[i * size : (i + 1) * size].astype("<u4").tobytes() for i in some], pa.binary())], names=["part", "counts"])
 
+    def add(key, f):
+        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in f["counts"])
+        return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
 
-def _apart(members: DataFrame, sets: DataFrame) -> DataFrame:
+    out = np.zeros(SLOTS, np.uint32)
+    for r in sets.select("shingles").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect():
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], "<u4")
+    return out
+
+
+def _apart(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     """Pairs of members of large buckets in different components that could be links.
 
-    With all shingles in one order, rarest among these members first, a link's first common shingle stands among the first
-    quarter of both sets, and from it on both sets are at least as long as the intersection must be. Copies with changes of
-    their own begin with those, so that texts too different for a link meet too late.
+    With all shingles in one order, rarest slots among these members first, a link's first common shingle stands among the
+    first quarter of both sets, and from it on both sets are at least as long as the intersection must be. Copies with
+    changes of their own begin with those, so that texts too different for a link meet too late. Any order gives all links.
     """
     each = members.select("node", "n", "comp").distinct()
-    own = sets.join(each.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
-    seen = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen"))
-    order = own.join(seen, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("order"))
-    quarter = F.slice("order", F.lit(1), (F.floor(F.col("n") / 4) + 1).cast("int"))
-    first = order.join(each, "node").select("node", "n", "comp", F.posexplode(quarter).alias("at", "x"))
-    first = first.filter("x.seen > 1").select("node", "n", "comp", (F.col("n") - F.col("at")).alias("rest"), F.col("x.shingle").alias("shingle"))
+    own = common.saved(each.join(sets, "node"), f"{path}/own")
+    shared = members.sparkSession.sparkContext.broadcast(_frequencies(own))  # 4 x SLOTS bytes
+
+    def first(batches):
+        seen = shared.value
+        for b in batches:
+            row, rest, shingles = [], [], []
+            for i, (s, n) in enumerate(zip(b.column(3), b.column(1).to_pylist(), strict=True)):
+                s = s.values.to_numpy()
+                c = seen[s & (SLOTS - 1)]
+                at = np.lexsort([s, c])[: n // 4 + 1]
+                kept = np.flatnonzero(c[at] > 1)
+                row.append(np.full(len(kept), i))
+                rest.append(n - kept)
+                shingles.append(s[at[kept]])
+            row = pa.array(np.concatenate(row), pa.int32())
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(row) for k in range(3)], pa.array(np.concatenate(rest), pa.int64()), pa.array(np.concatenate(shingles), pa.int64())], names=["node", "n", "comp", "rest", "shingle"])
+
+    first = common.saved(own.select("node", "n", "comp", "shingles").mapInArrow(first, "node long, n long, comp long, rest long, shingle long"), f"{path}/first")
     other = first.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "rest")])
     late = (100 + SIMILAR) * F.least("rest", "rest2") < SIMILAR * (F.col("n") + F.col("n2"))
     met = first.join(other, "shingle").filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _alike("n", "n2") & ~late)
@@ -200,28 +220,31 @@ def _apart(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _link(classes: DataFrame, sets_for, path: str) -> DataFrame:
     """(node, comp) for the classes that share a bucket with another; classes: (node, n, keys).
 
-    Every pair of a bucket ends in one component, or verified, or excluded by sizes or bounds: first all members are
-    verified against the bucket's centre, its smallest node, in large buckets then against further centres; then small
-    buckets verify all open pairs between components, larger ones those that the bounds of _apart leave.
+    Buckets with the same members (their number and 128 bits of their hashes tell) are one bucket. Every pair of a bucket
+    ends in one component, or verified, or excluded by sizes or bounds: first all members are verified against two centres,
+    the smallest node and one at random; then small buckets verify all open pairs between components, larger ones those
+    that the bounds of _apart leave.
     """
     banded = classes.select("node", "n", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1")
-    members = common.saved(banded.join(shared, "key").withColumn("large", F.col("size") > SMALL), f"{path}/members")
+    one = F.struct("node", "n")
+    held = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"held{i}") for i in range(2)]
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(one).alias("centre"), F.min_by(one, F.xxhash64("key", "node")).alias("other"), *held).filter("size > 1")
+    same = shared.groupBy("size", "held0", "held1").agg(F.min_by(F.struct("key", "centre", "other"), "key").alias("b")).select("b.*", (F.col("size") > SMALL).alias("large"))
+    members = common.saved(banded.join(same, "key"), f"{path}/members")
     nodes = common.saved(members.select("node").distinct(), f"{path}/nodes")
     sets = sets_for(nodes)
-    sized = members.join(members.filter(F.col("node") == F.col("centre")).select("key", F.col("n").alias("n0")), "key")
-    pairs = _ordered(sized.filter(_alike("n", "n0")).select(F.col("node").alias("x"), F.col("centre").alias("y")))
+    near = members.select("node", "n", F.explode(F.array("centre", "other")).alias("c")).filter(_alike("n", "c.n"))
+    pairs = _ordered(near.select(F.col("node").alias("x"), F.col("c.node").alias("y")))
     met = common.saved(_verify(pairs, sets), f"{path}/met0")
     labels = components(nodes, met.filter("link"), f"{path}/turn0")
-    labels = _gathered(members.filter("large").select("key", "node", "n"), labels, sets, path)
-    active = _active(members, labels, f"{path}/active")
+    active = _active(members.select("key", "node", "n", "large"), labels, f"{path}/active")
     one = active.filter(~F.col("large")).select("key", "node", "n", "comp")
     two = one.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
     rows = one.join(two, "key").filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _alike("n", "n2"))
     pairs = _ordered(rows.select(F.col("node").alias("x"), F.col("node2").alias("y")))
     large = active.filter("large")
     if large.limit(1).count():
-        pairs = pairs.unionByName(_apart(large, sets)).distinct()
+        pairs = pairs.unionByName(_apart(large, sets, path)).distinct()
     more = common.saved(_verify(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti"), sets), f"{path}/met1")
     if more.filter("link").limit(1).count():
         labels = _merged(labels, more.filter("link"), f"{path}/turn1")
