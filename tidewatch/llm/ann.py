@@ -7,6 +7,8 @@ codebooks (the query itself is not quantised), and the best candidates of all li
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,13 +17,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import common
 
-#: Most vectors, and most numbers, that centroids and codebooks are fitted on.
+#: Most vectors, and most numbers, that centroids, codebooks and the numbers of probes and candidates are fitted on.
 SAMPLE, SAMPLE_NUMBERS = 32_768, 1 << 23
-MAX_LISTS, CODES, PER_CODE = 1024, 256, 4
-#: Share of the lists that a query probes, and the fewest. On vectors with hardly any clusters (the test tables) this share
-#: gives a recall above 0.95; clustered ones need far less.
-PROBE, LEAST_PROBE = 0.60, 16
-#: Candidates ranked exactly, and entries in a group of lists, or of parts of a long list.
+#: Coarse centroids of the first level, codes in a codebook, components to a code.
+COARSE, CODES, PER_CODE = 1024, 256, 4
+#: Share of the sample's true neighbours that the probed lists, and then the reranked candidates, must hold; its queries.
+REACH, TRIALS = 0.985, 128
+#: Fewest candidates ranked exactly; entries in a group of lists, or of parts of a long list.
 RERANK, GROUP = 100, 16_384
 
 
@@ -66,22 +68,57 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """coarse: (lists x dim); books: (subspaces x codes x width), over residuals of unit vectors."""
+    """coarse: (lists x dim), about as many as the root of n; books: (subspaces x codes x width), over residuals of unit vectors.
+
+    Beyond COARSE lists each first-level list is split by a second-level codebook over residuals, so that the sample stays
+    bounded. probes and rerank are what the sample's own queries needed to find REACH of their neighbours; among n vectors
+    a neighbour's place by quantised distance is taken to fall behind as the root of n over the sample's size.
+    """
 
-    def __init__(self, sample: np.ndarray, n: int):
+    def __init__(self, sample: np.ndarray, n: int, k: int = 5):
         x = unit(np.asarray(sample, np.float64))
         self.dim = x.shape[1]
-        self.coarse = kmeans(x, max(1, min(MAX_LISTS, len(x) // 16 or 1, round(np.sqrt(n)))))
+        lists = max(1, round(np.sqrt(n)))
+        self.first = kmeans(x, min(COARSE, len(x) // 16 or 1, lists))
+        rest = x - self.first[nearest(x, self.first)[0]]
+        self.second = kmeans(rest, round(lists / len(self.first))) if lists >= 2 * len(self.first) else np.zeros((1, self.dim))
+        self.coarse = (self.first[:, None] + self.second).reshape(-1, self.dim)
         self.width = next(w for w in range(PER_CODE, 0, -1) if self.dim % w == 0)
-        near, _ = nearest(x, self.coarse)
+        near = self.list_of(x)
         rest = (x - self.coarse[near]).reshape(len(x), -1, self.width)
         self.books = np.stack([_padded(kmeans(rest[:, j], CODES, 8, j)) for j in range(rest.shape[1])])
-        self.probes = max(LEAST_PROBE, round(PROBE * len(self.coarse)))
+        #: lists in an order in which neighbours stand together, so that the lists of a query fall into few groups
+        self.order = np.argsort(nearest(self.coarse, kmeans(self.coarse, round(np.sqrt(len(self.coarse)))))[0], kind="stable")
+        self.probes, self.rerank = self._needed(x, near, n, k)
+
+    def _needed(self, x: np.ndarray, near: np.ndarray, n: int, k: int) -> tuple[int, int]:
+        if len(x) < 2:
+            return len(self.coarse), RERANK
+        asked = np.unique(np.linspace(0, len(x) - 1, TRIALS).astype(int))
+        codes = self.encode(x)[1]
+        own, column = self.own(near, codes), np.arange(codes.shape[1])
+        lists, places = [], []
+        for i in asked:
+            like = x @ x[i]
+            like[i] = -np.inf
+            best = np.argsort(-like)[: min(k, len(x) - 1)]
+            d = ((x[i] - self.coarse) ** 2).sum(1)
+            lists += (d < d[near[best]][:, None]).sum(1).tolist()
+            far = d[near] + own - 2 * self.tables(x[i])[column, codes].sum(1)
+            far[i] = np.inf
+            places += (far < far[best][:, None]).sum(1).tolist()
+        at = lambda v: int(np.quantile(v, REACH, method="higher")) + 1
+        return at(lists), max(RERANK, int(np.ceil(at(places) * np.sqrt(max(1.0, n / len(x))))))
+
+    def list_of(self, x: np.ndarray) -> np.ndarray:
+        """The list of each unit vector: its first-level centroid, then that of its residual."""
+        near = nearest(x, self.first)[0]
+        return near * len(self.second) + nearest(x - self.first[near], self.second)[0]
 
     def encode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """List and codes of each vector."""
         x = unit(v)
-        near, _ = nearest(x, self.coarse)
+        near = self.list_of(x)
         rest = (x - self.coarse[near]).reshape(len(x), -1, self.width)
         return near, np.stack([nearest(rest[:, j], b)[0] for j, b in enumerate(self.books)], 1).astype(np.uint8)
 
@@ -108,23 +145,27 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.exists("v", lambda x: x != 0.0))
 
 
-def search(vectors: DataFrame, queries: F.Column | None = None, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, queries: F.Column | None = None, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by cosine, ties to the smaller id; all if there are fewer.
 
-    queries: a condition on id_col; by default ids divisible by 50. A row is no candidate of queries with its own id.
-    Vectors that are null, empty, zero, or hold nulls or non-finite numbers take no part, nor do null ids and vectors of
-    another length than most. Equal vectors are indexed once with their k + 1 smallest ids, no more of which can be among
-    the k nearest. An empty table gives an empty result.
+    queries: a condition on id; by default ids divisible by 50. A row is no candidate of queries with its own id. rerank:
+    candidates ranked exactly, by default what the index needs. Vectors that are null, empty, zero, or hold nulls or
+    non-finite numbers take no part, nor do null ids; vectors of each length are searched among themselves. Equal vectors
+    are indexed once with their k + 1 smallest ids, no more of which can be among the k nearest. An empty table gives an
+    empty result.
     """
-    spark = vectors.sparkSession
-    common.ship(spark)
-    path = common.staging(spark)
-    out = "query_id long, rank int, vec_id long, score double"
+    common.ship(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col)
-    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if width is None:
-        return spark.createDataFrame([], out)
-    rows = rows.filter(F.size("v") == width["w"]).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+    widths = sorted(r["w"] for r in rows.select(F.size("v").alias("w")).distinct().collect())
+    found = [_search(rows.filter(F.size("v") == w), w, queries, k, rerank) for w in widths]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(rows: DataFrame, width: int, queries: F.Column | None, k: int, rerank: int | None) -> DataFrame:
+    """search() among rows (id, v) whose vectors all have one length."""
+    spark = rows.sparkSession
+    path = common.staging(spark)
+    rows = rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
     asked = F.pmod(F.col("id"), F.lit(50)) == 0 if queries is None else queries
     rows = rows.withColumn("asked", asked)
     # equal vectors: the smallest ids, cut before the shuffle too
@@ -132,9 +173,11 @@ def search(vectors: DataFrame, queries: F.Column | None = None, *, k: int = 5, i
     few = common.saved(rows.dropDuplicates(["id", "k1", "k2"]).withColumn("nth", order).filter(F.col("nth") <= k + 1).select("k1", "k2", "id", "nth", "v"), f"{path}/few")
     entries = common.saved(few.filter("nth = 1").select("k1", "k2", F.col("id").alias("entry"), "v"), f"{path}/entries")
     n = entries.count()
-    size = min(SAMPLE, max(1, SAMPLE_NUMBERS // width["w"]))
+    size = min(SAMPLE, max(1, SAMPLE_NUMBERS // width))
     sample = entries.orderBy(F.xxhash64("k1", "k2")).limit(size).select("v").toPandas()["v"]
-    shared = spark.sparkContext.broadcast(Index(np.stack(sample.to_numpy()), n))
+    index = Index(np.stack(sample.to_numpy()), n, k)
+    rerank = rerank or index.rerank
+    shared = spark.sparkContext.broadcast(index)
 
     def encode(batches):
         index = shared.value
@@ -145,9 +188,11 @@ def search(vectors: DataFrame, queries: F.Column | None = None, *, k: int = 5, i
 
     codes = common.saved(entries.select("entry", "v").mapInArrow(encode, "entry long, list int, codes binary"), f"{path}/codes")
     # lists are put together, or a long one dealt out, to groups of about GROUP entries
-    sizes = {r["list"]: r["count"] for r in codes.groupBy("list").count().collect()}  # at most MAX_LISTS
+    sizes = {r["list"]: r["count"] for r in codes.groupBy("list").count().collect()}  # about the root of n rows
     groups, used, room = {}, 0, 0
-    for c in sorted(sizes):
+    for c in index.order.tolist():
+        if c not in sizes:
+            continue
         if sizes[c] > room:
             used, room = used + 1, GROUP
         groups[c] = (used, -(-sizes[c] // GROUP))
