@@ -7,7 +7,8 @@ line, which finds one-line notices in longer documents.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
-#: Known texts by SPDX identifier, full ones first, then notices of one line.
+#: Known texts by SPDX identifier, short ones, then notices of one line; the long ones are files in licenses/.
 KNOWN = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
@@ -90,15 +91,32 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 ]
-#: Most known texts that are broadcast; each is one digest.
-MAX_KNOWN = 100_000
-COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©|[0-9]|\[|<|by )|\(c\)[ \t]*[0-9]|©[ \t]*[0-9]|all rights reserved)[^\n]*"
+#: Digests up to which they are broadcast; beyond, Spark chooses how to join them.
+FEW_KNOWN = 100_000
+#: A line that begins with a copyright notice: a sign, year or name follows. (Lines of prose in capitals that begin with
+#: the word, as wrapped texts have, are none.)
+COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*((?i:portions[ \t]+)?((?i:copyright)[ \t:]*((?i:\(c\))|©|[0-9]|\[|<|(?i:by[ \t]))|(Copyright|copyright)[ \t:]+\p{Lu})|\([cC]\)[ \t]*[0-9]|©[ \t]*[0-9]|(?i:all rights reserved))[^\n]*"
+#: Where the terms of some long texts end and advice on their use begins; both forms are known.
+TERMS_END = "END OF TERMS AND CONDITIONS"
 MARKS = r"[^\p{L}\p{N}\n]+"
 
 
+@lru_cache(1)
+def known_texts() -> list[tuple[str, str]]:
+    """All known texts by identifier. Read on the driver."""
+    out = list(KNOWN)
+    for p in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = p.read_text(encoding="utf-8")
+        out.append((p.stem, text))
+        if TERMS_END in text:
+            out.append((p.stem, text.split(TERMS_END)[0] + TERMS_END))
+            out.append((p.stem, text.split(TERMS_END)[0]))
+    return out
+
+
 def normal(text: Column) -> Column:
     """The normalised text, its lines still apart."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT, "\n")
+    t = F.lower(F.regexp_replace(text, COPYRIGHT, "\n"))
     t = F.regexp_replace(t, MARKS, " ")
     # each word between blanks of its own, so that neighbours can both be replaced
     t = F.concat(F.lit(" "), F.replace(F.replace(t, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
@@ -112,9 +130,7 @@ def _lines(t: Column) -> Column:
 
 def known_digests(spark, known=None) -> DataFrame:
     """(license_id, digest, size) of the known texts; one row a digest, ties to the first identifier by name."""
-    known = KNOWN if known is None else known
-    if len(known) > MAX_KNOWN:
-        raise ValueError(f"{len(known)} known texts; the broadcast is bounded at {MAX_KNOWN}")
+    known = known_texts() if known is None else known
     rows = spark.createDataFrame(known, "license_id string, text string")
     whole = F.concat_ws(" ", _lines(normal(F.col("text"))))
     return rows.withColumn("t", whole).groupBy(F.sha2("t", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.max(F.length("t")).alias("size"))
@@ -128,31 +144,33 @@ def scan(docs: DataFrame, known=None, *, id_col: str = "doc_id", text_col: str =
     digest of nothing. Rows with the same id and normalised text count once. An empty table gives an empty result.
     """
     table = known_digests(docs.sparkSession, known)
+    known = known_texts() if known is None else known
+    small = F.broadcast if len(known) <= FEW_KNOWN else lambda t: t
     t = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _lines(normal(F.col(f"`{text_col}`"))).alias("lines"))
     t = t.select("doc_id", "lines", F.when(F.col("lines").isNotNull(), F.sha2(F.concat_ws(" ", "lines"), 256)).alias("digest"))
     longest = table.agg(F.max("size")).first()[0] or 0
     short = F.coalesce(F.filter("lines", lambda x: F.length(x) <= longest), F.array().cast("array<string>"))
     # every document has one null unit, so that none is lost
     units = t.select("doc_id", "digest", F.explode(F.concat(F.array(F.lit(None).cast("string")), short)).alias("unit"))
-    line = F.broadcast(table.select(F.col("digest").alias("unit_digest"), F.col("license_id").alias("line_license")))
+    line = small(table.select(F.col("digest").alias("unit_digest"), F.col("license_id").alias("line_license")))
     hits = units.withColumn("unit_digest", F.sha2("unit", 256)).join(line, "unit_digest", "left").filter(F.col("unit").isNull() | F.col("line_license").isNotNull())
     copies = F.sum(F.col("unit").isNull().cast("long"))
     found = hits.groupBy("doc_id", "digest").agg(
         (F.count("line_license") / copies).cast("long").alias("n_license_lines"),
         F.array_sort(F.collect_set("line_license")).alias("names"),
     )
-    whole = F.broadcast(table.select("digest", "license_id"))
+    whole = small(table.select("digest", "license_id"))
     names = F.when(F.size("names") > 0, F.concat_ws(",", "names"))
     return found.join(whole, "digest", "left").select("doc_id", "digest", "license_id", "n_license_lines", names.alias("line_licenses"))
 
 
 def oracle(known=None) -> str:
     """The query over documents in DuckDB's SQL."""
-    known = KNOWN if known is None else known
+    known = known_texts() if known is None else known
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def norm(col: str) -> str:
-        t = f"regexp_replace(lower({col}), {quote(COPYRIGHT)}, chr(10), 'g')"
+        t = f"lower(regexp_replace({col}, {quote(COPYRIGHT)}, chr(10), 'g'))"
         t = f"regexp_replace({t}, {quote(MARKS)}, ' ', 'g')"
         t = f"' ' || replace(replace({t}, ' ', '  '), chr(10), ' ' || chr(10) || ' ') || ' '"
         for a, b in SPELLINGS.items():
