@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of all training texts into (language, bucket) sums; the smoothed log-probabilities of the buckets
-that occur are broadcast. Texts are scored in numpy batches, against a matrix of at most ``MAX_LANGS`` x ``BUCKETS`` doubles
-at a time; more languages are scored block by block.
+that occur are broadcast. Texts are scored in numpy batches, as sparse rows of counts against a matrix of at most ``BUCKETS`` x
+``MAX_LANGS`` doubles at a time; more languages are scored block by block.
 """
 
 from __future__ import annotations
@@ -57,27 +57,19 @@ def count_grams(texts: list[bytes | None]) -> np.ndarray:
     return out
 
 
-def log_likelihoods(texts: list[bytes | None], logp: np.ndarray) -> np.ndarray:
-    """(texts x languages): sums of logp, a (languages x BUCKETS) matrix, over each text's n-grams."""
-    out = np.zeros((len(texts), len(logp)))
+def log_likelihoods(texts: list[bytes | None], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x languages): sums of logp, a (BUCKETS x languages) matrix, over each text's n-grams; and the texts' numbers of
+    n-grams. A text is a sparse row of bucket counts, which picks its rows of the matrix."""
+    out, n = np.zeros((len(texts), logp.shape[1])), np.zeros(len(texts), np.int64)
     for lo, hi in T.chunks(texts, _CHUNK):
         codes, first = _codes(texts[lo:hi])
-        for order in ORDERS:
-            b = _buckets(codes, order)
-            for k in range(len(logp)):
-                total = np.concatenate([[0.0], np.cumsum(logp[k][b])])
-                last = np.maximum(np.minimum(first[1:] - order + 1, len(b)), first[:-1])
-                out[lo:hi, k] += total[last] - total[np.minimum(first[:-1], len(b))]
-    return out
-
-
-def n_grams(texts: list[bytes | None]) -> np.ndarray:
-    """Each text's number of n-grams of all orders."""
-    out = np.zeros(len(texts), np.int64)
-    for lo, hi in T.chunks(texts, _CHUNK):
-        size = np.diff(_codes(texts[lo:hi])[1])
-        out[lo:hi] = sum(np.maximum(size - order + 1, 0) for order in ORDERS)
-    return out
+        grams = [_buckets(codes, order) for order in ORDERS]
+        for i, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), lo):
+            mine = np.concatenate([b[a : max(a, z - order + 1)] for order, b in zip(ORDERS, grams, strict=True)])
+            count = np.bincount(mine, minlength=BUCKETS)
+            held = np.flatnonzero(count)
+            out[i], n[i] = count[held] @ logp[held], len(mine)
+    return out, n
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[tuple], np.ndarray]:
@@ -116,25 +108,27 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
 
 def matrix(block: tuple) -> np.ndarray:
-    """(languages x BUCKETS) of a block: the log-probabilities of buckets that don't occur, and row, bucket, value of the others."""
+    """(BUCKETS x languages) of a block: the log-probabilities of buckets that don't occur, and row, bucket, value of the others."""
     rest, row, bucket, value = block
-    out = np.repeat(rest[:, None], BUCKETS, 1)
-    out[row, bucket] = value
+    out = np.tile(rest, (BUCKETS, 1))
+    out[bucket, row] = value
     return out
 
 
-def best_of(texts: list[bytes | None], blocks, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The likeliest language's place of each text, its log-likelihood with the prior, and the logarithm of the sum over all."""
+def best_of(texts: list[bytes | None], blocks, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The likeliest language's place of each text, its log-likelihood with the prior, the logarithm of the sum over all
+    languages, and the text's number of n-grams."""
     top, best, total = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf), np.full(len(texts), -np.inf)
     lo = 0
     for logp in blocks:
-        ll = log_likelihoods(texts, logp) + prior[lo : lo + len(logp)]
+        ll, n = log_likelihoods(texts, logp)
+        ll += prior[lo : lo + logp.shape[1]]
         most = ll.max(1)
         top = np.where(most > best, ll.argmax(1) + lo, top)
         best = np.maximum(best, most)
         total = np.logaddexp(total, most + np.log(np.exp(ll - most[:, None]).sum(1)))
-        lo += len(logp)
-    return top, best, total
+        lo += logp.shape[1]
+    return top, best, total, n
 
 
 def _has_letter(t: bytes | None) -> bool:
@@ -163,11 +157,11 @@ def predict(docs: DataFrame, model: tuple, *, keep: tuple[str, ...] = ("doc_id",
             fit = np.zeros(len(texts))
             if ok.any():
                 mine = [texts[i] for i in np.flatnonzero(ok)]
-                top, best, total = best_of(mine, only or map(matrix, blocks), prior)
+                top, best, total, n = best_of(mine, only or map(matrix, blocks), prior)
                 names[ok] = np.array(langs, object)[top]
                 score[ok] = np.exp(best - total)
                 if with_fit:
-                    fit[ok] = (best - prior[top]) / n_grams(mine)
+                    fit[ok] = (best - prior[top]) / n
             more = [pa.array(fit, mask=~ok)] * with_fit
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(names, pa.string()), pa.array(score), *more], names=[*keep, "lang_pred", "score", *["fit"] * with_fit])
 
