@@ -71,8 +71,8 @@ def test_substring_dedup(docs, empty):
         kept = [x for j, x in enumerate(w) if j not in gone]
         want.append((i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     assert sum(x[2] for x in want) > 300
-    for refine in (substring_dedup.REFINE, 1):  # 1: every repeated prefix goes to whole windows
-        assert key(substring_dedup.remove_repeats(docs, refine=refine), "doc_id", "n_words", "n_removed", "kept_sha256") == by_none(want)
+    for subtree in (substring_dedup.SUBTREE, 2000, 1):  # 1: every repeated prefix grows to whole windows
+        assert key(substring_dedup.remove_repeats(docs, subtree=subtree), "doc_id", "n_words", "n_removed", "kept_sha256") == by_none(want)
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
@@ -108,7 +108,7 @@ def test_circulant_signature_estimates_similarity():
     assert abs(same - 800 / 1200) < 0.15
 
 
-def test_license_scan(spark, empty):
+def test_license_scan(spark, empty, monkeypatch):
     mit = dict(license_scan.KNOWN[:1])["MIT"]
     wrapped = "MIT License\n\nCopyright (c) 2020 Some One\nAll rights reserved.\n\n" + mit.replace(" ", "\n", 3).replace("NONINFRINGEMENT", "non-infringement").replace("non-infringement", "NONINFRINGEMENT").upper()
     cases = [(1, wrapped), (2, "Hello.\n * released under the MIT licence!\nBye"), (3, None), (4, ""), (5, mit + " or else"), (5, mit + " or else")]
@@ -116,6 +116,16 @@ def test_license_scan(spark, empty):
     assert got[1].license_id == "MIT" and got[2].license_id is None and (got[2].n_license_lines, got[2].line_licenses) == (1, "MIT")
     assert got[3].digest is None and got[4].digest == hashlib.sha256(b"").hexdigest() and got[5].license_id is None and len(got) == 5
     assert license_scan.scan(empty).count() == 0
+    texts = dict(license_scan.known_texts())
+    notices = ["Copyright Jane Doe", "Copyright: 2020 X", "Portions Copyright (c) 1999 Y", "// © 2001 Z", "Copyright ACME Inc.", "ALL RIGHTS RESERVED"]
+    cases = [(i, n + "\n" + texts["GPL-2.0-only"].replace("  ", " ").replace("\n\n", "\n")) for i, n in enumerate(notices)]
+    cases += [(100 + i, t) for i, t in enumerate(texts.values())] + [(200, "\n".join(mit.split()))]
+    for few in (license_scan.FEW_KNOWN, 0):
+        monkeypatch.setattr(license_scan, "FEW_KNOWN", few)
+        got = {r.doc_id: r.license_id for r in license_scan.scan(spark.createDataFrame(cases, "doc_id long, text string")).collect()}
+        assert {got[i] for i in range(len(notices))} == {"GPL-2.0-only"} and got[200] == "MIT"
+        assert all(got[100 + i] is not None for i in range(len(texts)))
+        assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0"} <= set(got.values())
 
 
 def test_nearest_neighbours(spark):
@@ -140,6 +150,32 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
     few = {r.query_id: r.vec_id for r in ann.search(df.filter("vec_id in (0, 3)")).collect()}
     assert few == {0: 3}
+    other = spark.createDataFrame([(800, [1.0] * 3, 1), (801, [1.0, 1.0, 0.0], 1), (0, [1.0] * 2, 1), (2, [2.0] * 2, 1)], df.schema)
+    assert key(ann.search(other), "query_id", "rank", "vec_id") == [(0, 1, 2), (800, 1, 801)]
+
+
+def recall(spark, path):
+    """Share of all queries' 5 nearest vectors, by brute force, that the search finds."""
+    table = spark.read.parquet(path)
+    rows = [r for r in table.select("vec_id", "embedding").collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    got = {}
+    for r in ann.search(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = ann.cosine(np.broadcast_to(x[q], x.shape), x)
+        hits += len(got[ids[q]] & {int(ids[i]) for i in [i for i in np.lexsort([ids, -s]) if i != q][:5]})
+    return hits / (5 * len(got))
+
+
+def test_nearest_neighbours_recall(spark, monkeypatch):
+    assert recall(spark, "/root/testdata/sf0.01/embeddings.parquet") >= 0.95
+    assert recall(spark, "/root/testdata/sf0.1/embeddings.parquet") >= 0.95
+    # a sample of a quarter of the vectors, and two levels of lists
+    monkeypatch.setattr(ann, "SAMPLE", 500)
+    monkeypatch.setattr(ann, "COARSE", 16)
+    assert recall(spark, "/root/testdata/sf0.1/embeddings.parquet") >= 0.9
 
 
 def test_quality_rules(spark, docs, empty):
@@ -164,7 +200,6 @@ def direct(t):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(bpe.vocabulary())
-    tk.encode_special_tokens = True
     return [tk.encode(x, add_special_tokens=False).ids + [0] for x in t]
 
 
@@ -184,6 +219,41 @@ def test_token_files(docs, empty, spark, tmp_path):
     assert token_files.write_and_digest(empty).count() == 0
 
 
+def scanned(df):
+    """Rows that the scan of a plan gave out, once it has run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+
+def test_token_files_prune(spark, tmp_path):
+    many = spark.range(0, 16000, 2).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    path = f"file://{tmp_path}/ids"
+    token_files.write(many, path)
+    assert len(list((tmp_path / "ids").glob("*.orc"))) > 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        files = token_files.read(spark, path)
+        assert scanned(files) == 8000
+        assert 0 < scanned(files.filter("doc_id = 5000")) <= 1000  # a row group, by file statistics and the row index
+        assert scanned(files.filter("doc_id = 5001")) == 0  # between the ids of a row group: by the Bloom filter
+        assert scanned(files.filter("doc_id > 16000")) == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_start_follows_split_numbers(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a " * i) for i in range(6)], "doc_id long, text string")
+    token_files.write(docs.coalesce(1), f"file://{tmp_path}/ids")
+    rename = {99999: "part-99999", 100000: "part-100000"}
+    files = sorted((tmp_path / "ids").glob("part-*.orc"))
+    for n, f in zip(rename, files[-2:], strict=True):  # names of splits beyond five digits sort otherwise
+        f.rename(f.with_name(f.name.replace(f.name[:10], rename[n])))
+        crc_file = f.with_name(f".{f.name}.crc")
+        crc_file.unlink(missing_ok=True)
+    got = token_files.digests(spark, f"file://{tmp_path}/ids", f"file://{tmp_path}/work").orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == list(range(6)) and [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
 def test_packing(docs, empty):
     ids = direct([r[1] or "" for r in rows()])
     want = [(r[0], k, s, n, crc(x[s : s + n])) for r, x in zip(rows(), ids, strict=True) for k, (s, n) in enumerate(packing.cut(len(x)))]
@@ -266,10 +336,20 @@ def test_sentence_pieces_round_trip(docs, empty):
     assert sentence_pieces.encode(empty).count() == 0
 
 
-def test_encoder_equals_the_library():
-    texts = [r[1] or "" for r in rows()] + ["a \x1cb", " x", "x ", "it's  we'll\n\n don't", "<|endoftext|> a", "日本 語 1a ²"]
-    e = bpe.Encoder(bpe.vocabulary(), cache=50)
-    assert [e(t) for t in texts] == [np.array(x[:-1], "<u4").tobytes() for x in direct(texts)]
+def test_encoder_equals_the_library(monkeypatch):
+    rng = random.Random(9)
+    texts = [r[1] or "" for r in rows()] + ["a \x1cb", " x", "x ", "it's  we'll\n\n don't", "<|endoftext|> a", "日本 語 1a ²", "a.\nB c\n d", "\n a", " ", "  ", "a\xa0b \xa0c", "x\u2028y z", "é\xadª1½$$ µ'à"]
+    texts += ["".join(rng.choice("ab é1½.$'\n\t \x85\xa0日<|endoftext|>") for _ in range(rng.randint(1, 60))) for _ in range(800)]
+    texts += ["".join(rng.choice(["a", " ", "\n", "éa", "12", "$", "'s", "<|endoftext|>", "ſ", "٣", "\u3000"]) for _ in range(rng.randint(1, 30))) for _ in range(800)]
+    for cache in (50, bpe.CACHE):
+        e = bpe.Encoder(bpe.vocabulary(), cache=cache)
+        want = [np.array(x, "<u4").tobytes() for x in direct(texts)]
+        for chunk in (bpe.CHUNK, 16):
+            monkeypatch.setattr(bpe, "CHUNK", chunk)
+            ids, bound = e.many([t.encode() for t in texts], np.array([0], "<u4").tobytes())
+            assert [ids[a:z].tobytes() for a, z in zip(bound[:-1], bound[1:], strict=True)] == want
+        monkeypatch.undo()
+        assert e(texts[3]) == want[3][:-4]
 
 
 def test_pipeline_drops_texts_in_no_learned_language(spark):
@@ -282,7 +362,7 @@ def test_pipeline_drops_texts_in_no_learned_language(spark):
         -3: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80)),
         -4: " ".join(f"{rng.getrandbits(32):08x}" for _ in range(80)),
     }
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS).filter("size(split(text, ' ')) >= 50")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").filter("size(split(text, ' ')) >= 50")
     more = spark.createDataFrame([(i, t, None, "web", len(t)) for i, t in odd.items()], docs.schema)
     got = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), "").select("doc_id").collect()}
     assert got == {r.doc_id for r in docs.select("doc_id").collect()}

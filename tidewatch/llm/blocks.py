@@ -16,51 +16,55 @@ from pyspark.sql import functions as F
 from tidewatch.llm import common
 from tidewatch.llm import text as T
 
-SCHEMA = "block long, raw long, ids binary, known binary, flags binary, sizes binary, payload binary"
+SCHEMA = "block long, raw long, ids binary, known binary, rows binary, flags binary, sizes binary, payload binary"
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 6 << 20
 #: Bytes of text for each part that keys are dealt over.
 PART = 16 << 20
 
 
-def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", flag: F.Column | None = None, limit: int = BLOCK) -> DataFrame:
-    """The blocks table. flag: a boolean column to carry, false for null; limit: bytes of text in a block."""
+def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", flag: F.Column | None = None, row_col: str | None = None, limit: int = BLOCK) -> DataFrame:
+    """The blocks table. flag: a boolean column to carry, false for null; row_col: a long without nulls to carry; limit: bytes
+    of text in a block."""
     common.ship(docs.sparkSession)
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).alias("flag"), F.col(f"`{text_col}`").alias("text"))
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).alias("flag"), F.col(f"`{text_col}`").alias("text"), (F.lit(0) if row_col is None else F.col(f"`{row_col}`")).cast("long").alias("row"))
 
     def run(batches):
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 32
         ids: list = []
         flags: list = []
-        rows: list = []
+        keys: list = []
+        texts: list = []
         size = 0
 
         def made():
-            raw = b"".join(rows)
+            raw = b"".join(texts)
             return pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([number], pa.int64()),
                     "raw": pa.array([len(raw)], pa.int64()),
                     "ids": [np.array([i or 0 for i in ids], np.int64).tobytes()],
                     "known": [np.array([i is not None for i in ids], np.uint8).tobytes()],
+                    "rows": [np.array(keys, np.int64).tobytes()],
                     "flags": [np.array(flags, np.uint8).tobytes()],
-                    "sizes": [np.array([len(r) for r in rows], np.int64).tobytes()],
+                    "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()],
                     "payload": [pa.compress(raw, codec="zstd", asbytes=True)],
                 }
             )
 
         for b in batches:
-            for i, f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), T.texts_of(b), strict=True):
+            for i, f, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), T.texts_of(b), b.column(3).to_pylist(), strict=True):
                 ids.append(i)
                 flags.append(f)
-                rows.append(t or b"")
-                size += len(rows[-1])
+                keys.append(k)
+                texts.append(t or b"")
+                size += len(texts[-1])
                 if size >= limit:
                     yield made()
                     number += 1
-                    ids, flags, rows, size = [], [], [], 0
-        if rows:
+                    ids, flags, keys, texts, size = [], [], [], [], 0
+        if texts:
             yield made()
 
     return common.saved(named.mapInArrow(run, SCHEMA), path)
@@ -73,6 +77,7 @@ class Block:
         self.number = int(row["block"])
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.known = np.frombuffer(row["known"], np.uint8).astype(bool)
+        self.rows = np.frombuffer(row["rows"], np.int64)
         self.flags = np.frombuffer(row["flags"], np.uint8).astype(bool)
         size = np.frombuffer(row["sizes"], np.int64)
         raw = pa.decompress(row["payload"], int(row["raw"]), codec="zstd", asbytes=True) if row["raw"] else b""
@@ -102,10 +107,12 @@ def unplanes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part's keys begin and end among sorted uint64 keys; parts are equal ranges of keys."""
-    edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def part_bounds(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that sorted uint64 keys fall in, and where each one's keys begin (and the last one's end); parts are equal
+    ranges of keys. Work in proportion to the keys, however many parts there are."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return part[first].astype(np.int64), np.append(first, len(keys))
 
 
 def pack_keys(keys: np.ndarray) -> bytes:

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Local place for stage tables where the session names no spark.checkpoint.dir (tests only).
 LOCAL_STAGING = "/tmp/checkpoints"
+#: Files whose names (some 100 bytes each) are broadcast to number their rows.
+MOST_FILES = 10_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,25 +37,44 @@ def ship(spark: SparkSession) -> None:
     sc._tidewatch_shipped = True
 
 
+_OPEN: list[str] = []
+
+
 def staging(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; gone when the driver ends."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; gone when the driver ends, or scratch()."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         os.makedirs(LOCAL_STAGING, exist_ok=True)
         base = f"file://{LOCAL_STAGING}"
-    path = f"{base}/tidewatch-{uuid.uuid4().hex}"
-    atexit.register(drop, spark, path)
-    return path
+    if not _OPEN:
+        atexit.register(_at_exit, spark)
+    _OPEN.append(f"{base}/tidewatch-{uuid.uuid4().hex}")
+    return _OPEN[-1]
 
 
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a stage table; a later read of it fails, so only when nothing reads it again."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended; the folder is then left to the cluster's own cleaning
-        pass
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete the folders that staging() gave out inside, once what was made from them is written."""
+    before = len(_OPEN)
+    yield
+    while len(_OPEN) > before:
+        drop(spark, _OPEN.pop())
+
+
+def _at_exit(spark: SparkSession) -> None:
+    for path in _OPEN:
+        try:
+            drop(spark, path)
+        except (AttributeError, OSError, Py4JError):  # the session has ended; the cluster's own cleaning has the rest
+            return
 
 
 def saved(df: DataFrame, path: str) -> DataFrame:
@@ -61,13 +86,25 @@ def saved(df: DataFrame, path: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of stages whose results are now in stage tables."""
-    import gc
-
+    """Ask Spark's cleaner to delete shuffle files of stages whose results are now in stage tables. No result depends on it:
+    without it the files stay until the driver's JVM collects its garbage of its own accord."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def of_documents(docs: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns, so that further columns with clashing names do no harm."""
-    return docs.select(*[F.col(f"`{c}`") for c in cols])
+def row_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long of its own for each row, the same whenever the DataFrame is evaluated.
+
+    Rows of up to MOST_FILES files are known by file and place, whatever the number of executors. Other rows get numbers in
+    a stage table, since numbers by partition could change when a lost executor's work is done again.
+    """
+    spark = docs.sparkSession
+    try:
+        at = docs.select("*", F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(name))
+        files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().limit(MOST_FILES + 1).collect())
+    except AnalysisException:  # not a scan of files
+        files = []
+    if not 0 < len(files) <= MOST_FILES:
+        return saved(docs.withColumn(name, F.monotonically_increasing_id()), f"{staging(spark)}/rows")
+    numbers = spark.createDataFrame([(f, i << 40) for i, f in enumerate(files)], f"{name}_file string, {name}_first long")
+    return at.join(F.broadcast(numbers), f"{name}_file").withColumn(name, F.col(f"{name}_first") + F.col(name)).select(*[F.col(f"`{c}`") for c in docs.columns], name)

@@ -55,14 +55,14 @@ def requests(blocks: DataFrame, parts: int) -> DataFrame:
                 for base, keys in ((0, tokens), (parts, _pairs(tokens))):
                     u, at = np.unique(keys, return_inverse=True)
                     n = np.bincount(at, weights=weight, minlength=len(u)).astype(np.uint32)
-                    cut = B.part_bounds(u, parts)
-                    some = [p for p in range(parts) if cut[p + 1] > cut[p]]
+                    some, cut = B.part_bounds(u, parts)
+                    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "part": pa.array([base + p for p in some], pa.int32()),
+                            "part": pa.array(some + base, pa.int32()),
                             "block": pa.array([block.number] * len(some), pa.int64()),
-                            "keys": pa.array([B.pack_keys(u[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-                            "own": pa.array([B.planes(n[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
+                            "keys": pa.array([B.pack_keys(u[a:z]) for a, z in spans], pa.binary()),
+                            "own": pa.array([B.planes(n[a:z]) for a, z in spans], pa.binary()),
                         }
                     )
 

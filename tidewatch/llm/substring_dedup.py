@@ -3,16 +3,20 @@
 Suffixes start at synchronising words: of every 50-word window, the place (the leftmost) whose 8-word prefix has the least
 hash. Equal windows pick equal places, so suffixes with one 8-word prefix meet in one subtree, and a prefix that only one
 document has is a leaf that never leaves its block. Repeated prefixes bring their surroundings: the words of all windows
-that picked them. Equal surroundings are merged first (their smallest document id decides), then subtrees are built in
-memory-sized groups of prefixes: sorted suffixes with their common prefix lengths, and the same for the reversed words to
-the left. A window is a pair of internal nodes whose depths, left and right, add up to the window; the smallest id below
-both tells which of its documents keep it. A prefix with more surroundings than a group may hold is refined to the longest
-prefixes there are, whole windows, whose smallest ids are partially aggregated.
+that picked them. Equal surroundings are merged first (their smallest document id decides).
+
+Prefixes are as long as it takes for a subtree to fit in memory: 8 words, where those have too many surroundings 12, then 18,
+then 25. A window that doesn't reach so far to the right of its place reaches the further to the left, and its prefix grows
+there. What is too frequent with 25 words too gets the longest prefixes there are, whole windows: a subtree is then a leaf,
+whose smallest id is partially aggregated. All other subtrees are built in memory-sized groups of prefixes: sorted suffixes
+with their common prefix lengths, and the same for the reversed words to the left. A window is a pair of internal nodes
+whose depths, left and right, add up to the window; the smallest id below both tells which of its documents keep it.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,8 +32,8 @@ from tidewatch.llm import text as T
 WINDOW, PREFIX = 50, 8
 #: Bytes of text in a block; its prefixes rarely repeat within it, so a small one costs no more keys.
 BLOCK = 3 << 20
-#: Distinct surroundings of one prefix beyond which it is refined.
-REFINE = 4000
+#: Lengths that a prefix grows to while its surroundings hold more bytes than a subtree may.
+LADDER, SUBTREE = (12, 18, 25), 256 << 10
 #: Bytes of surroundings in a memory-sized group.
 GROUP = 12 << 20
 
@@ -85,15 +89,15 @@ def _prefixes(blocks: DataFrame, parts: int) -> DataFrame:
                 edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
                 u, low = key[edge], ids[edge]
                 high = ids[np.append(edge[1:], len(key)) - 1] if len(key) else ids
-                cut = B.part_bounds(u, parts)
-                some = [p for p in range(parts) if cut[p + 1] > cut[p]]
+                some, cut = B.part_bounds(u, parts)
+                spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array(some, pa.int32()),
                         "block": pa.array([block.number] * len(some), pa.int64()),
-                        "keys": pa.array([B.pack_keys(u[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-                        "low": pa.array([B.planes(low[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-                        "high": pa.array([B.planes(high[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
+                        "keys": pa.array([B.pack_keys(u[a:z]) for a, z in spans], pa.binary()),
+                        "low": pa.array([B.planes(low[a:z]) for a, z in spans], pa.binary()),
+                        "high": pa.array([B.planes(high[a:z]) for a, z in spans], pa.binary()),
                     }
                 )
 
@@ -169,13 +173,14 @@ def nodes_of(sequences: np.ndarray, root: np.ndarray):
     return at_depth
 
 
-def repeats(f: pd.DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> list[bytes]:
-    """For each row (prefix, around, left, windows, low), bits of its windows: whether a row with a smaller low has it."""
+def repeats(f: pd.DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> np.ndarray:
+    """For each row (key, around, left, nearest, farthest, low) a bit set: bit k tells whether its k-th window, if its place
+    stands nearest to farthest words after the window's start, is also one of a row with this key and a smaller low."""
     w = T.words(list(f["around"]))
     _, word = np.unique(w.hashes(), return_inverse=True)
     word = word.astype(np.int32)
-    _, root = np.unique(f["prefix"].to_numpy(), return_inverse=True)
-    left, count, low = (f[c].to_numpy(np.int64) for c in ("left", "windows", "low"))
+    _, root = np.unique(f["key"].to_numpy(), return_inverse=True)
+    left, nearest, farthest, low = (f[c].to_numpy(np.int64) for c in ("left", "nearest", "farthest", "low"))
     place = w.first[:-1] + left
     reach = window - prefix + 1
     padded = np.concatenate([word, np.full(window, -1, np.int32)])
@@ -184,76 +189,98 @@ def repeats(f: pd.DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> list
     back = place[:, None] - 1 - np.arange(reach)
     before = np.where(back >= w.first[:-1][:, None], word[np.maximum(back, 0)], -1).astype(np.int32)
     right_node, left_node = nodes_of(right, root), nodes_of(before, root)
-    hit = np.zeros((len(f), reach), bool)
+    hit = np.zeros(len(f), np.int64)
     for offset in range(reach):  # the place's distance from the window's first word
-        here = np.flatnonzero((offset <= left) & (offset > left - count))
+        here = np.flatnonzero((offset <= farthest) & (offset >= nearest))
         if not len(here):
             continue
         pair = right_node(window - offset)[here] * np.int64(len(f) + 1) + left_node(offset)[here]
         u, at = np.unique(pair, return_inverse=True)
         least = np.full(len(u), np.iinfo(np.int64).max)
         np.minimum.at(least, at, low[here])
-        hit[here, left[here] - offset] = least[at] < low[here]
-    return [np.packbits(x).tobytes() for x in hit]
+        hit[here] |= (least[at] < low[here]).astype(np.int64) << (left[here] - offset)
+    return hit
+
+
+_ROW = "prefix long, same binary, low long, around binary, left int, nearest int, farthest int, right int, before int"
+
+
+def _longer(length: int):
+    """Rows with prefixes of length words: for windows that reach that far from their place, to the right; for the others a
+    row of their own, whose prefix has the words on the left that all of them hold."""
+
+    def run(batches):
+        for b in batches:
+            f = b.to_pandas()
+            far = WINDOW - length
+            one, two = f[f["nearest"] <= far].copy(), f[f["farthest"] > far].copy()
+            one["farthest"] = np.minimum(one["farthest"], far).astype(np.int32)
+            one["right"] = np.int32(length)
+            two["nearest"] = np.maximum(two["nearest"], far + 1).astype(np.int32)
+            two["before"] = np.maximum(two["before"], far + 1).astype(np.int32)
+            out = pd.concat([one, two], ignore_index=True)
+            key = []
+            for around, left, right, before in zip(out["around"], out["left"].tolist(), out["right"].tolist(), out["before"].tolist(), strict=True):
+                words = b" ".join(around.split(b" ")[left - before : left + right])
+                key.append(int.from_bytes(hashlib.blake2b(words, digest_size=8, salt=bytes([right, before])).digest(), "little", signed=True))
+            out["key"] = np.array(key, np.int64)
+            yield pa.RecordBatch.from_pandas(out, schema=pa.schema([(c, {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}[t]) for c, t in (x.split() for x in f"{_ROW}, key long".split(", "))]), preserve_index=False)
+
+    return run
 
 
 def _windows(batches):
-    """Every window of each row (around, same, low) by a 128-bit digest: the longest prefixes."""
+    """Every window of rows by a 128-bit digest: the longest prefixes."""
     for b in batches:
-        around, same, low, count = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("around", "same", "low", "windows"))
-        digest, owner, at, least = [], [], [], []
-        for a, s, m, c in zip(around, same, low, count, strict=True):
-            words = a.split(b" ")
-            for k in range(c):
-                digest.append(hashlib.blake2b(b" ".join(words[k : k + WINDOW]), digest_size=16).digest())
-                owner.append(s)
-                at.append(k)
-                least.append(m)
-        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(owner, pa.binary()), pa.array(at, pa.int32()), pa.array(least, pa.int64())], names=["digest", "same", "at", "low"])
-
-
-def _marks(places: DataFrame, path: str, refine: int) -> DataFrame:
-    """(same, prefix, low, hit): for each distinct surrounding its smallest document, and bits of windows that a smaller one
-    has."""
+        f = b.to_pandas()
+        out: list[tuple] = []
+        for prefix, same, low, around, left, nearest, farthest in zip(*(f[c] for c in ("prefix", "same", "low", "around", "left", "nearest", "farthest")), strict=True):
+            words = around.split(b" ")
+            for k in range(left - farthest, left - nearest + 1):
+                out.append((hashlib.blake2b(b" ".join(words[k : k + WINDOW]), digest_size=16).digest(), prefix, same, low, 1 << k))
+        digest, prefix, same, low, bit = zip(*out, strict=True) if out else ((), (), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(prefix, pa.int64()), pa.array(same, pa.binary()), pa.array(low, pa.int64()), pa.array(bit, pa.int64())], names=["digest", "prefix", "same", "low", "bit"])
+
+
+def _marks(places: DataFrame, path: str, subtree: int) -> DataFrame:
+    """(same, prefix, low, hit): for each distinct surrounding its smallest document, and a bit set of its windows that a
+    smaller one has."""
     spark = places.sparkSession
     distinct = places.groupBy("prefix", "same").agg(F.min("doc_id").alias("low"), F.first("around").alias("around"), F.first("left").alias("left"), F.first("windows").alias("windows"))
     distinct = common.saved(distinct, f"{path}/distinct")
-    sizes = distinct.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("around")).alias("bytes")).filter("n > 1")
-    sizes = common.saved(sizes, f"{path}/sizes")
-    total = sizes.filter(F.col("n") <= refine).agg(F.sum("bytes")).first()[0] or 0
+    rows = distinct.withColumns({"nearest": F.col("left") - F.col("windows") + 1, "farthest": F.col("left"), "right": F.lit(PREFIX), "before": F.lit(0), "key": F.col("prefix")}).drop("windows")
+    fit, total = [], 0
+    for level in range(len(LADDER) + 1):
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("around")).alias("bytes")).filter("n > 1")
+        sizes = common.saved(sizes, f"{path}/sizes{level}")
+        small, large = sizes.filter(F.col("bytes") <= subtree), sizes.filter(F.col("bytes") > subtree)
+        fit.append(rows.join(small.select("key").hint("merge"), "key").select("prefix", "same", "low", "around", "left", "nearest", "farthest", "key"))
+        total += small.agg(F.sum("bytes")).first()[0] or 0
+        if not large.limit(1).count():
+            rows = None
+            break
+        rows = rows.join(large.select("key").hint("merge"), "key").select(*[x.split()[0] for x in _ROW.split(", ")])
+        if level < len(LADDER):
+            rows = common.saved(rows.mapInArrow(_longer(LADDER[level]), f"{_ROW}, key long"), f"{path}/rows{level}")
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP))
-    several = distinct.join(sizes.select("prefix", "n").hint("merge"), "prefix")
 
     def tree(key, f):
-        return pd.DataFrame({"same": f["same"], "prefix": f["prefix"], "hit": repeats(f)})
+        hit = repeats(f)
+        return pd.DataFrame({"same": f["same"], "prefix": f["prefix"], "hit": hit})[hit != 0]
 
-    small = several.filter(F.col("n") <= refine).withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
-    hits = small.select("group", "prefix", "same", "low", "around", "left", "windows").groupBy("group").applyInPandas(tree, "same binary, prefix long, hit binary")
-    if sizes.filter(F.col("n") > refine).limit(1).count():
-        large = several.filter(F.col("n") > refine)
-        expanded = common.saved(large.select("around", "same", "low", "windows").mapInArrow(_windows, "digest binary, same binary, at int, low long"), f"{path}/windows")
+    grouped = reduce(DataFrame.unionByName, fit).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    hits = grouped.groupBy("group").applyInPandas(tree, "same binary, prefix long, hit long")
+    if rows is not None:
+        expanded = common.saved(rows.mapInArrow(_windows, "digest binary, prefix long, same binary, low long, bit long"), f"{path}/windows")
         least = expanded.groupBy("digest").agg(F.min("low").alias("least"))
-        bits = expanded.join(least, "digest").filter("least < low").groupBy("same").agg(F.collect_set("at").alias("at"))  # at most WINDOW places
-
-        def as_bits(batches):
-            for b in batches:
-                out = []
-                for at in b.column(2).to_pylist():
-                    x = np.zeros(WINDOW - PREFIX + 1, bool)
-                    x[at or []] = True
-                    out.append(np.packbits(x).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["same", "prefix", "hit"])
-
-        hits = hits.unionByName(large.select("same", "prefix").join(bits, "same", "left").mapInArrow(as_bits, "same binary, prefix long, hit binary"))
+        hits = hits.unionByName(expanded.join(least, "digest").filter("least < low").select("same", "prefix", F.col("bit").alias("hit")))
+    hits = hits.groupBy("same", "prefix").agg(F.bit_or("hit").alias("hit"))
     marks = distinct.select("same", "prefix", "low").join(hits.hint("merge"), ["same", "prefix"], "left")
     out = common.saved(marks, f"{path}/marks")
     common.release(spark)
     return out
 
 
-_FLAGS = "block long, docs binary, los binary, counts binary, hits binary"
-
-
 def covered_words(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which of n_words are in a window that begins at one of starts."""
     step = np.zeros(n_words + 1, np.int64)
@@ -262,29 +289,48 @@ def covered_words(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.
     return np.cumsum(step[:n_words]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", refine: int = REFINE, with_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256 (and kept, the kept words joined by a space).
+def cut_text(raw: bytes, starts: list[int], ends: list[int], gone: np.ndarray) -> bytes:
+    """What is left of raw, the white space between kept neighbours unchanged. Where words went there is a line break, if
+    there was one around or between them, else a blank."""
+    keep = np.flatnonzero(~gone).tolist()
+    if not keep:
+        return b""
+    out, first = [], keep[0]
+    for a, b in zip(keep, [*keep[1:], None], strict=True):
+        if b != a + 1:
+            out.append(raw[starts[first] : ends[a]])
+            if b is not None:
+                out.append(b"\n" if b"\n" in raw[ends[a] : starts[b]] else b" ")
+                first = b
+    return b"".join(out)
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, subtree: int = SUBTREE, with_text: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256.
 
     A word goes if a 50-word window over it also starts in a document with a smaller id; windows are judged on the input.
-    Null and empty texts have no words. Rows with a null id keep all and are no one's earlier copy; rows that share an id
-    aren't each other's. An empty table gives an empty result.
+    kept_sha256 is that of the kept words, joined by a space. with_text adds kept, what is left of a text that loses a word
+    (see cut_text), null for any other; row_col: a long without nulls that is returned as row. Null and empty texts have no
+    words. Rows with a null id keep all and are no one's earlier copy; rows that share an id aren't each other's. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     path = common.staging(spark)
-    blocks = B.write(docs, f"{path}/blocks", id_col=id_col, text_col=text_col, limit=BLOCK)
+    blocks = B.write(docs, f"{path}/blocks", id_col=id_col, text_col=text_col, row_col=row_col, limit=BLOCK)
     repeated = common.saved(_repeated(_prefixes(blocks, B.parts_of(blocks))), f"{path}/repeated")
     places = common.saved(_places(blocks, repeated), f"{path}/places")
     common.release(spark)
-    marks = _marks(places, path, refine)
+    marks = _marks(places, path, subtree)
     # all windows of a copy beyond the smallest document; of that one, those that a smaller document has elsewhere
     found = places.select("prefix", "same", "doc_id", "block", "doc", "lo", "windows").join(marks.hint("merge"), ["prefix", "same"])
     found = found.filter((F.col("doc_id") > F.col("low")) | F.col("hit").isNotNull())
-    flagged = common.saved(found.select("block", "doc", "lo", "windows", F.when(F.col("doc_id") > F.col("low"), F.lit(None)).otherwise(F.col("hit")).alias("hit")), f"{path}/flagged")
+    flagged = common.saved(found.select("block", "doc", "lo", "windows", F.when(F.col("doc_id") > F.col("low"), F.lit(-1)).otherwise(F.col("hit")).alias("hit")), f"{path}/flagged")
     common.release(spark)
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text + ", row long" * bool(row_col)
 
     def finish(left, right):
         block = B.Block(left.iloc[0])
+        w = block.words
         right = right.sort_values(["doc", "lo"])
         doc, lo, count, hit = (right[c].to_numpy() for c in ("doc", "lo", "windows", "hit"))
         cut = np.searchsorted(doc, np.arange(len(block.ids) + 1))
@@ -293,14 +339,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             words = t.split()
             starts = []
             for k in range(cut[i], cut[i + 1]):
-                if hit[k] is None:
-                    starts.append(np.arange(lo[k], lo[k] + count[k]))
-                else:
-                    starts.append(lo[k] + np.flatnonzero(np.unpackbits(np.frombuffer(hit[k], np.uint8))))
+                some = np.arange(count[k])
+                starts.append(lo[k] + some[(int(hit[k]) >> some) & 1 == 1])
             gone = covered_words(len(words), np.concatenate(starts).astype(np.int64)) if starts else None
             kept = words if gone is None else [x for x, g in zip(words, gone, strict=True) if not g]
-            joined = b" ".join(kept)
-            rows.append((int(block.ids[i]) if block.known[i] else None, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), *([joined.decode("utf-8", "replace")] if with_text else [])))
+            row = [int(block.ids[i]) if block.known[i] else None, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()]
+            if with_text:
+                a, z = w.first[i], w.first[i + 1]
+                row.append(cut_text(t, (w.starts[a:z] - w.at[i]).tolist(), (w.ends[a:z] - w.at[i]).tolist(), gone).decode("utf-8", "replace") if len(kept) < len(words) else None)
+            rows.append((*row, int(block.rows[i])) if row_col else tuple(row))
         f = pd.DataFrame(rows, columns=[x.split()[0] for x in out.split(", ")])
         f["doc_id"] = f["doc_id"].astype("Int64")
         return f
