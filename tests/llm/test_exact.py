@@ -63,6 +63,8 @@ def plain_mcd(x):
 
 
 def test_quality_verdicts_equal_plain_estimates(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "STEPS", 3)
+    monkeypatch.setitem(quality_rules.judge.__kwdefaults__, "steps", 3)
     docs = quality_docs(spark)
     rows = docs.select("doc_id", "text", "lang", "source").collect()
     stats = [quality_rules.count_stats([(r.text or "").encode()]) for r in rows]
@@ -174,7 +176,8 @@ def rows_of(df):
     return by_none([tuple(r) for r in df.collect()])
 
 
-def test_pipeline_stages_against_brute_force(spark, tmp_path):
+def test_pipeline_stages_against_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(quality_rules.judge.__kwdefaults__, "steps", 1)
     docs = pipeline_docs(spark).repartition(3)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     stages, at = dict(corpus_pipeline.STAGES), 0
@@ -252,7 +255,8 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert key(whole, "doc_id", "piece", "start", "length", "ids_crc32") == by_none(cut)
 
 
-def test_pipeline_of_an_empty_table(spark, tmp_path):
+def test_pipeline_of_an_empty_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(quality_rules.judge.__kwdefaults__, "steps", 1)
     pipeline_docs(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
