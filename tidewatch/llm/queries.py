@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import ann, language_id, license_scan, lm_scoring, near_dups, packing, quality_rules, sentence_pieces, substring_dedup, token_files
+from tidewatch.llm import ann, importance, language_id, license_scan, lm_scoring, near_dups, packing, quality_rules, sentence_pieces, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(_documents(spark, sf_dir), with_ids=False)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_substring_dedup, op2_license_scan, op3_nearest_neighbours, op4_quality_rules, op5_token_files, op6_minhash_near_dups, op7_lm_scoring, op8_language_id, op9_best_fit_packing, op10_sentence_pieces)
+    ops = (op1_substring_dedup, op2_license_scan, op3_nearest_neighbours, op4_quality_rules, op5_token_files, op6_minhash_near_dups, op7_lm_scoring, op8_language_id, op9_best_fit_packing, op10_sentence_pieces, op12_importance_resampling)
     return {f.__name__: f for f in ops}
 
 
@@ -82,6 +86,23 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
 FROM w JOIN c ON w.doc_id = c.doc_id LEFT JOIN n ON w.doc_id = n.doc_id"""
 
+#: CRC-32 bit by bit over the bytes of a list x: the register starts as ones and ends inverted.
+_CRC = "xor(list_reduce(list_concat([4294967295::UBIGINT], {x}), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)::UBIGINT[]), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END)), 4294967295::UBIGINT)"
+_BYTES = "list_transform(range(1, octet_length(encode({w})) + 1), lambda i: ('0x' || substr(hex(encode({w})), 2 * i - 1, 2))::UBIGINT)"
+#: Counts by bucket of all words of both tables, gains, weights, noise, and the order of the documents long enough.
+_OP12 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+q AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+f AS (SELECT doc_id, unnest(words) AS w FROM d),
+v AS MATERIALIZED (SELECT w, {crc} % 10000 AS bucket FROM (SELECT w FROM f UNION SELECT w FROM q)),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN v USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM q JOIN v USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+x AS (SELECT d.doc_id, len(d.words)::BIGINT AS n_features, coalesce(m.weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h
+FROM d LEFT JOIN (SELECT doc_id, sum(gain) AS weight FROM f JOIN v USING (w) JOIN g USING (bucket) GROUP BY doc_id) m ON m.doc_id = d.doc_id),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS nth, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND nth <= floor(n / 10) THEN nth END AS rank FROM r""".replace("{crc}", _CRC.format(x=_BYTES.format(w="w")))
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op2_license_scan": license_scan.oracle(), "op6_minhash_near_dups": _OP6}
+    return {"op1_substring_dedup": _OP1, "op2_license_scan": license_scan.oracle(), "op6_minhash_near_dups": _OP6, "op12_importance_resampling": _OP12}

@@ -70,8 +70,9 @@ class Words:
         return total[self.at + self.size] - total[self.at]
 
 
-def words(texts: list[bytes | None], lower: bool = False) -> Words:
-    """Split texts; null counts as empty. lower: A-Z to a-z, no other letters."""
+def words(texts: list[bytes | None], lower: bool = False, between: np.ndarray = SPACE) -> Words:
+    """Split texts at the bytes set in between, a newline among them; null counts as empty. lower: A-Z to a-z, no other
+    letters."""
     texts = [t or b"" for t in texts]
     joined = b"\n" + b"\n".join(texts) + b"\n" + b"\n" * 8
     if lower:
@@ -79,7 +80,7 @@ def words(texts: list[bytes | None], lower: bool = False) -> Words:
     buf = np.frombuffer(joined, np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     at = 1 + np.concatenate([[0], np.cumsum(size[:-1] + 1)]) if len(texts) else np.zeros(0, np.int64)
-    space = SPACE[buf]
+    space = between[buf]
     turn = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = turn[0::2], turn[1::2]
     first = np.append(np.searchsorted(starts, at), len(starts))
