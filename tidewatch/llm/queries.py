@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import ann, importance, language_id, license_scan, lm_scoring, near_dups, packing, quality_rules, sentence_pieces, substring_dedup, token_files
+from tidewatch.llm import ann, importance, language_id, license_scan, lm_scoring, near_dups, packing, periodic_runs, pii, quality_rules, sentence_pieces, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +53,23 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(_documents(spark, sf_dir), with_ids=False)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(_documents(spark, sf_dir), plant=True))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_substring_dedup, op2_license_scan, op3_nearest_neighbours, op4_quality_rules, op5_token_files, op6_minhash_near_dups, op7_lm_scoring, op8_language_id, op9_best_fit_packing, op10_sentence_pieces, op12_importance_resampling)
+    ops = (
+        op1_substring_dedup, op2_license_scan, op3_nearest_neighbours, op4_quality_rules, op5_token_files, op6_minhash_near_dups, op7_lm_scoring,
+        op8_language_id, op9_best_fit_packing, op10_sentence_pieces, op11_periodic_runs, op12_importance_resampling, op13_personal_data,
+    )
     return {f.__name__: f for f in ops}
 
 
@@ -89,6 +100,22 @@ FROM w JOIN c ON w.doc_id = c.doc_id LEFT JOIN n ON w.doc_id = n.doc_id"""
 #: CRC-32 bit by bit over the bytes of a list x: the register starts as ones and ends inverted.
 _CRC = "xor(list_reduce(list_concat([4294967295::UBIGINT], {x}), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)::UBIGINT[]), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END)), 4294967295::UBIGINT)"
 _BYTES = "list_transform(range(1, octet_length(encode({w})) + 1), lambda i: ('0x' || substr(hex(encode({w})), 2 * i - 1, 2))::UBIGINT)"
+#: Words after the planted repetitions; stretches in which windows of three words are the same q words earlier, q with them.
+_OP11 = r"""
+WITH w0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, {crc}::BIGINT AS h FROM (SELECT *, doc_id::VARCHAR AS id FROM documents)),
+w1 AS (SELECT *, len(words) AS n, (h // 10) % greatest(len(words), 1) AS a FROM w0), w2 AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM w1),
+w AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE words END AS words FROM w2),
+t AS (SELECT doc_id, n, i, words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] AS g FROM (SELECT *, unnest(range(n - 2)) AS i FROM w)),
+m AS (SELECT a.doc_id, b.i - a.i AS q, b.i AS j FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+z AS (SELECT doc_id, q, min(j) - q AS s, max(j) + 3 AS e FROM (SELECT *, j - row_number() OVER (PARTITION BY doc_id, q ORDER BY j) AS run FROM m) GROUP BY doc_id, q, run),
+r AS MATERIALIZED (SELECT doc_id, s, e - s AS length, min(q) AS period, e FROM z WHERE e - s >= greatest(6, 4 * q) GROUP BY doc_id, s, e),
+d AS (SELECT DISTINCT doc_id, unnest(range(s + period, e)) AS i FROM r),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept FROM (SELECT doc_id, unnest(range(n)) AS i, unnest(words) AS word FROM w) x LEFT JOIN d ON d.doc_id = x.doc_id AND d.i = x.i WHERE d.i IS NULL GROUP BY x.doc_id),
+o AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || period || chr(10), '' ORDER BY s, period) AS lines FROM r GROUP BY doc_id),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, s, period) = 1)
+SELECT w.doc_id, coalesce(o.n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period, (1000 * b.length // b.period)::BIGINT AS exponent_milli,
+sha256(coalesce(o.lines, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN o ON o.doc_id = w.doc_id LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id""".replace("{crc}", _CRC.format(x=_BYTES.format(w="id")))
 #: Counts by bucket of all words of both tables, gains, weights, noise, and the order of the documents long enough.
 _OP12 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
@@ -105,4 +132,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND nth <=
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op2_license_scan": license_scan.oracle(), "op6_minhash_near_dups": _OP6, "op12_importance_resampling": _OP12}
+    return {"op1_substring_dedup": _OP1, "op2_license_scan": license_scan.oracle(), "op6_minhash_near_dups": _OP6, "op11_periodic_runs": _OP11, "op12_importance_resampling": _OP12}
