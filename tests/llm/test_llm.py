@@ -154,6 +154,46 @@ def test_nearest_neighbours(spark):
     assert key(ann.search(other), "query_id", "rank", "vec_id") == [(0, 1, 2), (800, 1, 801)]
 
 
+def brute_force(rows, k=5):
+    """Each query row's k nearest other rows, by definition; rows: (id, vector)."""
+    x = np.array([v for _, v in rows], float)
+    out = []
+    for i, (q, _) in enumerate(rows):
+        if q % 50 == 0:
+            s = ann.cosine(np.broadcast_to(x[i], x.shape), x)
+            order = [j for j in sorted(range(len(rows)), key=lambda j: (-s[j], rows[j][0])) if j != i][:k]
+            out += [(q, r + 1, rows[j][0], round(float(s[j]), 12)) for r, j in enumerate(order)]
+    return sorted(out)
+
+
+def test_nearest_neighbours_with_repeated_ids(spark):
+    """Rows are what is searched: ids may stand on several vectors, vectors under several ids, and whole rows twice."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).round(3)) for i in range(300)]
+    rows += [(50, rng.normal(size=8).round(3)), (7, rng.normal(size=8).round(3)), (7, rng.normal(size=8).round(3)), (100, rows[100][1]), (100, rows[100][1]), (0, rows[1][1]), (1, rows[0][1])]
+    rows += [(7, rows[0][1] + 0.001), (7, rows[0][1] + 0.001), (9, rows[0][1] * 2), (8, rows[0][1] * 2), (250, rows[0][1])]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(5)
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in ann.search(df, rerank=400).collect())
+    want = brute_force(rows)
+    assert len(got) == len(want)
+    assert got == want
+
+
+def test_nearest_neighbours_of_clustered_vectors(spark, monkeypatch):
+    """Where vectors have clusters, few lists hold a query's neighbours."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16))
+    rows = [(i, centres[i % 60] + rng.normal(0, 0.15, 16)) for i in range(3000)]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    made = []
+    real = ann.Index.__init__
+    monkeypatch.setattr(ann.Index, "__init__", lambda self, *a: (real(self, *a), made.append(self))[0])
+    got = {(r.query_id, r.vec_id) for r in ann.search(df).collect()}
+    want = {(q, v) for q, _, v, _ in brute_force(rows)}
+    assert len(got & want) >= 0.95 * len(want)
+    assert made[0].probes <= 0.25 * len(made[0].coarse)
+
+
 def recall(spark, path):
     """Share of all queries' 5 nearest vectors, by brute force, that the search finds."""
     table = spark.read.parquet(path)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from tidewatch.functions.optimise import minimise
+
 DIFFUSE = 1e6
 #: Relative change of the covariance below which it counts as constant.
 STEADY = 1e-10
@@ -71,27 +73,77 @@ class Structural:
             a = self.T @ (a + k * e)
         return total, a, P
 
-    def fit(self, y: np.ndarray, rounds: int = 2, window: int | None = None) -> np.ndarray:
-        """Variances by coordinate search on their logarithms, from shares of the sample variance."""
+    def score(self, y: np.ndarray, variances: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log-likelihood of all values from the first on, and its gradient by the variances (Koopman and Shephard, 1992:
+        smoothed disturbances against their variances)."""
+        n, T, Z = len(y), self.T, self.Z
+        a, P, Q = np.zeros(self.size), np.eye(self.size) * DIFFUSE, self.q(variances)
+        e, f, gain = np.empty(n), np.empty(n), np.empty((n, self.size))
+        steady, since = False, n
+        diagonal = np.arange(self.size)
+        for i, v in enumerate(y):
+            if steady:
+                f[i], gain[i] = f[i - 1], gain[i - 1]
+            else:
+                m = P @ Z
+                f[i] = Z @ m + variances[0]
+                gain[i] = T @ m / f[i]
+                after = T @ P @ T.T - f[i] * np.outer(gain[i], gain[i])
+                after[diagonal, diagonal] += Q
+                if i >= self.size and np.abs(after - P).max() <= STEADY * np.abs(P).max():
+                    steady, since = True, i
+                P = after
+            e[i] = v - Z @ a
+            a = T @ a + gain[i] * e[i]
+        total = -0.5 * float((np.log(2 * np.pi * f) + e * e / f).sum())
+        r, N = np.zeros(self.size), np.zeros((self.size, self.size))
+        by_noise, by_state, still = 0.0, np.zeros(self.size), False
+        ZZ = np.outer(Z, Z)
+        for i in range(n - 1, -1, -1):
+            k = gain[i]
+            u = e[i] / f[i] - k @ r
+            if not still or i <= since:
+                Nk = N @ k
+                spread, own = 1 / f[i] + k @ Nk, N[diagonal, diagonal]
+            by_noise += u * u - spread
+            by_state += r * r - own
+            r = Z * u + T.T @ r
+            if not still or i <= since:
+                TN = T.T @ Nk
+                before = ZZ * spread - np.outer(Z, TN) - np.outer(TN, Z) + T.T @ N @ T
+                still = i > since and bool(np.abs(before - N).max() <= STEADY * np.abs(before).max())
+                N = before
+        slope = np.zeros(self.kinds)
+        np.add.at(slope, self.noise[self.noise > 0], 0.5 * by_state[self.noise > 0])
+        slope[0] = 0.5 * by_noise
+        return total, slope
+
+    def likelihood(self, y: np.ndarray, variances: np.ndarray) -> tuple[float, np.ndarray]:
+        """What filter() gives as log-likelihood, and its gradient: that of all values less that of the first size ones."""
+        (whole, up), (first, down) = self.score(y, variances), self.score(y[: self.size], variances)
+        return whole - first, up - down
+
+    def starts(self) -> list[np.ndarray]:
+        """Shares of the sample variance that searches begin with."""
+        rest = [0.05, 0.0005, 0.005, 0.005, 0.005][: self.kinds - 1]
+        return [np.array([0.5, *rest]), np.array([0.05, 0.5, *[1e-6] * (self.kinds - 2)]), np.array([0.9, *[1e-5] * (self.kinds - 1)])]
+
+    def fit(self, y: np.ndarray, window: int | None = None) -> np.ndarray:
+        """Variances of the largest likelihood, searched from starts() on their logarithms until the gradient vanishes; a
+        variance that only gets smaller ends at e^-25 of the sample variance. window: the last values, all by default."""
         y = np.asarray(y, float)
         part = y if window is None else y[-window:]
         scale = max(part.var(), 1e-12)
-        logs = np.log(scale * np.array([0.5] + [0.05, 0.0005, 0.005, 0.005, 0.005][: self.kinds - 1]))
-        best, step = self.filter(part, np.exp(logs))[0], 2.0
-        for _ in range(rounds):
-            for i in range(self.kinds):
-                for move in (step, -step):
-                    while True:
-                        trial = logs.copy()
-                        trial[i] += move
-                        if abs(trial[i] - np.log(scale)) > 25:
-                            break
-                        value = self.filter(part, np.exp(trial))[0]
-                        if value <= best + 1e-9:
-                            break
-                        best, logs = value, trial
-            step /= 2
-        return np.exp(logs)
+        if len(part) <= self.size:
+            return scale * self.starts()[0]
+        n = len(part) - self.size
+
+        def work(logs):
+            value, slope = self.likelihood(part, np.exp(logs))
+            return -value / n, -slope * np.exp(logs) / n
+
+        low, high = np.full(self.kinds, np.log(scale) - 25), np.full(self.kinds, np.log(scale) + 25)
+        return np.exp(min((minimise(work, np.log(scale * s), low, high) for s in self.starts()), key=lambda f: f[0])[1])
 
     def forecast(self, y: np.ndarray, variances: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
         """Mean and standard deviation of the next steps, with no update on the way."""

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids over product-quantised residuals.
 
-Centroids and codebooks are fitted on a bounded sample; every vector is indexed. Equal vectors are one entry, which keeps
-its smallest ids. A query probes the nearest lists, scores their codes by tables of distances between its residual and the
+Centroids and codebooks are fitted on a bounded sample; every vector is indexed. Equal vectors are one entry with a number of
+its own; ids come back only at the end, since rows may share one. A query probes the nearest lists, scores their codes by tables of distances between its residual and the
 codebooks (the query itself is not quantised), and the best candidates of all lists are ranked again by exact cosine.
 """
 
@@ -148,11 +148,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def search(vectors: DataFrame, queries: F.Column | None = None, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by cosine, ties to the smaller id; all if there are fewer.
 
-    queries: a condition on id; by default ids divisible by 50. A row is no candidate of queries with its own id. rerank:
-    candidates ranked exactly, by default what the index needs. Vectors that are null, empty, zero, or hold nulls or
-    non-finite numbers take no part, nor do null ids; vectors of each length are searched among themselves. Equal vectors
-    are indexed once with their k + 1 smallest ids, no more of which can be among the k nearest. An empty table gives an
-    empty result.
+    queries: a condition on id; by default ids divisible by 50. Rows count, not ids: each row that meets the condition is a
+    query, and every row but itself is its candidate, so that a repeated id may be found several times, also by a query of
+    that id, and equal query rows each give their k. rerank: candidates ranked exactly, by default what the index needs.
+    Vectors that are null, empty, zero, or hold nulls or non-finite numbers take no part, nor do null ids; vectors of each
+    length are searched among themselves. Equal vectors are indexed once with their k + 1 smallest ids, no more of which
+    can be among the k nearest. An empty table gives an empty result.
     """
     common.ship(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col)
@@ -170,8 +171,9 @@ def _search(rows: DataFrame, width: int, queries: F.Column | None, k: int, reran
     rows = rows.withColumn("asked", asked)
     # equal vectors: the smallest ids, cut before the shuffle too
     order = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
-    few = common.saved(rows.dropDuplicates(["id", "k1", "k2"]).withColumn("nth", order).filter(F.col("nth") <= k + 1).select("k1", "k2", "id", "nth", "v"), f"{path}/few")
-    entries = common.saved(few.filter("nth = 1").select("k1", "k2", F.col("id").alias("entry"), "v"), f"{path}/entries")
+    few = common.saved(rows.withColumn("nth", order).filter(F.col("nth") <= k + 1).select("k1", "k2", "id", "nth", "v"), f"{path}/few")
+    numbered = few.filter("nth = 1").select("k1", "k2", F.col("id").alias("least"), "v", F.monotonically_increasing_id().alias("entry"))
+    entries = common.saved(numbered, f"{path}/entries")
     n = entries.count()
     size = min(SAMPLE, max(1, SAMPLE_NUMBERS // width))
     sample = entries.orderBy(F.xxhash64("k1", "k2")).limit(size).select("v").toPandas()["v"]
@@ -219,7 +221,7 @@ def _search(rows: DataFrame, width: int, queries: F.Column | None, k: int, reran
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(which, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["query", "q", "group", "lists"])
 
     # equal queries are searched once
-    wanted = common.saved(rows.filter("asked").select("k1", "k2", F.col("id").alias("query_id")).distinct(), f"{path}/wanted")
+    wanted = common.saved(rows.filter("asked").groupBy("k1", "k2", F.col("id").alias("query_id")).agg(F.count(F.lit(1)).alias("times")), f"{path}/wanted")
     asked_entries = common.saved(entries.join(wanted.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select(F.col("entry").alias("query"), F.col("v").alias("q")), f"{path}/asked")
     probes = asked_entries.mapInArrow(probe, "query long, q array<double>, group int, lists array<int>")
     deal = spark.createDataFrame([(c, *g) for c, g in groups.items()], "list int, first int, parts int")
@@ -254,15 +256,19 @@ def _search(rows: DataFrame, width: int, queries: F.Column | None, k: int, reran
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cosine(_matrix(b.column(2)), _matrix(b.column(3))) if b.num_rows else [], pa.float64())], names=["query", "entry", "score"])
 
     ranked = both.mapInArrow(exact, "query long, entry long, score double")
-    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))
-    best = common.saved(ranked.withColumn("nth", nth).filter(F.col("nth") <= k + 1).select("query", "entry", "score"), f"{path}/best")
-    keys = entries.select("entry", "k1", "k2")
-    ids = best.join(keys, "entry").join(few.select("k1", "k2", F.col("id").alias("vec_id")), ["k1", "k2"]).select("query", "vec_id", "score")
-    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    ids = ids.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth")
-    rows = wanted.join(keys.withColumnRenamed("entry", "query"), ["k1", "k2"]).select("query_id", "query").join(ids, "query").filter(F.col("vec_id") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    keys = entries.select("entry", "k1", "k2", "least")
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least", "entry"))
+    best = common.saved(ranked.join(keys, "entry").withColumn("nth", nth).filter(F.col("nth") <= k + 1).select("query", "entry", "k1", "k2", "score"), f"{path}/best")
+    # the rows of each entry, and which of those with one id each is: a query's own row is the first of its id in its entry
+    again = F.row_number().over(Window.partitionBy("k1", "k2", "id").orderBy("nth"))
+    ids = best.join(few.select("k1", "k2", F.col("id").alias("vec_id"), again.alias("again")), ["k1", "k2"]).select("query", "entry", "vec_id", "again", "score")
+    own = (F.col("entry") == F.col("query")) & (F.col("vec_id") == F.col("query_id")) & (F.col("again") == 1)
+    asked_rows = wanted.join(keys.select("k1", "k2", F.col("entry").alias("query")), ["k1", "k2"]).select("query_id", "times", "query")
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "entry", "again"))
+    some = ids.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id", "entry", "again"))
+    out = asked_rows.join(some, "query").filter(~own).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time")).drop("time")
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:

@@ -72,10 +72,13 @@ K_GRID = grid_of(2.0, 10.0, 17)
 WIDE_GRID = grid_of(3.0, 12.0, 10)
 
 
-def flagged_by_k(scored: DataFrame, col: str, ks: list[float], least: int, by: tuple[str, ...] = ("series_id", "k")) -> DataFrame:
+def flagged_by_k(scored: DataFrame, col: str, ks: list[float], least: int, by: tuple[str, ...] = ("series_id", "k"), plain: Column | None = None) -> DataFrame:
     """(*by, idx) flagged at each threshold and persistent. Rolling values are computed before the thresholds multiply the
-    rows, and only flagged rows go on."""
-    rows = scored.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(R.exceeds(col, F.col("k")))
+    rows, and only flagged rows go on. plain: rows whose col is itself the score that thresholds are put on."""
+    rule = R.exceeds(col, F.col("k"))
+    if plain is not None:
+        rule = F.when(plain, F.coalesce(F.col(col) > F.col("k"), F.lit(False))).otherwise(rule)
+    rows = scored.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(rule)
     return E.persistent(rows.select(*by, "idx"), least, by)
 
 

@@ -2,38 +2,59 @@
 
 from __future__ import annotations
 
-import logging
+import contextlib
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce, wraps
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions import gaussian_process as gaussian
 from tidewatch.functions import state_space
+from tidewatch.functions.stl import stl
 from tidewatch.operators import events as E
 from tidewatch.operators import metrics as M
 from tidewatch.operators import points as P
 from tidewatch.operators import rolling as R
 from tidewatch.plans import models
+from tidewatch.session import saved, staging
 from tidewatch.sources import results
 
 PERSIST, GAP = 2, 3
 
 
-_KEPT: list[DataFrame] = []
+_KEPT: list[list[DataFrame]] = []
 
 
 def once(rows: DataFrame) -> DataFrame:
-    """Keep what several branches of a plan read, until release(); a lost part is computed again."""
-    _KEPT.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
-    return _KEPT[-1]
+    """Keep what several branches of a plan read until the detector's result is written; a lost part is computed again."""
+    if _KEPT:
+        _KEPT[-1].append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+    return rows
 
 
-def release() -> None:
-    """Let go of all that once() keeps, after the results made from it are written."""
-    while _KEPT:
-        _KEPT.pop().unpersist()
+@contextlib.contextmanager
+def kept():
+    """Let go at the end of what once() keeps inside."""
+    _KEPT.append([])
+    try:
+        yield
+    finally:
+        for rows in _KEPT.pop():
+            rows.unpersist()
+
+
+def whole(detector: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A detector that runs when it is called: its result is a stage table, and nothing stays in the executors' memory."""
+
+    @wraps(detector)
+    def run(series: DataFrame, *args, **settings) -> DataFrame:
+        with kept():
+            return saved(detector(series, *args, **settings), f"{staging(series.sparkSession)}/{detector.__name__}")
+
+    return run
 
 
 def _part(series: DataFrame, train: float) -> DataFrame:
@@ -82,6 +103,7 @@ def by_rolling_scale(test: DataFrame, final_gap: int | None = None, rows: bool =
     return tuned(s, M.above_by_k(s, "z", M.WIDE_GRID, PERSIST), M.WIDE_GRID, None, final_gap=final_gap, rows=rows)
 
 
+@whole
 def kalman(series: DataFrame, train: float = 0.7, fit_rows: int | None = None, rows: bool = False) -> DataFrame:
     """Local level; residuals over their MAD scale, k = 3, persistence 2, events without bridging. The rows have the band of
     3 sample deviations of the training residuals, lower and upper, beside the model's own."""
@@ -94,11 +116,16 @@ def kalman(series: DataFrame, train: float = 0.7, fit_rows: int | None = None, r
     return report(test, E.persistent(flags, PERSIST), chosen, 0, rows)
 
 
+@whole
 def bsts(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10, fit_rows: int | None = None, rows: bool = False) -> DataFrame:
     """Trend and harmonics; residuals less their median; the threshold is chosen on the validation part alone."""
-    f = models.bsts_forecast(series, train, periods, harmonics, fit_rows).withColumn("r", F.col("value") - F.col("pred_mean"))
-    later = P.split(f, train).filter("split != 'Train'")
-    return validated(P.centred(later, "r").withColumn("resid", F.col("centred")), rows=rows)
+    return validated(after_training(models.bsts_forecast(series, train, periods, harmonics, fit_rows), train), rows=rows)
+
+
+def after_training(forecast: DataFrame, train: float) -> DataFrame:
+    """The rows after the training part with their split, and resid: residuals less their median over both parts."""
+    later = P.split(forecast.withColumn("r", F.col("value") - F.col("pred_mean")), train).filter("split != 'Train'")
+    return P.centred(later, "r").withColumn("resid", F.col("centred"))
 
 
 def validated(parts: DataFrame, col: str = "resid", rows: bool = False) -> DataFrame:
@@ -113,11 +140,13 @@ def validated(parts: DataFrame, col: str = "resid", rows: bool = False) -> DataF
     return report(test, final, chosen, rows=rows)
 
 
+@whole
 def gaussian_process(series: DataFrame, train: float = 0.5, rows: bool = False) -> DataFrame:
     test = once(_part(models.gp_forecast(series, train).withColumn("resid", F.col("value") - F.col("pred_mean")), train))
     return tuned(test, M.flagged_by_k(R.rolling_sigma(test, "resid"), "resid", M.K_GRID, PERSIST), M.K_GRID, rows=rows)
 
 
+@whole
 def lstm(series: DataFrame, train: float = 0.5, epochs: int = 15, rows: bool = False) -> DataFrame:
     """On residuals of the decomposition of the whole series."""
     f = models.lstm_forecast(series, train, epochs=epochs, of="resid").withColumn("resid", F.col("target") - F.col("pred"))
@@ -125,46 +154,57 @@ def lstm(series: DataFrame, train: float = 0.5, epochs: int = 15, rows: bool = F
     return tuned(test, M.flagged_by_k(R.rolling_sigma(test, "resid"), "resid", M.K_GRID, PERSIST), M.K_GRID, rows=rows)
 
 
+@whole
 def hybrid_scores(series: DataFrame, train: float = 0.5, epochs: int = 10) -> DataFrame:
     """score_stl, score_gp (0 in the training part), score_lstm and their mean, combined_score."""
-    key = ["series_id", "idx"]
     d = once(models.decompose(series))
-    a = d.join(P.mad_scale(d, "resid"), "series_id").select("series_id", "idx", "ts", "value", "is_anomaly", (F.abs("resid") / (F.col("mad_sigma") + 1e-9)).alias("score_stl"))
-    g = models.gp_forecast(series, train).select(*key, P.finite(F.abs(F.col("value") - F.col("pred_mean")) / (F.col("pred_std") + 1e-9)).alias("score_gp"))
-    f = models.lstm_forecast(series, train, epochs=epochs, of="resid").withColumn("left", F.col("target") - F.col("pred"))
-    f = f.withColumn("left", F.nanvl("left", F.lit(None).cast("double")))
+    return combined(d, models.gp_forecast(series, train), models.lstm_forecast(series, train, epochs=epochs, of="resid"))
+
+
+def combined(decomposed: DataFrame, process: DataFrame, network: DataFrame) -> DataFrame:
+    """hybrid_scores() from rows with resid, with pred_mean and pred_std, and with target and pred."""
+    key = ["series_id", "idx"]
+    sized = decomposed.join(P.mad_scale(decomposed, "resid"), "series_id")
+    a = sized.select("series_id", "idx", "ts", "value", "is_anomaly", (F.abs("resid") / (F.col("mad_sigma") + 1e-9)).alias("score_stl"))
+    g = process.select(*key, P.finite(F.abs(F.col("value") - F.col("pred_mean")) / (F.col("pred_std") + 1e-9)).alias("score_gp"))
+    f = network.withColumn("left", F.nanvl(F.col("target") - F.col("pred"), F.lit(None).cast("double")))
     f = R.rolling_score(f, "left").select(*key, P.finite(F.col("score")).alias("score_lstm"))
     s = a.join(g, key, "left").join(f, key, "left")
     return s.withColumn("combined_score", P.ensemble({"score_stl": 1.0, "score_gp": 1.0, "score_lstm": 1.0}))
 
 
+@whole
 def hybrid(series: DataFrame, train: float = 0.5, epochs: int = 10, rows: bool = False) -> DataFrame:
     test = once(_part(hybrid_scores(series, train, epochs), train))
     return tuned(test, M.above_by_k(test, "combined_score", M.K_GRID, PERSIST), M.K_GRID, rows=rows)
 
 
+@whole
 def bsts_dummy(series: DataFrame, train: float = 0.5, season: int = 48, fit_rows: int | None = None) -> DataFrame:
     """Trend and a dummy season; thresholds are compared on bridged events, the report's events aren't bridged."""
     f = models.structural_forecast(series, train, state_space.Structural(dummy=season), fit_rows)
     return by_rolling_scale(_part(f.withColumn("resid", F.col("value") - F.col("pred_mean")), train), final_gap=0)
 
 
+@whole
 def bsts_enhanced(series: DataFrame, train: float = 0.5, periods: tuple[int, ...] = (48, 336), harmonics: int = 10, fit_rows: int | None = None) -> DataFrame:
     """Trend and harmonics of a day and a week, without a validation part."""
     f = models.bsts_forecast(series, train, periods, harmonics, fit_rows)
     return by_rolling_scale(_part(f.withColumn("resid", F.col("value") - F.col("pred_mean")), train))
 
 
+@whole
 def lstm_raw(series: DataFrame, train: float = 0.5, epochs: int = 20) -> DataFrame:
     """One layer on the values themselves, scaled by the training part."""
     f = models.lstm_forecast(series, train, layers=1, epochs=epochs, scale="train")
     return by_rolling_scale(_part(f.withColumn("resid", F.col("target") - F.col("pred")), train))
 
 
+@whole
 def gaussian_process_simple(series: DataFrame, train: float = 0.5) -> DataFrame:
     """One season; residuals over the predicted deviation of their own row, events bridged over one row, no bound on the
     anomaly rate."""
-    f = models.gp_forecast(series, train, periods=((48.0, 47.0, 49.0),), restarts=3)
+    f = models.gp_forecast(series, train, kernel=models.simple_kernel(), restarts=3)
     test = once(_part(f.withColumn("z", F.abs(F.col("value") - F.col("pred_mean")) / F.col("pred_std")), train))
     return tuned(test, M.above_by_k(test, "z", M.K_GRID, PERSIST), M.K_GRID, None, gap=1)
 
@@ -174,6 +214,7 @@ def changepoints(series: DataFrame, hazard: float = 0.01, over: float = 0.5) ->
     return models.run_lengths(series, hazard).withColumn("highlight", (F.col("cp_prob") > over).cast("int"))
 
 
+@whole
 def stl_baseline(series: DataFrame) -> DataFrame:
     """Residuals of the decomposition over their rolling deviation, thresholds 3 to 12, no bound on the anomaly rate."""
     d = models.decompose(series)
@@ -185,21 +226,69 @@ COUNTS = ("tp", "fp", "fn", "n_true_events", "n_pred_events")
 REPORT = ("best_k", "best_f1", *COUNTS, "precision", "recall", "f1", "fp_per_day", "median_latency_minutes", "duration_days")
 
 
-def benchmark(series: DataFrame, detectors: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """All detectors on all series, in one frame with a Model column. Each runs on its own: one that fails gives a row of
-    nulls for each series, and the others go on."""
-    detectors = detectors or {"BSTS": bsts, "GP": gaussian_process, "LSTM": lstm, "HYBRID": hybrid}
+def _decomposed(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return stl(y)[2], np.full(len(y), np.nan)
+
+
+def _first_two(y: np.ndarray, work, **settings) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(work(y, **settings)[:2])
+
+
+def benchmark_models(train: float = 0.5) -> dict[str, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """The models behind the four detectors; HYBRID takes the process that GP takes, and a network of its own."""
+    on_residuals = {"train": train, "length": 48, "hidden": 64, "layers": 2, "of": "resid", "scale": "full"}
+    return {
+        "STL": _decomposed,
+        "BSTS": partial(_first_two, work=models.structural, train=train, model=state_space.Structural(periods=(48, 336))),
+        "GP": partial(_first_two, work=models.process, train=train, rows=1000, kernel=gaussian.Kernel(models.SEASONS), restarts=1),
+        "LSTM": partial(_first_two, work=models.network, epochs=15, **on_residuals),
+        "LSTM_SHORT": partial(_first_two, work=models.network, epochs=10, **on_residuals),
+    }
+
+
+#: The detectors of the benchmark and the models that each needs.
+DETECTORS = {"BSTS": ("BSTS",), "GP": ("GP",), "LSTM": ("LSTM",), "HYBRID": ("STL", "GP", "LSTM_SHORT")}
+_SEP = "\x01"
+
+
+def _judged(fits: DataFrame, train: float) -> DataFrame:
+    """(series_id, split, idx, ts, value, is_anomaly, resid) of all detectors from the models' rows, in one frame whose
+    series_id has the detector's name before it. Only BSTS has validation rows."""
+    of = lambda model, a, b: fits.filter((F.col("model") == model) & F.col("idx").isNotNull()).withColumnsRenamed({"a": a, "b": b})
+    gp = of("GP", "pred_mean", "pred_std")
+    failed = fits.filter(F.col("idx").isNull() & F.col("model").isin(*DETECTORS["HYBRID"])).select("series_id").distinct()
+    sound = of("STL", "resid", "none").join(failed, "series_id", "left_anti")
+    parts = {
+        "BSTS": after_training(of("BSTS", "pred_mean", "pred_std"), train),
+        "GP": _part(gp.withColumn("resid", F.col("value") - F.col("pred_mean")), train),
+        "LSTM": _part(of("LSTM", "target", "pred").withColumn("resid", F.col("target") - F.col("pred")), train),
+        "HYBRID": _part(combined(sound, gp, of("LSTM_SHORT", "target", "pred")).withColumn("resid", F.col("combined_score")), train),
+    }
+    named = lambda name, rows: rows.select(F.concat(F.lit(name + _SEP), "series_id").alias("series_id"), "split" if name == "BSTS" else F.lit("Test").alias("split"), "idx", "ts", "value", "is_anomaly", "resid")
+    return reduce(DataFrame.unionByName, [named(name, rows) for name, rows in parts.items()])
+
+
+@whole
+def benchmark(series: DataFrame, train: float = 0.5, items: dict[str, Callable] | None = None) -> DataFrame:
+    """BSTS, GP, LSTM and HYBRID on every series: Model, series_id, the report's columns and error. Models are fitted as items
+    of work of their own, in one job; thresholds of all detectors are swept together. A model that fails on a series leaves
+    nulls and its error in the rows of the detectors that need it there, and all others stand. items: other models."""
+    fits = saved(models.fits(series, items or benchmark_models(train)), f"{staging(series.sparkSession)}/fits")
+    parts = once(_judged(fits, train))
+    scored = R.rolling_sigma(parts, "resid", by=("series_id", "split"))
+    is_model = lambda name: F.col("series_id").startswith(name + _SEP)
+    flags = once(M.flagged_by_k(scored, "resid", M.K_GRID, PERSIST, ("series_id", "split", "k"), plain=is_model("HYBRID")))
+    where = F.col("split") == F.when(is_model("BSTS"), "Validation").otherwise("Test")
+    tune, test = parts.filter(where), parts.filter("split = 'Test'")
+    chosen = once(M.best(M.sweep(tune, flags.filter(where).drop("split"), _true(tune), M.K_GRID, GAP)))
+    final = flags.filter("split = 'Test'").join(chosen.select("series_id", F.col("best_k").alias("k")), ["series_id", "k"]).select("series_id", "idx")
     typed = [F.col(c).cast("long" if c in COUNTS else "double").alias(c) for c in REPORT]
-    parts = []
-    for name, run in detectors.items():
-        try:
-            rows = once(run(series).select("series_id", *typed))
-            rows.count()
-        except Exception as error:  # whatever a model raises
-            logging.getLogger(__name__).warning("%s failed: %s", name, error)
-            rows = series.select("series_id").distinct().select("series_id", *[F.lit(None).cast("long" if c in COUNTS else "double").alias(c) for c in REPORT])
-        parts.append(rows.withColumn("Model", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts)
+    found = report(test, final, chosen).select(F.substring_index("series_id", _SEP, 1).alias("Model"), F.substring_index("series_id", _SEP, -1).alias("series_id"), *typed)
+    needs = F.explode(F.array(*[F.struct(F.lit(d).alias("Model"), F.lit(m).alias("lost")) for d, ms in DETECTORS.items() for m in ms]))
+    lost = fits.filter("idx is null").select("series_id", F.col("model").alias("lost"), "error")
+    asked = series.select("series_id").distinct().select("series_id", needs.alias("x")).select("series_id", "x.*")
+    cells = asked.join(lost, ["series_id", "lost"], "left").groupBy("Model", "series_id").agg(F.min("error").alias("error"))
+    return cells.join(found, ["Model", "series_id"], "left").select("Model", "series_id", *REPORT, "error")
 
 
 def ranked(reports: DataFrame) -> DataFrame:

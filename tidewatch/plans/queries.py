@@ -15,7 +15,7 @@ from tidewatch.operators import metrics as M
 from tidewatch.operators import points as P
 from tidewatch.operators import rolling as R
 from tidewatch.plans import models, pipelines
-from tidewatch.session import scratch
+from tidewatch.session import staging
 from tidewatch.sources import results
 from tidewatch.sources import series as S
 from tidewatch.streaming import online
@@ -255,7 +255,8 @@ def bocpd_map_run_length(spark, sf):
 
 
 def bocpd_run_length_matrix(spark, sf):
-    return _r(models.run_length_matrix(_grid(spark, sf)), "prob")
+    """The whole posterior, to 6 places; rows without a probability in them are left out."""
+    return models.run_length_matrix(_grid(spark, sf)).withColumn("prob", F.round("prob", 6)).filter("prob > 0")
 
 
 def first_runs(spark, sf):
@@ -270,7 +271,7 @@ def rows_at_flagged_times(spark, sf):
 
 def csv_series(spark, sf):
     """The grid, written as a CSV file for each series, half of them with other headers, and read back."""
-    path, g = scratch(spark), _grid(spark, sf).withColumn("series", F.col("series_id"))
+    path, g = staging(spark), _grid(spark, sf).withColumn("series", F.col("series_id"))
     own = g.filter("series_id < 'l'").select("series", "ts", "value").withColumnsRenamed({"ts": "timestamp"})
     odd = g.filter("series_id >= 'l'").select("series", F.col("ts").alias("when"), F.col("value").alias("count"), F.lit("x").alias("note"))
     for name, rows in (("own", own), ("odd", odd)):
@@ -281,13 +282,13 @@ def csv_series(spark, sf):
 
 def stream_windows(spark, sf):
     """The grid's cells as a stream gives them out, up to the watermark."""
-    path = scratch(spark)
+    path = staging(spark)
     return online.run_available(online.stream_grid(online.events_stream(spark, f"{sf}/event[s].parquet")), f"{path}/out", f"{path}/state")
 
 
 def online_run_lengths(spark, sf):
     """Likeliest run lengths of the grid's values, standardised, as a stream of them goes through the state."""
-    path = scratch(spark)
+    path = staging(spark)
     z = P.zscore(_grid(spark, sf)).select("series_id", "ts", F.col("z").alias("value"))
     z.coalesce(1).sortWithinPartitions("series_id", "ts").write.parquet(f"{path}/in")
     stream = spark.readStream.schema(z.schema).parquet(f"{path}/in")
@@ -339,7 +340,7 @@ def gp_forecast(spark, sf):
 
 
 def gp_simple_forecast(spark, sf):
-    return models.gp_forecast(_marked(spark, sf), periods=((48.0, 47.0, 49.0),), restarts=3)
+    return models.gp_forecast(_marked(spark, sf), kernel=models.simple_kernel(), restarts=3)
 
 
 def lstm_forecast(spark, sf):
@@ -532,6 +533,6 @@ def oracle_sql() -> dict[str, str]:
     found["bocpd_map_run_length"] = runs(f"series_id, idx, round(r[1], 8) AS cp_prob, {_MAP.format('DOUBLE')}")
     found["pipeline_changepoints"] = runs(f"series_id, idx, round(r[1], 8) AS cp_prob, {_MAP.format('DOUBLE')}, CAST(r[1] > 0.5 AS INTEGER) AS highlight", "0", "0")
     found["online_run_lengths"] = runs(f"series_id, ts, {_MAP.format('BIGINT')}", "0", "0")
-    found["bocpd_run_length_matrix"] = runs("series_id, idx, run_length, round(prob, 8) AS prob FROM (SELECT series_id, idx, unnest(range(len(r))) AS run_length, unnest(r) AS prob").replace(" FROM g WHERE idx >= 0", " FROM g WHERE idx >= 0) WHERE prob >= 1e-3")
+    found["bocpd_run_length_matrix"] = runs("series_id, idx, run_length, round(prob, 6) AS prob FROM (SELECT series_id, idx, unnest(range(len(r))) AS run_length, unnest(r) AS prob").replace(" FROM g WHERE idx >= 0", " FROM g WHERE idx >= 0) WHERE round(prob, 6) > 0")
     found["local_level_filter"] = f"{rec}, f AS (SELECT series_id, idx, value AS level, CAST(1.0 AS DOUBLE) AS p FROM s WHERE idx = 0 UNION ALL SELECT s.series_id, s.idx, f.level + (f.p + 0.1) / (f.p + 1.1) * (s.value - f.level), (1 - (f.p + 0.1) / (f.p + 1.1)) * (f.p + 0.1) FROM f JOIN s ON s.series_id = f.series_id AND s.idx = f.idx + 1) SELECT series_id, idx, round(level, 8) AS level, round(p, 8) AS level_var FROM f"
     return found
