@@ -96,10 +96,9 @@ def fit(kernel: Kernel, y: np.ndarray, restarts: int = 1, sample: int | None = N
     rng = np.random.default_rng(seed)
     low, high = np.log(kernel.low), np.log(kernel.high)
     y = np.asarray(y, float)
-    z = (y if sample is None else y[-sample:]) - y.mean()
-    z = z / (y.std() or 1.0)
-    if not len(z):
+    if not len(y):
         return np.array(kernel.start)
+    z = ((y if sample is None else y[-sample:]) - y.mean()) / (y.std() or 1.0)
 
     def work(logs):
         value, slope = evidence(np.exp(logs), z)

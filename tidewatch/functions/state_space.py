@@ -9,13 +9,15 @@ from tidewatch.functions.optimise import minimise
 DIFFUSE = 1e6
 #: Relative change of the covariance below which it counts as constant.
 STEADY = 1e-10
+#: Gradient, by value and logarithm of a variance, at which a search is left until the others are as far.
+ROUGH = 3e-5
 
 
 class Structural:
     """A level, optionally a slope, and seasons: each as trigonometric harmonics, or one as period - 1 dummies."""
 
     def __init__(self, slope: bool = True, periods: tuple[int, ...] = (), dummy: int | None = None, harmonics: int = 10):
-        blocks, seen, noise = [], [], []
+        self.slope, blocks, seen, noise = slope, [], [], []
         if slope:
             blocks.append(np.array([[1.0, 1.0], [0.0, 1.0]]))
             seen += [1.0, 0.0]
@@ -47,6 +49,7 @@ class Structural:
             self.T[at : at + len(b), at : at + len(b)] = b
             at += len(b)
         self.Z, self.noise, self.kinds = np.array(seen), np.array(noise), kind + 1
+        self.dummies = slice(self.size - dummy + 1, self.size) if dummy else None
 
     def q(self, variances: np.ndarray) -> np.ndarray:
         """Diagonal of the states' noise; variances[0] is the observations', kind i has variances[i]."""
@@ -73,49 +76,80 @@ class Structural:
             a = self.T @ (a + k * e)
         return total, a, P
 
+    def turned(self, n: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """What observes the states at each of n times, and what the dummies' noise then moves, in coordinates in which
+        seasons stand still: a season's states at time t are its first ones turned t times. Only the slope still moves the
+        level, and harmonics' noise, alike in both of a pair's states, stays as it is."""
+        step = self.T.copy()
+        if self.slope:
+            step[0, 1] = 0.0
+        seen, z = np.empty((n, self.size)), self.Z.copy()
+        for t in range(n):
+            seen[t], z = z, z @ step
+        if not self.dummies:
+            return seen, None
+        back, w, moved = np.linalg.inv(step[self.dummies, self.dummies]), np.zeros(self.size), np.empty((n, self.size))
+        w[self.dummies.start] = 1.0
+        for t in range(n):
+            w[self.dummies] = np.round(back @ w[self.dummies])  # entries are -1, 0 and 1
+            moved[t] = w
+        return seen, moved
+
     def score(self, y: np.ndarray, variances: np.ndarray) -> tuple[float, np.ndarray]:
         """Log-likelihood of all values from the first on, and its gradient by the variances (Koopman and Shephard, 1992:
         smoothed disturbances against their variances)."""
-        n, T, Z = len(y), self.T, self.Z
-        a, P, Q = np.zeros(self.size), np.eye(self.size) * DIFFUSE, self.q(variances)
-        e, f, gain = np.empty(n), np.empty(n), np.empty((n, self.size))
-        steady, since = False, n
-        diagonal = np.arange(self.size)
-        for i, v in enumerate(y):
-            if steady:
-                f[i], gain[i] = f[i - 1], gain[i - 1]
-            else:
-                m = P @ Z
-                f[i] = Z @ m + variances[0]
-                gain[i] = T @ m / f[i]
-                after = T @ P @ T.T - f[i] * np.outer(gain[i], gain[i])
-                after[diagonal, diagonal] += Q
-                if i >= self.size and np.abs(after - P).max() <= STEADY * np.abs(P).max():
-                    steady, since = True, i
-                P = after
-            e[i] = v - Z @ a
-            a = T @ a + gain[i] * e[i]
+        n, size = len(y), self.size
+        seen, moved = self.turned(n)
+        quiet = np.zeros(size, bool)
+        if self.dummies:
+            quiet[self.dummies] = True
+        Q = np.where(quiet, 0.0, self.q(variances))
+        a, P, buffer = np.zeros(size), np.eye(size) * DIFFUSE, np.empty((size, size))
+        inside, diagonal = P.reshape(-1)[:: size + 1], np.arange(size)
+        e, f, gain = np.empty(n), np.empty(n), np.empty((n, size))
+        for i in range(n):
+            z = seen[i]
+            m = P @ z
+            f[i] = z @ m + variances[0]
+            k = m / f[i]
+            e[i], gain[i] = y[i] - z @ a, k
+            a += k * e[i]
+            P -= np.multiply(m[:, None], k, out=buffer)
+            if self.slope:
+                a[0] += a[1]
+                P[0] += P[1]
+                P[:, 0] += P[:, 1]
+            inside += Q
+            if moved is not None:
+                P += variances[-1] * np.multiply(moved[i][:, None], moved[i], out=buffer)
         total = -0.5 * float((np.log(2 * np.pi * f) + e * e / f).sum())
-        r, N = np.zeros(self.size), np.zeros((self.size, self.size))
-        by_noise, by_state, still = 0.0, np.zeros(self.size), False
-        ZZ = np.outer(Z, Z)
+        r, N = np.zeros(size), np.zeros((size, size))
+        by_noise = by_dummies = 0.0
+        by_state = np.zeros(size)
         for i in range(n - 1, -1, -1):
-            k = gain[i]
+            z, k = seen[i], gain[i]
+            by_state += r * r - N[diagonal, diagonal]
+            if moved is not None:
+                w = moved[i]
+                by_dummies += (w @ r) ** 2 - w @ N @ w
+            if self.slope:
+                r[1] += r[0]
+                N[1] += N[0]
+                N[:, 1] += N[:, 0]
+            g = N @ k
+            spread = 1 / f[i] + k @ g
             u = e[i] / f[i] - k @ r
-            if not still or i <= since:
-                Nk = N @ k
-                spread, own = 1 / f[i] + k @ Nk, N[diagonal, diagonal]
             by_noise += u * u - spread
-            by_state += r * r - own
-            r = Z * u + T.T @ r
-            if not still or i <= since:
-                TN = T.T @ Nk
-                before = ZZ * spread - np.outer(Z, TN) - np.outer(TN, Z) + T.T @ N @ T
-                still = i > since and bool(np.abs(before - N).max() <= STEADY * np.abs(before).max())
-                N = before
+            r += z * u
+            g -= 0.5 * spread * z
+            np.multiply(z[:, None], g, out=buffer)
+            N -= buffer
+            N -= buffer.T
         slope = np.zeros(self.kinds)
-        np.add.at(slope, self.noise[self.noise > 0], 0.5 * by_state[self.noise > 0])
+        np.add.at(slope, self.noise[(self.noise > 0) & ~quiet], 0.5 * by_state[(self.noise > 0) & ~quiet])
         slope[0] = 0.5 * by_noise
+        if moved is not None:
+            slope[-1] = 0.5 * by_dummies
         return total, slope
 
     def likelihood(self, y: np.ndarray, variances: np.ndarray) -> tuple[float, np.ndarray]:
@@ -124,16 +158,18 @@ class Structural:
         return whole - first, up - down
 
     def starts(self) -> list[np.ndarray]:
-        """Shares of the sample variance that searches begin with."""
-        rest = [0.05, 0.0005, 0.005, 0.005, 0.005][: self.kinds - 1]
-        return [np.array([0.5, *rest]), np.array([0.05, 0.5, *[1e-6] * (self.kinds - 2)]), np.array([0.9, *[1e-5] * (self.kinds - 1)])]
+        """Shares of the sample variance that searches begin with: mostly noise, mostly level, and mostly slope."""
+        small = [1e-6] * (self.kinds - 2)
+        out = [np.array([0.9, 1e-5, *[1e-5] * len(small)]), np.array([0.05, 0.5, *small])]
+        return [*out, np.array([0.1, 1e-4, 0.05, *small[1:]])] if self.slope else out
 
     def fit(self, y: np.ndarray, window: int | None = None) -> np.ndarray:
-        """Variances of the largest likelihood, searched from starts() on their logarithms until the gradient vanishes; a
-        variance that only gets smaller ends at e^-25 of the sample variance. window: the last values, all by default."""
+        """Variances of the largest likelihood, searched on their logarithms: from each of starts() as far as the gradient
+        tells them apart, then from the best until it vanishes. A variance that only gets smaller ends at e^-25 of the
+        sample variance. window: the last values, all by default."""
         y = np.asarray(y, float)
         part = y if window is None else y[-window:]
-        scale = max(part.var(), 1e-12)
+        scale = max(part.var(), 1e-12) if len(part) else 1.0
         if len(part) <= self.size:
             return scale * self.starts()[0]
         n = len(part) - self.size
@@ -143,7 +179,8 @@ class Structural:
             return -value / n, -slope * np.exp(logs) / n
 
         low, high = np.full(self.kinds, np.log(scale) - 25), np.full(self.kinds, np.log(scale) + 25)
-        return np.exp(min((minimise(work, np.log(scale * s), low, high) for s in self.starts()), key=lambda f: f[0])[1])
+        rough = min((minimise(work, np.log(scale * s), low, high, ROUGH) for s in self.starts()), key=lambda f: f[0])
+        return np.exp(minimise(work, rough[1], low, high)[1])
 
     def forecast(self, y: np.ndarray, variances: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
         """Mean and standard deviation of the next steps, with no update on the way."""

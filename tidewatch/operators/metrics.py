@@ -72,13 +72,16 @@ K_GRID = grid_of(2.0, 10.0, 17)
 WIDE_GRID = grid_of(3.0, 12.0, 10)
 
 
+def over(col: str, k: Column, plain: Column | None = None) -> Column:
+    """R.exceeds(), or where plain holds whether col itself is greater than k."""
+    rule = R.exceeds(col, k)
+    return rule if plain is None else F.when(plain, F.coalesce(F.col(col) > k, F.lit(False))).otherwise(rule)
+
+
 def flagged_by_k(scored: DataFrame, col: str, ks: list[float], least: int, by: tuple[str, ...] = ("series_id", "k"), plain: Column | None = None) -> DataFrame:
     """(*by, idx) flagged at each threshold and persistent. Rolling values are computed before the thresholds multiply the
     rows, and only flagged rows go on. plain: rows whose col is itself the score that thresholds are put on."""
-    rule = R.exceeds(col, F.col("k"))
-    if plain is not None:
-        rule = F.when(plain, F.coalesce(F.col(col) > F.col("k"), F.lit(False))).otherwise(rule)
-    rows = scored.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(rule)
+    rows = scored.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(over(col, F.col("k"), plain))
     return E.persistent(rows.select(*by, "idx"), least, by)
 
 
@@ -99,16 +102,17 @@ def sweep(series: DataFrame, flagged: DataFrame, true_rows: DataFrame, ks: list[
     return m.withColumn("anomaly_rate", F.coalesce("n_flags", F.lit(0)) / F.col("n")).drop("n_flags", "n")
 
 
-def sweep_series(scored: DataFrame, col: str, ks: list[float], least: int, gap: int = 3) -> DataFrame:
+def sweep_series(scored: DataFrame, col: str, ks: list[float], least: int, gap: int = 3, plain: Column | None = None) -> DataFrame:
     """sweep() of flagged_by_k() from the scored rows alone, in one pass: flags, true rows and one mark for each case travel
-    together, dealt once by (series_id, k), and events meet by running ends instead of a join."""
+    together, dealt once by (series_id, k), and events meet by running ends instead of a join. Rows may be a part of their
+    series."""
     case = lambda k, kind: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"))
     none = F.array().cast("array<struct<k:double,kind:int>>")
-    flags = F.array_compact(F.array(*[F.when(R.exceeds(col, F.lit(k)), case(k, 1)) for k in ks]))
+    flags = F.array_compact(F.array(*[F.when(over(col, F.lit(k), plain), case(k, 1)) for k in ks]))
     true = F.when(F.col("is_anomaly") == 1, F.array(*[case(k, 0) for k in ks])).otherwise(none)
-    marks = F.when(F.col("idx") == 0, F.array(*[case(k, 2) for k in ks])).otherwise(none)
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    rows = scored.withColumn("n", n).select("series_id", "idx", "n", F.explode(F.concat(flags, true, marks)).alias("c"))
+    marks = F.when(F.col("idx") == F.col("first"), F.array(*[case(k, 2) for k in ks])).otherwise(none)
+    per = Window.partitionBy("series_id")
+    rows = scored.withColumns({"n": F.count(F.lit(1)).over(per), "first": F.min("idx").over(per)}).select("series_id", "idx", "n", F.explode(F.concat(flags, true, marks)).alias("c"))
     rows = rows.select("series_id", "idx", "n", "c.*").repartition("series_id", "k")
     by = ("series_id", "k", "kind")
     order = Window.partitionBy(*by).orderBy("idx")

@@ -19,15 +19,17 @@ from tidewatch.functions.stl import stl
 from tidewatch.session import ship
 
 ROW = "series_id string, idx long, ts timestamp_ntz, value double, is_anomaly int"
-#: Partitions of model work for each of the session's shuffle partitions.
-SPREAD = 4
+#: Partitions of model work: at least so many, and so many for each of the session's shuffle partitions.
+LEAST_PARTS, SPREAD = 256, 4
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows by keys over a fixed number of partitions. A model takes seconds for a series of a few kilobytes, so partitions
-    mustn't be merged by their bytes, as adaptive execution does with those it made itself."""
+    """rows by ranges of keys over a fixed number of partitions. A model takes seconds for a series of a few kilobytes, so
+    partitions mustn't be merged by their bytes, as adaptive execution does with those it made itself, and few items mustn't
+    meet in one by their hashes: where there are fewer keys than partitions, ranges give each its own."""
     ship(rows.sparkSession)
-    return rows.repartition(SPREAD * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    n = SPREAD * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(max(n, LEAST_PARTS), *keys)
 
 
 def _each(series: DataFrame, columns: str, work) -> DataFrame:

@@ -273,15 +273,15 @@ def benchmark(series: DataFrame, train: float = 0.5, items: dict[str, Callable]
     """BSTS, GP, LSTM and HYBRID on every series: Model, series_id, the report's columns and error. Models are fitted as items
     of work of their own, in one job; thresholds of all detectors are swept together. A model that fails on a series leaves
     nulls and its error in the rows of the detectors that need it there, and all others stand. items: other models."""
-    fits = saved(models.fits(series, items or benchmark_models(train)), f"{staging(series.sparkSession)}/fits")
-    parts = once(_judged(fits, train))
-    scored = R.rolling_sigma(parts, "resid", by=("series_id", "split"))
+    path = staging(series.sparkSession)
+    fits = saved(models.fits(series, items or benchmark_models(train)), f"{path}/fits")
+    scored = saved(R.rolling_sigma(_judged(fits, train), "resid", by=("series_id", "split")), f"{path}/scored")
     is_model = lambda name: F.col("series_id").startswith(name + _SEP)
-    flags = once(M.flagged_by_k(scored, "resid", M.K_GRID, PERSIST, ("series_id", "split", "k"), plain=is_model("HYBRID")))
-    where = F.col("split") == F.when(is_model("BSTS"), "Validation").otherwise("Test")
-    tune, test = parts.filter(where), parts.filter("split = 'Test'")
-    chosen = once(M.best(M.sweep(tune, flags.filter(where).drop("split"), _true(tune), M.K_GRID, GAP)))
-    final = flags.filter("split = 'Test'").join(chosen.select("series_id", F.col("best_k").alias("k")), ["series_id", "k"]).select("series_id", "idx")
+    tune = scored.filter(F.col("split") == F.when(is_model("BSTS"), "Validation").otherwise("Test"))
+    chosen = saved(M.best(M.sweep_series(tune, "resid", M.K_GRID, PERSIST, GAP, is_model("HYBRID"))), f"{path}/chosen")
+    test = scored.filter("split = 'Test'")
+    flags = test.join(chosen, "series_id").filter(M.over("resid", F.col("best_k"), is_model("HYBRID"))).select("series_id", "idx")
+    final = saved(E.persistent(flags, PERSIST), f"{path}/flags")
     typed = [F.col(c).cast("long" if c in COUNTS else "double").alias(c) for c in REPORT]
     found = report(test, final, chosen).select(F.substring_index("series_id", _SEP, 1).alias("Model"), F.substring_index("series_id", _SEP, -1).alias("series_id"), *typed)
     needs = F.explode(F.array(*[F.struct(F.lit(d).alias("Model"), F.lit(m).alias("lost")) for d, ms in DETECTORS.items() for m in ms]))

