@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tidewatch.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["series_grid", "label_asof", "rolling_backfill", "threshold_best", "event_metrics", "pr_auc", "pacf", "qq_points", "bocpd_map_run_length", "stream_windows", "online_run_lengths", "csv_series"]
+NAMES = ["series_grid", "label_asof", "rolling_backfill", "threshold_best", "event_metrics", "pr_auc", "pacf", "qq_points", "bocpd_map_run_length", "stream_windows", "online_run_lengths", "csv_series", "metrics_files", "leaderboard_file", "plot_points"]
 
 
 @pytest.fixture(scope="module")

@@ -12,6 +12,7 @@ from tidewatch.functions import state_space
 from tidewatch.operators import diagnostics as D
 from tidewatch.operators import events as E
 from tidewatch.operators import metrics as M
+from tidewatch.operators import plots
 from tidewatch.operators import points as P
 from tidewatch.operators import rolling as R
 from tidewatch.plans import models, pipelines
@@ -240,6 +241,48 @@ def leaderboard(spark, sf):
     return _r(results.leaderboard(rows), "Event_F1", "Precision", "Recall", "FP_per_Day")
 
 
+def _model_rows(spark, sf, *more) -> DataFrame:
+    """Event metrics of two thresholds as runs of two models, in the metrics files' form."""
+    level = F.when(F.col("n_pred_events") > 0, F.struct(*_RATES, "tp", "fp", "fn", "n_true_events", "n_pred_events"))
+    business = F.struct(F.col("anomaly_rate").alias("fp_per_day"), F.lit(float("nan")).alias("median_latency_minutes"))
+    m = _sweep(spark, sf).filter("k in (2.0, 3.0)")
+    return m.select(F.concat(F.lit("rolling_"), F.col("k").cast("int").cast("string")).alias("model"), F.concat(F.lit("events/"), "series_id").alias("series_id"), level.alias("event_level"), business.alias("business"), F.col("k").alias("best_k"))
+
+
+def metrics_files(spark, sf):
+    """Runs written as one metrics.json each, and what a scan of the folder finds."""
+    path = staging(spark)
+    results.write_metrics(_model_rows(spark, sf), path)
+    found = results.scan_metrics(spark, path)
+    return _r(found.select("Model", "Dataset", "best_k", F.col("event_level.f1").alias("f1"), F.col("event_level.tp").alias("tp"), F.col("business.fp_per_day").alias("fp_per_day"), F.isnan("business.median_latency_minutes").alias("no_latency")), "f1", "fp_per_day")
+
+
+def leaderboard_file(spark, sf):
+    """The leaderboard of those files, written as metrics_summary.csv and read back with its lines' numbers."""
+    path = staging(spark)
+    results.write_metrics(_model_rows(spark, sf), path)
+    results.write_leaderboard(results.leaderboard(results.scan_metrics(spark, path)), path)
+    return _r(results.read_leaderboard(spark, path).select("Model", "Dataset", "Event_F1", "Precision", "Recall", "FP_per_Day"), "Event_F1", "Precision", "Recall", "FP_per_Day")
+
+
+def plot_points(spark, sf):
+    """How many points of each layer a chart of values and rolling means keeps, and the sums of their places."""
+    rows = R.rolling_stats(_grid(spark, sf))
+    kept = plots.reduced(plots.points(rows, "value", "idx", "value").unionByName(plots.points(rows, "mean", "idx", "mean_roll")))
+    return _r(kept.groupBy("series_id", "layer").agg(F.count(F.lit(1)).alias("n"), F.sum("px").alias("px"), F.sum("y").alias("y")), "y")
+
+
+def plot_files(spark, sf):
+    """Charts of the rolling detector's values, means and flags, written as one SVG file a series, and their sizes."""
+    path = staging(spark)
+    rows = R.rolling_sigma(_grid(spark, sf)).withColumnRenamed("mean_roll", "pred_mean")
+    hit = _flags(spark, sf, 2.0).withColumn("detected", F.lit(1))
+    charts = plots.forecasts(rows.join(hit, ["series_id", "idx"], "left"))
+    results.write_plots(charts.withColumn("model", F.lit("rolling")), path, "forecast_detected.svg")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.svg")
+    return files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("series_id"), F.length("value").cast("long").alias("size"))
+
+
 def cv_summary(spark, sf):
     m = _sweep(spark, sf)
     folds = m.select(F.col("series_id").alias("Model"), "f1", F.col("anomaly_rate").alias("fp_per_day"), F.when(F.col("n_pred_events") > 0, F.col("k")).otherwise(F.lit(float("nan"))).alias("latency"))
@@ -290,7 +333,7 @@ def online_run_lengths(spark, sf):
     """Likeliest run lengths of the grid's values, standardised, as a stream of them goes through the state."""
     path = staging(spark)
     z = P.zscore(_grid(spark, sf)).select("series_id", "ts", F.col("z").alias("value"))
-    z.coalesce(1).sortWithinPartitions("series_id", "ts").write.parquet(f"{path}/in")
+    z.write.parquet(f"{path}/in")  # read in one trigger, in which each series' rows are put in order
     stream = spark.readStream.schema(z.schema).parquet(f"{path}/in")
     return online.run_available(online.online_changepoints(stream), f"{path}/out", f"{path}/state").select("series_id", "ts", "map_run_length")
 
@@ -409,7 +452,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bsts_forecast, bsts_dummy_forecast, gp_forecast, gp_simple_forecast, lstm_forecast, hybrid_scores, pipeline_kalman, pipeline_bsts, pipeline_gp,
         pipeline_stl_baseline, pipeline_lstm, pipeline_hybrid, pipeline_bsts_dummy, pipeline_bsts_enhanced, pipeline_lstm_raw, pipeline_gp_simple,
         pipeline_changepoints, benchmark_leaderboard, first_runs, rows_at_flagged_times, csv_series, stream_windows, online_run_lengths,
-        predictions_kalman, predictions_bsts, predictions_gp,
+        predictions_kalman, predictions_bsts, predictions_gp, metrics_files, leaderboard_file, plot_points, plot_files,
     )
     found = {f.__name__: f for f in plain}
     found |= {f"residual_z_flags_{m}": partial(residual_z_flags, m) for m in ("std", "mad", "rolling")}
@@ -483,6 +526,9 @@ _TAILS = {
     "csv_series": "SELECT series_id, CAST(idx AS BIGINT) AS idx, ts, value FROM s",
     "first_runs": "SELECT 'ROLLING_' || CAST(CAST(k AS INTEGER) AS VARCHAR) AS \"Model\", series_id AS \"Dataset\", round(f1, 8) AS f1 FROM sw WHERE k IN (2, 3) QUALIFY row_number() OVER (PARTITION BY k ORDER BY series_id) = 1",
     "rows_at_flagged_times": "SELECT series_id, idx, value FROM s WHERE EXISTS (SELECT 1 FROM per p JOIN s t ON t.series_id = p.series_id AND t.idx = p.idx WHERE p.k = 2 AND p.series_id = s.series_id AND t.ts = s.ts)",
+    "metrics_files": "SELECT 'ROLLING_' || CAST(CAST(k AS INTEGER) AS VARCHAR) AS \"Model\", 'events__' || series_id AS \"Dataset\", k AS best_k, CASE WHEN n_pred_events > 0 THEN round(f1, 8) END AS f1, CASE WHEN n_pred_events > 0 THEN CAST(tp AS BIGINT) END AS tp, round(anomaly_rate, 8) AS fp_per_day, TRUE AS no_latency FROM sw WHERE k IN (2, 3)",
+    "leaderboard_file": "SELECT 'ROLLING_' || CAST(CAST(k AS INTEGER) AS VARCHAR) AS \"Model\", 'events__' || series_id AS \"Dataset\", CASE WHEN n_pred_events > 0 THEN round(f1, 8) END AS \"Event_F1\", CASE WHEN n_pred_events > 0 THEN round(precision, 8) END AS \"Precision\", CASE WHEN n_pred_events > 0 THEN round(recall, 8) END AS \"Recall\", round(anomaly_rate, 8) AS \"FP_per_Day\" FROM sw WHERE k IN (2, 3)",
+    "plot_points": "SELECT series_id, layer, count(*) AS n, CAST(sum(px) AS BIGINT) AS px, round(sum(y), 8) AS y FROM (SELECT DISTINCT series_id, layer, px, unnest([min({'y': y, 'idx': idx}), max({'y': y, 'idx': idx})], recursive := true) FROM (SELECT series_id, layer, idx, y, floor((idx - min(idx) OVER (PARTITION BY series_id)) / (max(idx) OVER (PARTITION BY series_id) - min(idx) OVER (PARTITION BY series_id))::DOUBLE * 959) AS px FROM (SELECT series_id, 'value' AS layer, idx, value AS y FROM roll UNION ALL SELECT series_id, 'mean', idx, mean_roll FROM roll WHERE mean_roll IS NOT NULL)) GROUP BY series_id, layer, px) GROUP BY series_id, layer",
     "stream_windows": "SELECT series_id, ts, v AS value FROM cells WHERE ts + INTERVAL 90 MINUTES <= (SELECT max(ts) FROM events)",
     "qq_points": f"SELECT series_id, nth, round({D.normal_quantile('p')}, 8) AS theoretical, ordered FROM (SELECT *, CASE WHEN nth = n THEN pow(0.5, 1 / n) WHEN nth = 1 THEN 1 - pow(0.5, 1 / n) ELSE (nth - 0.3175) / (n + 0.365) END AS p FROM (SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY value, idx) AS INTEGER) AS nth, n, value AS ordered FROM s))",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.sources.files import write_files
+
 METRICS = """
 pointwise struct<precision:double, recall:double, f1:double, tp:double, fp:double, fn:double>,
 event_level struct<precision:double, recall:double, f1:double, tp:long, fp:long, fn:long, n_true_events:long, n_pred_events:long>,
@@ -28,8 +30,28 @@ def read_scores(spark: SparkSession, path: str, form: str = "parquet") -> DataFr
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """One JSON object a run, in model=/series= folders; null parts stay out."""
-    metrics.withColumn("series_id", path_key("series_id")).write.mode("overwrite").partitionBy("model", "series_id").json(path)
+    """(model, series_id, parts of METRICS): one <model>/<series>/metrics.json for each row below path; null parts stay out,
+    and what isn't a number is bare, as in Python's own files. Files of other runs stay."""
+    parts = F.to_json(F.struct(*[F.col(f"`{c}`") for c in metrics.columns if c not in ("model", "series_id")]))
+    bare = F.regexp_replace(parts, r':"(NaN|Infinity|-Infinity)"', ":$1")
+    write_files(metrics.select(_file("metrics.json").alias("path"), bare.alias("content")), path)
+
+
+def _file(name: str):
+    return F.concat_ws("/", path_key("model"), path_key("series_id"), F.lit(name))
+
+
+def write_predictions(rows: DataFrame, path: str, name: str = "predictions.csv") -> None:
+    """(model, series_id, idx, further columns): one <model>/<series>/<name> for each series, its rows by idx; nulls are
+    empty. A series' file is written by one task, row by row."""
+    columns = [c for c in rows.columns if c not in ("model", "series_id", "idx")]
+    lines = rows.select(_file(name).alias("path"), "idx", F.to_csv(F.struct(*[F.col(f"`{c}`") for c in columns]), {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}).alias("content"))
+    write_files(lines.repartition("path").sortWithinPartitions("path", "idx").select("path", "content"), path, ",".join(columns))
+
+
+def write_plots(plots: DataFrame, path: str, name: str) -> None:
+    """(model, series_id, svg): one <model>/<series>/<name> for each row."""
+    write_files(plots.select(_file(name).alias("path"), F.col("svg").alias("content")), path)
 
 
 def scan_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -71,8 +93,15 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
 
 
 def write_leaderboard(board: DataFrame, path: str) -> None:
-    """One CSV file; a row for each run."""
-    board.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """metrics_summary.csv below path: a header and a row for each run, in the leaderboard's order. One file has one writer,
+    which the rows pass one by one."""
+    lines = board.select(F.lit("metrics_summary.csv").alias("path"), F.to_csv(F.struct(*[F.col(f"`{c}`") for c in board.columns])).alias("content"))
+    write_files(lines.coalesce(1), path, ",".join(board.columns))
+
+
+def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
+    schema = "Model string, Dataset string, Event_F1 double, Precision double, Recall double, FP_per_Day double, Latency_Min double"
+    return spark.read.schema(schema).option("header", True).csv(f"{path}/metrics_summary.csv")
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-from functools import reduce
-from urllib.parse import unquote
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,33 +12,33 @@ def indexed(rows: DataFrame) -> DataFrame:
     return rows.select("series_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), "ts", "value")
 
 
+def _fields(line: Column) -> Column:
+    """The fields of a CSV line, quotes taken off."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',\s*("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    return F.transform(found, lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(F.trim(x)))
+
+
 def read_csv(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     """Series files, one series each, named by their path below root (or by file name).
 
     Each file's own header counts: files whose header lacks 'timestamp' or 'value' have their first two columns taken for
-    them; fewer than two columns are an error. Files are read together by kind of header. Times must parse.
+    them; fewer than two columns are an error, as are times that don't parse. Any number of files with any number of kinds
+    of header is one scan: a file's header, its first line, is a row of its own that meets the lines in a join by file, on
+    the same exchange that numbers each series' rows. Empty lines and further lines like the header are left out.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    # the first line of a file's first block; a block is read by one task, in order
-    heads = lines.filter("block = 0").groupBy("file").agg(F.first("value").alias("head")).collect()  # one row a file
-    kinds: dict[tuple[str, ...], list[str]] = {}
-    for r in sorted(heads):
-        names = tuple(c.strip() for c in next(csv.reader([r["head"].lstrip("\ufeff")]), []))
-        if len(names) < 2:
-            raise ValueError(f"{r['file']}: a series needs a time and a value column")
-        kinds.setdefault(names, []).append(unquote(r["file"]))
-    if not kinds:
-        raise ValueError(f"{path}: no series file")
-    return indexed(reduce(DataFrame.unionByName, [_csv_files(spark, names, files, root) for names, files in kinds.items()]))
-
-
-def _csv_files(spark: SparkSession, names: tuple[str, ...], files: list[str], root: str | None) -> DataFrame:
-    """(series_id, ts, value) of files that all have the header names."""
-    time, value = (names.index("timestamp"), names.index("value")) if {"timestamp", "value"} <= set(names) else (0, 1)
-    raw = spark.read.option("header", True).option("enforceSchema", True).schema(", ".join(f"c{i} string" for i in range(len(names)))).csv(files)
     file = F.col("_metadata.file_path")
     name = F.substring_index(file, root.rstrip("/") + "/", -1) if root else F.element_at(F.split(file, "/"), -1)
-    return raw.select(name.alias("series_id"), F.to_timestamp_ntz(F.col(f"c{time}")).alias("ts"), F.col(f"c{value}").cast("double").alias("value"))
+    text = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"), name.alias("series_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    # a file's first block is read by one task, in order
+    heads = text.filter("block = 0").groupBy("series_id").agg(F.min_by("line", "at").alias("head"))
+    names = F.transform(_fields(F.col("head")), F.trim)
+    enough = F.when(F.size(names) < 2, F.raise_error(F.concat("series_id", F.lit(": a series needs a time and a value column")))).otherwise(names)
+    heads = heads.withColumn("names", enough)
+    own = F.array_contains("names", "timestamp") & F.array_contains("names", "value")
+    place = lambda column, other: F.when(own, F.array_position("names", column)).otherwise(F.lit(other))
+    heads = heads.select("series_id", "head", place("timestamp", 1).cast("int").alias("time"), place("value", 2).cast("int").alias("number"))
+    rows = text.join(heads, "series_id").filter((F.col("line") != F.col("head")) & (F.trim("line") != "")).withColumn("x", _fields(F.col("line")))
+    return indexed(rows.select("series_id", F.to_timestamp_ntz(F.get("x", F.col("time") - 1)).alias("ts"), F.get("x", F.col("number") - 1).cast("double").alias("value")))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
