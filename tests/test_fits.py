@@ -226,3 +226,24 @@ def test_models_run_without_the_package_on_the_workers_path(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 7195" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("chunk", [48, 97, 1000])
+def test_chunks_of_a_series_see_their_whole_windows(spark, chunk):
+    from tidewatch.operators import diagnostics as D
+    from tidewatch.operators import rolling as R
+
+    rng = np.random.default_rng(0)
+    values = rng.normal(size=1000)
+    rows = line(spark, values, "a").unionByName(line(spark, values[:7], "b")).withColumn("value", F.when(F.col("idx") % 100 != 60, F.col("value")))
+    whole = R.rolling_stats(rows).orderBy("series_id", "idx").toPandas()
+    parts = R.rolling_stats(rows, chunk=chunk).orderBy("series_id", "idx").toPandas()
+    assert list(parts.columns) == list(whole.columns) and len(parts) == 1007
+    for c in ("mean_roll", "std_roll"):
+        assert np.allclose(parts[c], whole[c], equal_nan=True, rtol=1e-12)
+    d = np.where(np.arange(1000) % 100 != 60, values, np.nan)
+    d = np.nan_to_num(d - np.nanmean(d))
+    want = [(d[: 1000 - h] * d[h:]).sum() / (d * d).sum() for h in range(51)]
+    got = {(r.series_id, r.lag): r.acf for r in D.acf(rows, chunk=chunk).collect()}
+    assert [got["a", h] for h in range(51)] == pytest.approx(want, abs=1e-12)
+    assert all(got["b", h] == 0 for h in range(7, 51)) and got["b", 0] == 1

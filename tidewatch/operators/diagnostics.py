@@ -44,14 +44,31 @@ def pr_auc(curve: DataFrame) -> DataFrame:
     return s.groupBy("series_id").agg(F.sum((F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2).alias("auc"))
 
 
-def acf(series: DataFrame, lags: int = 50, col: str = "value") -> DataFrame:
-    """(series_id, lag, acf) for lags from 0, with the biased denominator."""
-    s = series.withColumn("d", F.col(col) - F.avg(col).over(by_series()))
-    order = Window.partitionBy("series_id").orderBy("idx")
-    products = [(F.col("d") * F.lag("d", h).over(order)).alias(f"p{h}") for h in range(lags + 1)]
-    sums = s.select("series_id", *products).groupBy("series_id").agg(*[F.sum(f"p{h}").alias(f"p{h}") for h in range(lags + 1)])
-    pairs = F.array(*[F.struct(F.lit(h).alias("lag"), (F.coalesce(f"p{h}", F.lit(0.0)) / F.col("p0")).alias("acf")) for h in range(lags + 1)])
-    return sums.select("series_id", F.explode(pairs).alias("x")).select("series_id", "x.lag", "x.acf")
+#: Rows of a series that one task multiplies at once.
+CHUNK = 1 << 17
+
+
+def acf(series: DataFrame, lags: int = 50, col: str = "value", chunk: int | None = None) -> DataFrame:
+    """(series_id, lag, acf) for lags from 0, with the biased denominator; missing values count as the mean.
+
+    A series of any length is cut into chunks of rows, each with the first lags rows of the next; sums of products by lag
+    come from the chunks and are added up."""
+    size = max(chunk or CHUNK, lags)
+    mean = series.groupBy("series_id").agg(F.avg(col).alias("m"))
+    d = series.join(mean, "series_id").select("series_id", "idx", F.coalesce(F.col(col) - F.col("m"), F.lit(0.0)).alias("d"))
+    own = F.floor(F.col("idx") / size)
+    places = F.when((F.col("idx") % size < lags) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = d.select("series_id", "idx", "d", F.explode(places).alias("chunk"))
+
+    def products(key, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("idx")
+        d, n = f["d"].to_numpy(), int((f["idx"] // size == key[1]).sum())
+        p = [float(d[: min(n, len(d) - h)] @ d[h : h + n]) if h < len(d) else 0.0 for h in range(lags + 1)]
+        return pd.DataFrame({"series_id": key[0], "lag": np.arange(lags + 1, dtype=np.int32), "p": p})
+
+    sums = dealt.groupBy("series_id", "chunk").applyInPandas(products, "series_id string, lag int, p double").groupBy("series_id", "lag").agg(F.sum("p").alias("p"))
+    none = F.max(F.when(F.col("lag") == 0, F.col("p"))).over(by_series())
+    return sums.select("series_id", "lag", (F.col("p") / none).alias("acf"))
 
 
 def pacf(correlations: DataFrame) -> DataFrame:

@@ -12,11 +12,28 @@ def trailing(window: int, by: tuple[str, ...] = ("series_id",)):
     return Window.partitionBy(*by).orderBy("idx").rowsBetween(-(window - 1), 0)
 
 
-def rolling_stats(series: DataFrame, col: str = "value", window: int = 48, least: int = 5, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """mean_roll and std_roll (sample) over the last window rows; null before least values are there."""
-    w = trailing(window, by)
+#: Rows of a series in one chunk of a long window.
+CHUNK = 1 << 20
+
+
+def chunked(series: DataFrame, before: int, chunk: int) -> DataFrame:
+    """series with chunk, and own: rows of each chunk of idx, and the rows just before it, which aren't its own. Trailing
+    windows by chunk then see what they would see by series, and one long series is the work of many tasks."""
+    at = F.floor(F.col("idx") / chunk)
+    late = F.col("idx") % chunk >= chunk - before
+    places = F.when(late, F.array(F.struct(at.alias("chunk"), F.lit(True).alias("own")), F.struct((at + 1).alias("chunk"), F.lit(False).alias("own"))))
+    places = places.otherwise(F.array(F.struct(at.alias("chunk"), F.lit(True).alias("own"))))
+    return series.withColumn("place", F.explode(places)).select(*[F.col(f"`{c}`") for c in series.columns], "place.chunk", "place.own")
+
+
+def rolling_stats(series: DataFrame, col: str = "value", window: int = 48, least: int = 5, by: tuple[str, ...] = ("series_id",), chunk: int | None = None) -> DataFrame:
+    """mean_roll and std_roll (sample) over the last window rows; null before least values are there. Rows of a series (by)
+    are those of consecutive idx. chunk: rows of a series that one task may hold, in place of CHUNK; a window at least."""
+    size = max(chunk or CHUNK, window)
+    w = trailing(window, (*by, "chunk"))
     enough = F.count(col).over(w) >= least
-    return series.withColumns({"mean_roll": F.when(enough, F.avg(col).over(w)), "std_roll": F.when(enough, F.stddev_samp(col).over(w))})
+    s = chunked(series, window - 1, size).withColumns({"mean_roll": F.when(enough, F.avg(col).over(w)), "std_roll": F.when(enough, F.stddev_samp(col).over(w))})
+    return s.filter("own").drop("chunk", "own")
 
 
 def backfilled(series: DataFrame, *cols: str, by: tuple[str, ...] = ("series_id",)) -> DataFrame:

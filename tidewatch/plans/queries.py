@@ -528,7 +528,7 @@ _TAILS = {
     "rows_at_flagged_times": "SELECT series_id, idx, value FROM s WHERE EXISTS (SELECT 1 FROM per p JOIN s t ON t.series_id = p.series_id AND t.idx = p.idx WHERE p.k = 2 AND p.series_id = s.series_id AND t.ts = s.ts)",
     "metrics_files": "SELECT 'ROLLING_' || CAST(CAST(k AS INTEGER) AS VARCHAR) AS \"Model\", 'events__' || series_id AS \"Dataset\", k AS best_k, CASE WHEN n_pred_events > 0 THEN round(f1, 8) END AS f1, CASE WHEN n_pred_events > 0 THEN CAST(tp AS BIGINT) END AS tp, round(anomaly_rate, 8) AS fp_per_day, TRUE AS no_latency FROM sw WHERE k IN (2, 3)",
     "leaderboard_file": "SELECT 'ROLLING_' || CAST(CAST(k AS INTEGER) AS VARCHAR) AS \"Model\", 'events__' || series_id AS \"Dataset\", CASE WHEN n_pred_events > 0 THEN round(f1, 8) END AS \"Event_F1\", CASE WHEN n_pred_events > 0 THEN round(precision, 8) END AS \"Precision\", CASE WHEN n_pred_events > 0 THEN round(recall, 8) END AS \"Recall\", round(anomaly_rate, 8) AS \"FP_per_Day\" FROM sw WHERE k IN (2, 3)",
-    "plot_points": "SELECT series_id, layer, count(*) AS n, CAST(sum(px) AS BIGINT) AS px, round(sum(y), 8) AS y FROM (SELECT DISTINCT series_id, layer, px, unnest([min({'y': y, 'idx': idx}), max({'y': y, 'idx': idx})], recursive := true) FROM (SELECT series_id, layer, idx, y, floor((idx - min(idx) OVER (PARTITION BY series_id)) / (max(idx) OVER (PARTITION BY series_id) - min(idx) OVER (PARTITION BY series_id))::DOUBLE * 959) AS px FROM (SELECT series_id, 'value' AS layer, idx, value AS y FROM roll UNION ALL SELECT series_id, 'mean', idx, mean_roll FROM roll WHERE mean_roll IS NOT NULL)) GROUP BY series_id, layer, px) GROUP BY series_id, layer",
+    "plot_points": "SELECT series_id, layer, count(*) AS n, CAST(sum(px) AS BIGINT) AS px, round(sum(y), 8) AS y FROM (SELECT *, row_number() OVER (PARTITION BY series_id, layer, px ORDER BY y, idx) AS low, row_number() OVER (PARTITION BY series_id, layer, px ORDER BY y DESC, idx DESC) AS high FROM (SELECT series_id, layer, idx, y, floor((idx - min(idx) OVER (PARTITION BY series_id)) / (max(idx) OVER (PARTITION BY series_id) - min(idx) OVER (PARTITION BY series_id))::DOUBLE * 959) AS px FROM (SELECT series_id, 'value' AS layer, idx, value AS y FROM roll UNION ALL SELECT series_id, 'mean', idx, mean_roll FROM roll WHERE mean_roll IS NOT NULL))) WHERE low = 1 OR high = 1 GROUP BY series_id, layer",
     "stream_windows": "SELECT series_id, ts, v AS value FROM cells WHERE ts + INTERVAL 90 MINUTES <= (SELECT max(ts) FROM events)",
     "qq_points": f"SELECT series_id, nth, round({D.normal_quantile('p')}, 8) AS theoretical, ordered FROM (SELECT *, CASE WHEN nth = n THEN pow(0.5, 1 / n) WHEN nth = 1 THEN 1 - pow(0.5, 1 / n) ELSE (nth - 0.3175) / (n + 0.365) END AS p FROM (SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY value, idx) AS INTEGER) AS nth, n, value AS ordered FROM s))",
 }
