@@ -132,7 +132,7 @@ def test_importance_resampling(spark, docs, longest):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want), key=str)
     drawn = importance.draw(docs, target, buckets=300, longest=longest)
     assert drawn.columns == docs.columns
-    assert sorted(r["doc_id"] for r in drawn.collect()) == sorted(r[0] for r in fit[:most])
+    assert sorted((r["doc_id"] for r in drawn.collect()), key=str) == sorted((r[0] for r in fit[:most]), key=str)
     assert importance.score(docs.limit(0), target).count() == 0
     assert importance.score(docs, target.limit(0)).filter("rank is not null").count() == most
 
