@@ -8,6 +8,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,31 @@ def test_nearest_neighbours_of_clustered_vectors(spark, monkeypatch):
     assert made[0].probes <= 0.25 * len(made[0].coarse)
 
 
+def test_nearest_neighbours_of_queries_unlike_other_rows(spark):
+    """Queries that stand together, away from all other rows, are a fiftieth of these: lists and candidates suit them too.
+    Half of them are multiples of one vector, all as near as each other."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    x = rng.normal(size=(n, 16))
+    x[::50] = rng.normal(size=16) + rng.normal(0, 0.01, (n // 50, 16))
+    x[::100] = rng.normal(size=16) * np.exp2(rng.integers(-40, 40, n // 100))[:, None]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})).repartition(4)
+    got = {(r.query_id, r.vec_id) for r in ann.search(df).collect()}
+    want = {(q, v) for q, _, v, _ in brute_force_of(x, np.arange(0, n, 50))}
+    assert len(want) == len(got) == n // 10
+    assert len(got & want) >= 0.97 * len(want)
+    multiples = {(q, v) for q, v in want if q % 100 == 0}
+    assert multiples <= got
+
+
+def brute_force_of(x, queries, k=5):
+    """brute_force() of rows numbered from 0."""
+    for q in queries.tolist():
+        s = ann.cosine(np.broadcast_to(x[q], x.shape), x)
+        s[q] = -np.inf
+        yield from ((q, r + 1, int(j), s[j]) for r, j in enumerate(np.lexsort([np.arange(len(x)), -s])[:k]))
+
+
 def recall(spark, path):
     """Share of all queries' 5 nearest vectors, by brute force, that the search finds."""
     table = spark.read.parquet(path)

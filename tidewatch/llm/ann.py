@@ -2,7 +2,8 @@
 
 Centroids and codebooks are fitted on a bounded sample; every vector is indexed. Equal vectors are one entry with a number of
 its own; ids come back only at the end, since rows may share one. A query probes the nearest lists, scores their codes by tables of distances between its residual and the
-codebooks (the query itself is not quantised), and the best candidates of all lists are ranked again by exact cosine.
+codebooks (the query itself is not quantised), and each group's best candidates are ranked again by exact cosine. How many
+lists and candidates that takes is measured on some of the queries themselves, against all entries.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import common
 
-#: Most vectors, and most numbers, that centroids, codebooks and the numbers of probes and candidates are fitted on.
+#: Most vectors, and most numbers, that centroids and codebooks are fitted on.
 SAMPLE, SAMPLE_NUMBERS = 32_768, 1 << 23
 #: Coarse centroids of the first level, codes in a codebook, components to a code.
 COARSE, CODES, PER_CODE = 1024, 256, 4
-#: Share of the sample's true neighbours that the probed lists, and then the reranked candidates, must hold; its queries.
+#: Share of the trial queries' true neighbours that the probed lists, and then the reranked candidates, must hold; trials.
 REACH, TRIALS = 0.985, 128
-#: Fewest candidates ranked exactly; entries in a group of lists, or of parts of a long list.
-RERANK, GROUP = 100, 16_384
+#: Fewest candidates ranked exactly; entries, and numbers of their vectors, in a group of lists, or of parts of a long list.
+RERANK, GROUP, GROUP_NUMBERS = 100, 16_384, 1 << 22
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -71,8 +72,7 @@ class Index:
     """coarse: (lists x dim), about as many as the root of n; books: (subspaces x codes x width), over residuals of unit vectors.
 
     Beyond COARSE lists each first-level list is split by a second-level codebook over residuals, so that the sample stays
-    bounded. probes and rerank are what the sample's own queries needed to find REACH of their neighbours; among n vectors
-    a neighbour's place by quantised distance is taken to fall behind as the root of n over the sample's size.
+    bounded. probes and rerank are what trial queries needed to find REACH of their neighbours, once calibrate() has them.
     """
 
     def __init__(self, sample: np.ndarray, n: int, k: int = 5):
@@ -89,26 +89,7 @@ class Index:
         self.books = np.stack([_padded(kmeans(rest[:, j], CODES, 8, j)) for j in range(rest.shape[1])])
         #: lists in an order in which neighbours stand together, so that the lists of a query fall into few groups
         self.order = np.argsort(nearest(self.coarse, kmeans(self.coarse, round(np.sqrt(len(self.coarse)))))[0], kind="stable")
-        self.probes, self.rerank = self._needed(x, near, n, k)
-
-    def _needed(self, x: np.ndarray, near: np.ndarray, n: int, k: int) -> tuple[int, int]:
-        if len(x) < 2:
-            return len(self.coarse), RERANK
-        asked = np.unique(np.linspace(0, len(x) - 1, TRIALS).astype(int))
-        codes = self.encode(x)[1]
-        own, column = self.own(near, codes), np.arange(codes.shape[1])
-        lists, places = [], []
-        for i in asked:
-            like = x @ x[i]
-            like[i] = -np.inf
-            best = np.argsort(-like)[: min(k, len(x) - 1)]
-            d = ((x[i] - self.coarse) ** 2).sum(1)
-            lists += (d < d[near[best]][:, None]).sum(1).tolist()
-            far = d[near] + own - 2 * self.tables(x[i])[column, codes].sum(1)
-            far[i] = np.inf
-            places += (far < far[best][:, None]).sum(1).tolist()
-        at = lambda v: int(np.quantile(v, REACH, method="higher")) + 1
-        return at(lists), max(RERANK, int(np.ceil(at(places) * np.sqrt(max(1.0, n / len(x))))))
+        self.probes, self.rerank = len(self.coarse), RERANK
 
     def list_of(self, x: np.ndarray) -> np.ndarray:
         """The list of each unit vector: its first-level centroid, then that of its residual."""
@@ -126,6 +107,14 @@ class Index:
         """(subspaces x codes) inner products of a unit query with the codebooks."""
         return (q.reshape(-1, 1, self.width) * self.books).sum(2)
 
+    def far(self, q: np.ndarray, base: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Squared distances of a unit query to what codes (one row a subspace) stand for; base: the query's distances to the
+        entries' lists and own(). Entries of one list and with equal codes are exactly as far."""
+        near = np.zeros(columns.shape[1])
+        for table, code in zip(self.tables(q), columns, strict=True):
+            near += table[code]
+        return base - 2 * near
+
     def own(self, which: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """What each entry adds to a query's distance whatever the query: |r|^2 + 2 c r for its residual r in list c."""
         rest = self.books[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)
@@ -152,7 +141,7 @@ def search(vectors: DataFrame, queries: F.Column | None = None, *, k: int = 5, i
     query, and every row but itself is its candidate, so that a repeated id may be found several times, also by a query of
     that id, and equal query rows each give their k. rerank: candidates ranked exactly, by default what the index needs.
     Vectors that are null, empty, zero, or hold nulls or non-finite numbers take no part, nor do null ids; vectors of each
-    length are searched among themselves. Equal vectors are indexed once with their k + 1 smallest ids, no more of which
+    length are searched among themselves. rerank is by group of lists, and what is as far as the last is ranked too. Equal vectors are indexed once with their k + 1 smallest ids, no more of which
     can be among the k nearest. An empty table gives an empty result.
     """
     common.ship(vectors.sparkSession)
@@ -169,35 +158,39 @@ def _search(rows: DataFrame, width: int, queries: F.Column | None, k: int, reran
     rows = rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
     asked = F.pmod(F.col("id"), F.lit(50)) == 0 if queries is None else queries
     rows = rows.withColumn("asked", asked)
-    # equal vectors: the smallest ids, cut before the shuffle too
+    # equal vectors: the smallest ids, cut before the shuffle too; the first of them is an entry and has the vector
     order = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
-    few = common.saved(rows.withColumn("nth", order).filter(F.col("nth") <= k + 1).select("k1", "k2", "id", "nth", "v"), f"{path}/few")
-    numbered = few.filter("nth = 1").select("k1", "k2", F.col("id").alias("least"), "v", F.monotonically_increasing_id().alias("entry"))
-    entries = common.saved(numbered, f"{path}/entries")
+    first = rows.withColumn("nth", order).filter(F.col("nth") <= k + 1)
+    few = common.saved(first.select("k1", "k2", "id", "nth", F.when(F.col("nth") == 1, F.col("v")).alias("v"), F.monotonically_increasing_id().alias("entry")), f"{path}/few")
+    entries = few.filter("nth = 1").select("k1", "k2", F.col("id").alias("least"), "v", "entry")
     n = entries.count()
     size = min(SAMPLE, max(1, SAMPLE_NUMBERS // width))
     sample = entries.orderBy(F.xxhash64("k1", "k2")).limit(size).select("v").toPandas()["v"]
     index = Index(np.stack(sample.to_numpy()), n, k)
-    rerank = rerank or index.rerank
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches):
         index = shared.value
         for b in batches:
-            v = _matrix(b.column(1))
-            near, codes = index.encode(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["entry", "list", "codes"])
+            near, codes = index.encode(_matrix(b.column(2)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["entry", "least", "v", "list", "codes"])
 
-    codes = common.saved(entries.select("entry", "v").mapInArrow(encode, "entry long, list int, codes binary"), f"{path}/codes")
-    # lists are put together, or a long one dealt out, to groups of about GROUP entries
+    codes = common.saved(entries.select("entry", "least", "v").mapInArrow(encode, "entry long, least long, v array<double>, list int, codes binary"), f"{path}/codes")
+    # equal queries are searched once
+    wanted = common.saved(rows.filter("asked").groupBy("k1", "k2", F.col("id").alias("query_id")).agg(F.count(F.lit(1)).alias("times")), f"{path}/wanted")
+    asked_entries = common.saved(entries.join(wanted.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select(F.col("entry").alias("query"), F.col("v").alias("q")), f"{path}/asked")
+    calibrate(index, codes, asked_entries, k)
+    probes, rerank = index.probes, rerank or index.rerank
+    # lists are put together, or a long one dealt out, to groups of about most entries
     sizes = {r["list"]: r["count"] for r in codes.groupBy("list").count().collect()}  # about the root of n rows
+    most = min(GROUP, max(1, GROUP_NUMBERS // width))
     groups, used, room = {}, 0, 0
     for c in index.order.tolist():
         if c not in sizes:
             continue
         if sizes[c] > room:
-            used, room = used + 1, GROUP
-        groups[c] = (used, -(-sizes[c] // GROUP))
+            used, room = used + 1, most
+        groups[c] = (used, -(-sizes[c] // most))
         used, room = used + groups[c][1] - 1, room - sizes[c]
     held = spark.sparkContext.broadcast((sizes, groups))
 
@@ -209,7 +202,7 @@ def _search(rows: DataFrame, width: int, queries: F.Column | None, k: int, reran
         for b in batches:
             row, which, lists = [], [], []
             for i, o in enumerate(squared(unit(_matrix(b.column(1))), index.coarse[full]).argsort(1, kind="stable")):
-                m = max(index.probes, int(np.searchsorted(np.cumsum(count[o]), rerank)) + 1)
+                m = max(probes, int(np.searchsorted(np.cumsum(count[o]), rerank)) + 1)
                 per: dict[int, list[int]] = {}
                 for c in full[o[:m]].tolist():
                     for g in range(groups[c][0], groups[c][0] + groups[c][1]):
@@ -220,42 +213,38 @@ def _search(rows: DataFrame, width: int, queries: F.Column | None, k: int, reran
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(which, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["query", "q", "group", "lists"])
 
-    # equal queries are searched once
-    wanted = common.saved(rows.filter("asked").groupBy("k1", "k2", F.col("id").alias("query_id")).agg(F.count(F.lit(1)).alias("times")), f"{path}/wanted")
-    asked_entries = common.saved(entries.join(wanted.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select(F.col("entry").alias("query"), F.col("v").alias("q")), f"{path}/asked")
-    probes = asked_entries.mapInArrow(probe, "query long, q array<double>, group int, lists array<int>")
+    probed = asked_entries.mapInArrow(probe, "query long, q array<double>, group int, lists array<int>")
     deal = spark.createDataFrame([(c, *g) for c, g in groups.items()], "list int, first int, parts int")
-    dealt = codes.join(F.broadcast(deal), "list").withColumn("group", (F.col("first") + F.pmod(F.xxhash64("entry"), F.col("parts"))).cast("int")).select("group", "list", "entry", "codes")
+    dealt = codes.join(F.broadcast(deal), "list").withColumn("group", (F.col("first") + F.pmod(F.xxhash64("entry"), F.col("parts"))).cast("int")).select("group", "list", "entry", "least", "v", "codes")
 
     def scan(key, q, c):
         index = shared.value
-        found = [pd.DataFrame({"query": np.zeros(0, np.int64), "entry": np.zeros(0, np.int64), "far": np.zeros(0)})]
+        found = [pd.DataFrame({"query": np.zeros(0, np.int64), "entry": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(q) and len(c):
-            c = c.sort_values("entry")
-            code = np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1).astype(np.intp)
-            entry, which, column = c["entry"].to_numpy(), c["list"].to_numpy(), np.arange(code.shape[1])
-            own = index.own(which, code)
-            for name, vector, lists in zip(q["query"].to_numpy(), unit(np.stack(q["q"].to_numpy())), q["lists"], strict=True):
+            entry, least, which, v = c["entry"].to_numpy(), c["least"].to_numpy(), c["list"].to_numpy(), np.stack(c["v"].to_numpy())
+            code = _codes(c["codes"])
+            own, columns = index.own(which, code), np.ascontiguousarray(code.T)
+            for name, vector, lists in zip(q["query"].to_numpy(), np.stack(q["q"].to_numpy()), q["lists"], strict=True):
+                unit_vector = vector / np.sqrt((vector * vector).sum())
                 near = np.full(len(index.coarse), np.inf)
-                near[lists] = ((vector - index.coarse[lists]) ** 2).sum(1)
-                far = near[which] + own - 2 * index.tables(vector)[column, code].sum(1)
-                best = np.flatnonzero(np.isfinite(far))
-                if len(best) > rerank:
+                near[lists] = ((unit_vector - index.coarse[lists]) ** 2).sum(1)
+                far = index.far(unit_vector, near[which] + own, columns)
+                best = np.flatnonzero(np.isfinite(far) & (entry != name))
+                if len(best) > rerank:  # and all that are as far as the last
                     best = best[far[best] <= np.partition(far[best], rerank - 1)[rerank - 1]]
-                best = best[np.argsort(far[best], kind="stable")][:rerank]
-                found.append(pd.DataFrame({"query": name, "entry": entry[best], "far": far[best]}))
+                score = cosine(np.broadcast_to(vector, (len(best), len(vector))), v[best])
+                top = np.lexsort([entry[best], least[best], -score])[:k]
+                found.append(pd.DataFrame({"query": name, "entry": entry[best][top], "score": score[top]}))
         return pd.concat(found)
 
-    scanned = probes.groupBy("group").cogroup(dealt.groupBy("group")).applyInPandas(scan, "query long, entry long, far double")
-    nth = F.row_number().over(Window.partitionBy("query").orderBy("far", "entry"))
-    near = scanned.withColumn("nth", nth).filter(F.col("nth") <= rerank).select("query", "entry")
-    both = near.join(entries.select("entry", "v"), "entry").join(asked_entries, "query").select("query", "entry", "q", "v")
-
-    def exact(batches):
+    def itself(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cosine(_matrix(b.column(2)), _matrix(b.column(3))) if b.num_rows else [], pa.float64())], names=["query", "entry", "score"])
+            q = _matrix(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), pa.array(cosine(q, q) if b.num_rows else [], pa.float64())], names=["query", "entry", "score"])
 
-    ranked = both.mapInArrow(exact, "query long, entry long, score double")
+    # a query's own entry may have further rows, so it is a candidate wherever its code stands
+    ranked = probed.groupBy("group").cogroup(dealt.groupBy("group")).applyInPandas(scan, "query long, entry long, score double")
+    ranked = ranked.unionByName(asked_entries.mapInArrow(itself, "query long, entry long, score double"))
     keys = entries.select("entry", "k1", "k2", "least")
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least", "entry"))
     best = common.saved(ranked.join(keys, "entry").withColumn("nth", nth).filter(F.col("nth") <= k + 1).select("query", "entry", "k1", "k2", "score"), f"{path}/best")
@@ -271,6 +260,75 @@ def _search(rows: DataFrame, width: int, queries: F.Column | None, k: int, reran
     return out.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time")).drop("time")
 
 
+def calibrate(index: Index, codes: DataFrame, asked: DataFrame, k: int) -> None:
+    """Set index.probes and index.rerank to what TRIALS of the queries (query, q) need among all entries (entry, least, v,
+    list, codes). Their true neighbours are found by brute force, and their places by quantised distance counted: two passes
+    over the entries, each TRIALS distances an entry. Neither queries nor their neighbourhoods need be like other rows."""
+    spark = codes.sparkSession
+    trials = asked.orderBy(F.xxhash64("query")).limit(TRIALS).toPandas()
+    if not len(trials):
+        return
+    names, units = trials["query"].to_numpy(), unit(np.stack(trials["q"].to_numpy()))
+    shared = spark.sparkContext.broadcast((index, names, units))
+    kept = "trial int, score double, list int, codes binary"
+
+    def nearest_of(batches):
+        _, names, units = shared.value
+        best = [pd.DataFrame({"trial": [], "score": [], "list": [], "codes": []})]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            like = unit(_matrix(b.column(1))) @ units.T
+            like[b.column(0).to_numpy()[:, None] == names] = -np.inf
+            m = min(k, len(like))
+            rows = np.argpartition(-like, m - 1, axis=0)[:m].T.reshape(-1)
+            trial = np.repeat(np.arange(len(names)), m)
+            best.append(pd.DataFrame({"trial": trial, "score": like[rows, trial], "list": b.column(2).to_numpy()[rows], "codes": b.column(3).take(pa.array(rows)).to_pylist()}))
+            best = [pd.concat(best[-2:]).sort_values("score", ascending=False, kind="stable").groupby("trial").head(k)]
+        yield pa.RecordBatch.from_pandas(best[0].astype({"trial": "int32", "list": "int32", "score": float}), pa.schema([("trial", pa.int32()), ("score", pa.float64()), ("list", pa.int32()), ("codes", pa.binary())]), preserve_index=False)
+
+    nth = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "list", "codes"))
+    true = codes.select("entry", "v", "list", "codes").mapInArrow(nearest_of, kept).filter(F.col("score") > float("-inf"))
+    true = true.withColumn("nth", nth).filter(F.col("nth") <= k).toPandas()
+    if not len(true):
+        return
+    at = lambda v: int(np.quantile(v, REACH, method="higher")) + 1
+    lists = squared(units, index.coarse)
+    trial, which = true["trial"].to_numpy(), true["list"].to_numpy()
+    full = np.zeros(len(index.coarse), bool)
+    full[[r["list"] for r in codes.select("list").distinct().collect()]] = True
+    index.probes = at(((lists[trial] < lists[trial, which][:, None]) & full).sum(1))
+    code = _codes(true["codes"])
+    base = lists[trial, which] + index.own(which, code)
+    bounds = np.array([index.far(units[t], base[i : i + 1], code[i][:, None])[0] for i, t in enumerate(trial)])
+    lists[lists > np.partition(np.where(full, lists, np.inf), min(index.probes, full.sum()) - 1, axis=1)[:, min(index.probes, full.sum()) - 1][:, None]] = np.inf
+    limits = spark.sparkContext.broadcast((lists, trial, bounds))
+
+    def places(batches):
+        index, _, units = shared.value
+        lists, trial, bounds = limits.value
+        places = np.zeros(len(bounds), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            which, code = b.column(0).to_numpy(), _codes(b.column(1).to_pylist())
+            own = index.own(which, code)
+            for t, q in enumerate(units):
+                some = np.flatnonzero(np.isfinite(lists[t, which]))
+                of = np.flatnonzero(trial == t)
+                far = np.sort(index.far(q, lists[t, which[some]] + own[some], np.ascontiguousarray(code[some].T)))
+                places[of] += np.searchsorted(far, bounds[of] - 1e-12)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(bounds)), pa.int32()), pa.array(places)], names=["i", "place"])
+
+    counted = codes.select("list", "codes").mapInArrow(places, "i int, place long").groupBy("i").agg(F.sum("place").alias("place"))
+    index.rerank = max(RERANK, at(counted.toPandas()["place"].to_numpy()))
+
+
+def _codes(column) -> np.ndarray:
+    """Codes of entries as a matrix."""
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
 def _matrix(lists: pa.Array) -> np.ndarray:
     """A list column without nulls, all of one length, as a matrix."""
     flat = lists.flatten().to_numpy(zero_copy_only=False)
