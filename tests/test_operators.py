@@ -233,6 +233,34 @@ def test_one_pass_sweep_equals_joins(spark):
         assert one.agg(F.sum("tp")).first()[0] > 0
 
 
+def test_runs_by_threshold_equal_flagged_rows(spark):
+    """Whatever the chunks, also where rows are missing between others, and by split."""
+    rng = np.random.default_rng(8)
+    rows = [(s, "ab"[i > 120], i, float(x)) for s in "pqr" for i, x in enumerate(rng.choice([0, 1, 2, 3, np.nan], 240)) if s != "q" or rng.random() < 0.8]
+    rows = spark.createDataFrame(rows, "series_id string, split string, idx long, z double").cache()
+    ks, by = [0.5, 1.5, 2.5], ("series_id", "split")
+    over = lambda k: F.coalesce(F.col("z") > k, F.lit(False))
+    levels = rows.select(*by, "idx", sum((over(k).cast("int") for k in ks), F.lit(0)).alias("level"))
+    single = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(over(F.col("k"))).select(*by, "k", "idx")
+    for chunk in (1, 2, 7, 1000):
+        for least, gap in ((1, 0), (2, 0), (3, 3)):
+            want = E.to_events(E.persistent(single, least, (*by, "k")), gap, (*by, "k"))
+            got = E.bridged(E.runs_by_k(levels, ks, least, by, chunk), gap, (*by, "k")).select(*want.columns)
+            assert sorted(got.collect()) == sorted(want.collect())
+    assert sorted(E.rows_of(M.runs_above_by_k(rows, "z", ks, 2).filter("k = 1.5")).collect()) == sorted(M.above_by_k(rows, "z", ks, 2).filter("k = 1.5").select("series_id", "idx").collect())
+
+
+def test_flags_of_a_sweep_are_not_multiplied_by_thresholds(spark, monkeypatch):
+    """Where a forecast is far off, every row is over every threshold: one run for each, not so many rows."""
+    n, seen = 3000, []
+    rng = np.random.default_rng(9)
+    rows = line(spark, 1000 + rng.normal(size=n)).withColumn("is_anomaly", (F.col("idx") % 500 < 3).cast("int")).withColumn("resid", F.col("value"))
+    monkeypatch.setattr(pipelines, "once", lambda df: (seen.append(df), df)[1])
+    assert pipelines.by_rolling_scale(rows).first().n_true_events == 6
+    flagged = [df.count() for df in seen if "k" in df.columns and "series_id" in df.columns]
+    assert flagged == [len(M.WIDE_GRID)]
+
+
 def test_normal_quantiles(spark):
     from statistics import NormalDist
 

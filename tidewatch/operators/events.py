@@ -53,6 +53,56 @@ def to_events(flagged: DataFrame, gap: int = 0, by: tuple[str, ...] = ("series_i
     return numbered.groupBy(*by, "event").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx")).drop("event")
 
 
+#: Rows of a series in one chunk of levels.
+CHUNK = 1 << 16
+
+
+def runs_by_k(levels: DataFrame, ks: list[float], least: int = 1, by: tuple[str, ...] = ("series_id",), chunk: int | None = None) -> DataFrame:
+    """(*by, k, start_idx, end_idx): unbroken runs of at least so many rows over each threshold. levels: (*by, idx, level),
+    level being how many of ks a row is over: those below it, as thresholds are nested.
+
+    A row is dealt once, by chunks of a series, whatever the number of thresholds; a row of a threshold's own arises only
+    where a run over it begins or ends, and those that do both at once go where they are too short. chunk: rows of a series
+    that are ordered together, in place of CHUNK."""
+    size = chunk or CHUNK
+    at, place = F.floor(F.col("idx") / size), F.pmod(F.col("idx"), F.lit(size))
+    spot = lambda c, own: F.struct(c.alias("chunk"), F.lit(own).alias("own"))
+    spots = F.array(spot(at, True), F.when(place == size - 1, spot(at + 1, False)), F.when(place == 0, spot(at - 1, False)))
+    rows = levels.filter("level > 0").select(*by, "idx", "level", F.explode(F.array_compact(spots)).alias("spot")).select(*by, "idx", "level", "spot.*")
+    w = Window.partitionBy(*by, "chunk").orderBy("idx")
+    beside = lambda f, d: F.when(f("idx").over(w) == F.col("idx") + d, f("level").over(w)).otherwise(0)
+    rows = rows.withColumns({"before": beside(F.lag, -1), "after": beside(F.lead, 1)}).filter("own")
+    low = F.least("before", "after")
+    ends = rows.filter(F.col("level") > low).select(*by, "idx", "before", "after", F.explode(F.sequence(low + 1, "level")).alias("nth"))
+    ends = ends.select(*by, "idx", "nth", (F.col("nth") > F.col("before")).alias("starts"), (F.col("nth") > F.col("after")).alias("ends"))
+    if least > 1:
+        ends = ends.filter(~(F.col("starts") & F.col("ends")))
+    order = Window.partitionBy(*by, "nth").orderBy("idx")
+    runs = ends.withColumn("end_idx", F.when(F.col("ends"), F.col("idx")).otherwise(F.lead("idx").over(order))).filter("starts")
+    k = F.element_at(F.array(*[F.lit(float(k)) for k in sorted(ks)]), F.col("nth"))
+    return runs.select(*by, k.alias("k"), F.col("idx").alias("start_idx"), "end_idx").filter(F.col("end_idx") - F.col("start_idx") + 1 >= least)
+
+
+def as_runs(flagged: DataFrame, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """(*by, start_idx, end_idx) of flagged rows, or of what is that already."""
+    return flagged if "start_idx" in flagged.columns else to_events(flagged, 0, by)
+
+
+def bridged(runs: DataFrame, gap: int, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """Runs as events: to_events() without their rows."""
+    if gap <= 0:
+        return runs.select(*by, "start_idx", "end_idx")
+    order = Window.partitionBy(*by).orderBy("start_idx")
+    starts = F.coalesce((F.col("start_idx") - F.lag("end_idx").over(order) > gap + 1).cast("int"), F.lit(1))
+    numbered = runs.withColumn("new", starts).withColumn("event", F.sum("new").over(order))
+    return numbered.groupBy(*by, "event").agg(F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx")).drop("event")
+
+
+def rows_of(runs: DataFrame) -> DataFrame:
+    """(series_id, idx) of runs."""
+    return runs.select("series_id", F.explode(F.sequence("start_idx", "end_idx")).alias("idx"))
+
+
 def _true(true: DataFrame) -> DataFrame:
     return true.select(F.col("series_id").alias("t_id"), F.col("start_idx").alias("t_start"), F.col("end_idx").alias("t_end"))
 

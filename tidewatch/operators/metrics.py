@@ -91,13 +91,28 @@ def above_by_k(scored: DataFrame, col: str, ks: list[float], least: int) -> Data
     return E.persistent(rows.select("series_id", "k", "idx"), least, ("series_id", "k"))
 
 
+def _levels(ks: list[float], rule) -> Column:
+    return sum((rule(F.lit(k)).cast("int") for k in ks), F.lit(0)).alias("level")
+
+
+def runs_by_k(scored: DataFrame, col: str, ks: list[float], least: int, by: tuple[str, ...] = ("series_id",), plain: Column | None = None) -> DataFrame:
+    """flagged_by_k() as runs (*by, k, start_idx, end_idx), for which rows aren't multiplied by the thresholds."""
+    return E.runs_by_k(scored.select(*by, "idx", _levels(ks, lambda k: over(col, k, plain))), ks, least, by)
+
+
+def runs_above_by_k(scored: DataFrame, col: str, ks: list[float], least: int) -> DataFrame:
+    """above_by_k() as runs."""
+    return E.runs_by_k(scored.select("series_id", "idx", _levels(ks, lambda k: F.coalesce(F.col(col) > k, F.lit(False)))), ks, least)
+
+
 def sweep(series: DataFrame, flagged: DataFrame, true_rows: DataFrame, ks: list[float], gap: int = 3) -> DataFrame:
-    """Event metrics and anomaly_rate for each (series_id, k), also where nothing is flagged."""
+    """Event metrics and anomaly_rate for each (series_id, k), also where nothing is flagged. flagged: rows or runs."""
     sizes = series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
     cases = sizes.select("series_id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     true = E.to_events(true_rows, gap)
-    m = event_level(cases, E.to_events(flagged, gap, ("series_id", "k")), true)
-    rate = flagged.groupBy("series_id", "k").agg(F.count(F.lit(1)).alias("n_flags"))
+    runs = E.as_runs(flagged, ("series_id", "k"))
+    m = event_level(cases, E.bridged(runs, gap, ("series_id", "k")), true)
+    rate = runs.groupBy("series_id", "k").agg(F.sum(F.col("end_idx") - F.col("start_idx") + 1).alias("n_flags"))
     m = m.join(rate, ["series_id", "k"], "left").join(sizes, "series_id")
     return m.withColumn("anomaly_rate", F.coalesce("n_flags", F.lit(0)) / F.col("n")).drop("n_flags", "n")
 
