@@ -8,11 +8,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tests.llm.test_llm import by_none, crc, direct, key
-from tidewatch.llm import common, language_id, near_dups, packing, quality_rules
+from tidewatch.llm import blocks as B
+from tidewatch.llm import common, language_id, near_dups, packing, quality_rules, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 QUALITY = "doc_id long, text string, lang string, source string, row long, own string, pool string, distance int"
@@ -286,3 +288,43 @@ def test_stage_tables_need_a_shared_folder(spark):
     if not spark.conf.get("spark.checkpoint.dir", None):
         with pytest.raises(ValueError, match="checkpoint"):
             common.staging(Session())
+
+
+def test_workers_give_memory_back(spark, monkeypatch):
+    """A reused worker keeps what a plain task has freed below something live, but not after a spared one; and the stages'
+    tasks are spared."""
+    common.ship(spark)
+    rows = spark.range(2, numPartitions=1)
+    size = "kb long"
+
+    def work(batches):
+        live = [bytearray(64 << 10) for _ in range(2 * 1600)]
+        kept.extend(live[1::2])
+        del live
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"kb": [0] * b.num_rows})
+
+    def look(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"kb": [int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read()).group(1))]})
+
+    def both(batches):
+        start = next(look([0]))["kb"][0].as_py()
+        list(run(batches))
+        yield pa.RecordBatch.from_pydict({"kb": [next(look([0]))["kb"][0].as_py() - start]})
+
+    kept: list = []
+    run = work
+    plain = rows.mapInArrow(both, size).first().kb
+    run = common.spared(work)
+    spared = rows.mapInArrow(both, size).first().kb
+    assert plain > 180_000 and spared < 150_000, (plain, spared)
+    seen = []
+    monkeypatch.setattr(common, "spared", lambda f: seen.append(f.__qualname__) or f)
+    docs = spark.createDataFrame([(i, f"some words {i}", "aa", "s") for i in range(4)], "doc_id long, text string, lang string, source string")
+    quality_rules.base_stats(docs)
+    language_id.predict(docs, language_id.train(docs))
+    near_dups._signed(docs.select("doc_id", "text"))
+    packing.pieces_of(docs)
+    substring_dedup._prefixes(B.write(docs, f"{common.staging(spark)}/blocks"), 4)
+    assert len(seen) == 7, seen

@@ -67,7 +67,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
         if texts:
             yield made()
 
-    return common.saved(named.mapInArrow(run, SCHEMA), path)
+    return common.saved(named.mapInArrow(common.spared(run), SCHEMA), path)
 
 
 class Block:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +95,38 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed but keeps: a Python worker does one task after another, and what the
+    largest of them freed would count against its executor ever after. No result depends on it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError, TypeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def spared(work: Callable) -> Callable:
+    """work, a function of batches, whose worker gives memory back when a task is done."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def spared_group(work: Callable) -> Callable:
+    """The same for a function of a key and its rows, or of two groups of rows, after each."""
+
+    def run(left, right):
+        try:
+            return work(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 def row_key(docs: DataFrame, name: str) -> DataFrame:
     """docs with a long of its own for each row, the same whenever the DataFrame is evaluated.
 

@@ -91,7 +91,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             at = np.append(at, -1)  # bucket -1: documents
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(np.append(v[at[:-1]], docs[lang]), pa.int64())], names=["lang", "bucket", "n"])
 
-    found = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(common.spared(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
     docs = np.zeros(len(langs))
     row = np.searchsorted(np.array(langs, object), np.array(found["lang"].to_pylist(), object)) if langs else np.zeros(0, int)
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: tuple, *, keep: tuple[str, ...] = ("doc_id",
             more = [pa.array(fit, mask=~ok)] * with_fit
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(names, pa.string()), pa.array(score), *more], names=[*keep, "lang_pred", "score", *["fit"] * with_fit])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(common.spared(run), schema)
 
 
 def least_fit(labelled: DataFrame, model: tuple, text_col: str = "text") -> F.Column:

@@ -92,7 +92,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n", "words", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, words binary, keys array<long>")
+    return docs.mapInArrow(common.spared(run), "doc_id long, n long, words binary, keys array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             for lo, hi in T.chunks(texts, _CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array(_sequence(texts[lo:hi]), pa.binary()), pa.array([s.view(np.int64) for s in shingle_sets(texts[lo:hi])], pa.list_(pa.int64()))], names=["words", "shingles"])
 
-    return docs.mapInArrow(run, "words binary, shingles array<long>")
+    return docs.mapInArrow(common.spared(run), "words binary, shingles array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
 
     out = np.zeros(SLOTS, np.uint32)
-    for r in sets.select("shingles").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect():
+    for r in sets.select("shingles").mapInArrow(common.spared(count), "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect():
         out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], "<u4")
     return out
 
@@ -210,7 +210,7 @@ def _apart(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
             row = pa.array(np.concatenate(row), pa.int32())
             yield pa.RecordBatch.from_arrays([*[b.column(k).take(row) for k in range(3)], pa.array(np.concatenate(rest), pa.int64()), pa.array(np.concatenate(shingles), pa.int64())], names=["node", "n", "comp", "rest", "shingle"])
 
-    first = common.saved(own.select("node", "n", "comp", "shingles").mapInArrow(first, "node long, n long, comp long, rest long, shingle long"), f"{path}/first")
+    first = common.saved(own.select("node", "n", "comp", "shingles").mapInArrow(common.spared(first), "node long, n long, comp long, rest long, shingle long"), f"{path}/first")
     other = first.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "rest")])
     late = (100 + SIMILAR) * F.least("rest", "rest2") < SIMILAR * (F.col("n") + F.col("n2"))
     met = first.join(other, "shingle").filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _alike("n", "n2") & ~late)

@@ -55,7 +55,7 @@ def pieces_of(docs: DataFrame, *, vocabulary: str | None = None, length: int = L
                 k, s, n, crc = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return named.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return named.mapInArrow(common.spared(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Packing:
@@ -187,12 +187,12 @@ def _pack_level(loose: DataFrame, shards: int, level: int, path: str, length: in
 
     out = "shard int, island int, uid long, length long, bin long, n_bins long, spread double"
     start = dealt.select("shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "uid", "length", F.lit(-1).alias("elite"), F.lit(0).cast("long").alias("bin"))
-    found = common.saved(start.groupBy("shard", "island").applyInPandas(islands(0), out), f"{path}/epoch0")
+    found = common.saved(start.groupBy("shard", "island").applyInPandas(common.spared_group(islands(0)), out), f"{path}/epoch0")
     for epoch in range(1, EPOCHS):
         # elites move along a ring: each island gets its own and its neighbour's
         moved = found.select("shard", F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)))).alias("to"), "island", "uid", "length", "bin")
         seeds = moved.select("shard", F.col("to").alias("island"), "uid", "length", F.col("island").alias("elite"), "bin")
-        found = common.saved(seeds.groupBy("shard", "island").applyInPandas(islands(epoch), out), f"{path}/epoch{epoch}")
+        found = common.saved(seeds.groupBy("shard", "island").applyInPandas(common.spared_group(islands(epoch)), out), f"{path}/epoch{epoch}")
 
     best = found.groupBy("shard").agg(F.min_by("island", F.struct("n_bins", -F.col("spread"), "island")).alias("island"))
 

@@ -95,7 +95,7 @@ def base_stats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
                 kept = [b.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(s[c], pa.int64()) for c in STAT_NAMES], names=[*keep, *STAT_NAMES])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(common.spared(run), schema)
 
 
 def with_vector(stats: DataFrame) -> DataFrame:

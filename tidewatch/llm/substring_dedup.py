@@ -101,7 +101,7 @@ def _prefixes(blocks: DataFrame, parts: int) -> DataFrame:
                     }
                 )
 
-    return blocks.mapInArrow(run, "part int, block long, keys binary, low binary, high binary")
+    return blocks.mapInArrow(common.spared(run), "part int, block long, keys binary, low binary, high binary")
 
 
 def _repeated(asked: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _repeated(asked: DataFrame) -> DataFrame:
         some = [(b, again[a:z]) for b, a, z in zip(f["block"], cut[:-1], cut[1:], strict=True)]
         return pd.DataFrame({"block": [b for b, _ in some], "part": int(key[0]), "n": [len(x) for _, x in some], "bits": [np.packbits(x).tobytes() for _, x in some]})
 
-    return asked.groupBy("part").applyInPandas(run, "block long, part int, n int, bits binary")
+    return asked.groupBy("part").applyInPandas(common.spared_group(run), "block long, part int, n int, bits binary")
 
 
 _PLACES = "prefix long, doc_id long, block long, doc int, lo int, left int, windows int, around binary, same binary"
@@ -155,7 +155,7 @@ def _places(blocks: DataFrame, repeated: DataFrame) -> DataFrame:
             }
         )
 
-    return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInPandas(run, _PLACES)
+    return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInPandas(common.spared_group(run), _PLACES)
 
 
 def nodes_of(sequences: np.ndarray, root: np.ndarray):
@@ -261,7 +261,7 @@ def _marks(places: DataFrame, path: str, subtree: int) -> DataFrame:
             break
         rows = rows.join(large.select("key").hint("merge"), "key").select(*[x.split()[0] for x in _ROW.split(", ")])
         if level < len(LADDER):
-            rows = common.saved(rows.mapInArrow(_longer(LADDER[level]), f"{_ROW}, key long"), f"{path}/rows{level}")
+            rows = common.saved(rows.mapInArrow(common.spared(_longer(LADDER[level])), f"{_ROW}, key long"), f"{path}/rows{level}")
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP))
 
     def tree(key, f):
@@ -269,9 +269,9 @@ def _marks(places: DataFrame, path: str, subtree: int) -> DataFrame:
         return pd.DataFrame({"same": f["same"], "prefix": f["prefix"], "hit": hit})[hit != 0]
 
     grouped = reduce(DataFrame.unionByName, fit).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
-    hits = grouped.groupBy("group").applyInPandas(tree, "same binary, prefix long, hit long")
+    hits = grouped.groupBy("group").applyInPandas(common.spared_group(tree), "same binary, prefix long, hit long")
     if rows is not None:
-        expanded = common.saved(rows.mapInArrow(_windows, "digest binary, prefix long, same binary, low long, bit long"), f"{path}/windows")
+        expanded = common.saved(rows.mapInArrow(common.spared(_windows), "digest binary, prefix long, same binary, low long, bit long"), f"{path}/windows")
         least = expanded.groupBy("digest").agg(F.min("low").alias("least"))
         hits = hits.unionByName(expanded.join(least, "digest").filter("least < low").select("same", "prefix", F.col("bit").alias("hit")))
     hits = hits.groupBy("same", "prefix").agg(F.bit_or("hit").alias("hit"))
@@ -352,4 +352,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         f["doc_id"] = f["doc_id"].astype("Int64")
         return f
 
-    return blocks.groupBy("block").cogroup(flagged.groupBy("block")).applyInPandas(finish, out)
+    return blocks.groupBy("block").cogroup(flagged.groupBy("block")).applyInPandas(common.spared_group(finish), out)
